@@ -152,17 +152,24 @@ def following(df: DataFrame, keys: Sequence[str], pos: str, cols: Mapping[str, C
     return scan(df, keys, pos, {k: ("next", c) for k, c in cols.items()}, exclusive=True, **kw)
 
 
-def islands(df: DataFrame, keys: Sequence[str], pos: str, gap: int = 1, out: str = "island", **kw) -> DataFrame:
-    """Number the runs of rows whose positions follow each other by at most ``gap``."""
-    d = previous(df, keys, pos, {"_prev": F.col(pos)}, **kw)
-    d = scan(
-        d,
-        keys,
-        pos,
-        {out: ("sum", F.when(F.col("_prev").isNull() | (F.col(pos) - F.col("_prev") > gap), 1).otherwise(0))},
-        **kw,
+def islands(df: DataFrame, keys: Sequence[str], pos: str, gap: int = 1, out: str = "island", chunk: int = CHUNK) -> DataFrame:
+    """Number the runs of rows whose positions follow each other by at most ``gap``.
+
+    Breaks inside a chunk are counted there; whether a chunk's first row continues the run before it is read from the
+    one-row-a-chunk summary."""
+    base = share(df.withColumn("_c", _chunk(F.col(pos), chunk)))
+    w = W.partitionBy(*keys, "_c").orderBy(pos)
+    brk = F.when(F.col(pos) - F.lag(pos).over(w) > gap, 1).otherwise(0)
+    inner = base.select("*", brk.alias("_b"))
+    summary = inner.groupBy(*keys, "_c").agg(F.min(pos).alias("_f"), F.max(pos).alias("_l"), F.sum("_b").alias("_n"))
+    ws = W.partitionBy(*keys).orderBy("_c")
+    head = F.when(F.lag("_l").over(ws).isNull() | (F.col("_f") - F.lag("_l").over(ws) > gap), 1).otherwise(0)
+    offs = summary.select(*keys, "_c", "_n", head.alias("_h")).select(
+        *keys, "_c",
+        (F.coalesce(F.sum(F.col("_h") + F.col("_n")).over(ws.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("_h")).alias("_o"),
     )
-    return d.drop("_prev")
+    run = inner.select("*", F.sum("_b").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("_r"))
+    return run.join(offs, [*keys, "_c"]).select(*df.columns, (F.col("_o") + F.col("_r")).alias(out))
 
 
 def runs(df: DataFrame, keys: Sequence[str], pos: str, gap: int = 1, **kw) -> DataFrame:

@@ -3,45 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
-from pyspark.storagelevel import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``checkpoint()`` into the session's ``spark.checkpoint.dir``; a temporary folder only where none is set."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a temporary one only where none is set (tests on one machine)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """``checkpoint()`` of one round of an iterative plan."""
+    scratch(df.sparkSession)
     return df.checkpoint(eager)
 
 
-_SHARED: list[DataFrame] = []
+_WORK = ("Join", "Aggregate", "Window", "Generate", "Sort", "RepartitionBy")
 
 
 def share(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once for all the branches that read it.
+    """Compute ``df`` once for all the branches that read it: a table written to the shared folder.
 
-    A plan that reads its own input twice, several times over, would compute the first step 2^n times.  The blocks go
-    to memory and then to the executors' disks, and a lost executor's are made again from the lineage.  A table read
-    straight from files (projections and filters only) is left alone: the scan is cheaper than the copy, and the
-    branches keep their own column pruning.
+    A plan that reads its own input twice, at several levels, would run (and plan) the first level 2^n times.  The
+    written table cuts both; it survives the loss of any executor, its readers keep column pruning and pushdown, and
+    its true size is known to the joins after it.  A plan that only reads, projects and filters files is left alone:
+    reading again is cheaper than a copy.
     """
-    try:
-        plan = df._jdf.queryExecution().analyzed().toString()
-    except Exception:  # a client without the JVM plan
-        plan = "Join"
-    if not any(w in plan for w in ("Join", "Aggregate", "Window", "Generate", "Sort")):
+    plan = df._jdf.queryExecution().analyzed().toString()
+    if not any(w in plan for w in _WORK):
         return df
-    if df.is_cached:
-        return df
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _SHARED.append(out)
-    return out
-
-
-def release() -> None:
-    """Drop every shared table, once the results that read them are written."""
-    while _SHARED:
-        _SHARED.pop().unpersist()
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/shared-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
