@@ -1,7 +1,8 @@
 """Exact quantiles of groups of any size.
 
-The built-in exact ``percentile`` keeps every distinct value of a group in one task's memory, which a group holding a
-third of the corpus does not fit.  Here a bounded sketch brackets each wanted rank, one pass counts what lies below
+The built-in exact ``percentile`` keeps every distinct value of a group in one task's memory.  It is used where the
+largest group, which is counted first, is known to fit (SMALL values).  A group holding a third of the corpus does not:
+there a bounded sketch brackets each wanted rank, one pass counts what lies below
 the bracket, and only the bracket's own values (about 4/ACC of the group, ties collapsed) are ordered.  The result is
 the linear-interpolation quantile, the same as ``percentile``.
 """
@@ -17,11 +18,30 @@ from pyspark.sql import functions as F
 from skyloom.functions.lineage import share
 
 ACC = 10000
+SMALL = 200_000
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], acc: int = ACC) -> DataFrame:
-    """One row a key: the quantiles named in ``probs`` of ``value`` (nulls left out)."""
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group (counted map-side first; one number comes back)."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def exact_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    acc: int = ACC,
+    largest: int | None = None,
+    small: int = SMALL,
+) -> DataFrame:
+    """One row a key: the quantiles named in ``probs`` of ``value`` (nulls left out).  ``largest``: a bound of the rows
+    of a group, where the caller knows one."""
+    if largest is not None and largest <= small:
+        return _small(df.where(F.col(value).isNotNull()), keys, value, probs)
     rows = share(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
+    if largest is None and largest_group(rows, keys) <= small:
+        return _small(rows, keys, "_v", probs)
     eps = 4.0 / acc  # the sketch's own error either side, and two ranks of slack in a group over ``acc``
     ps = sorted(set(probs.values()))
     cuts = [q for p in ps for q in (max(p - eps, 0.0), min(p + eps, 1.0))]
@@ -63,13 +83,22 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     return got.groupBy(*keys).agg(*[pick(idx[p]).alias(name) for name, p in probs.items()])
 
 
-def robust_scale(df: DataFrame, keys: Sequence[str], value: str, k: float = 1.4826) -> DataFrame:
+def _small(rows: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    names = list(probs)
+    q = rows.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(probs[n])) for n in names])).alias("_q"))
+    return q.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+
+
+def robust_scale(
+    df: DataFrame, keys: Sequence[str], value: str, k: float = 1.4826, largest: int | None = None, small: int = SMALL
+) -> DataFrame:
     """Median and k x median absolute deviation of ``value`` per key."""
     both = share(df.select(*keys, value))
-    med = exact_quantiles(both, keys, value, {"med": 0.5})
+    largest = largest_group(both, keys) if largest is None else largest
+    med = exact_quantiles(both, keys, value, {"med": 0.5}, largest=largest, small=small)
     dev = (both.join(med, list(keys)) if keys else both.crossJoin(F.broadcast(med))).withColumn(
         "_dev", F.abs(F.col(value) - F.col("med"))
     )
-    mad = exact_quantiles(dev, keys, "_dev", {"mad": 0.5})
+    mad = exact_quantiles(dev, keys, "_dev", {"mad": 0.5}, largest=largest, small=small)
     out = med.join(mad, list(keys)) if keys else med.crossJoin(F.broadcast(mad))
     return out.withColumn("scale", F.col("mad") * k)

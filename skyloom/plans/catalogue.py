@@ -4,7 +4,7 @@ import importlib
 
 from skyloom.plans.registry import REGISTRY, Tables
 
-MODULES = ["q_windows"]
+MODULES = ["q_windows", "q_tracks"]
 
 for _m in MODULES:
     importlib.import_module(f"skyloom.plans.{_m}")
