@@ -4,7 +4,7 @@ import importlib
 
 from skyloom.plans.registry import REGISTRY, Tables
 
-MODULES = ["q_windows", "q_tracks", "q_stats"]
+MODULES = ["q_windows", "q_tracks", "q_stats", "q_series"]
 
 for _m in MODULES:
     importlib.import_module(f"skyloom.plans.{_m}")
