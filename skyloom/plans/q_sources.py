@@ -19,17 +19,8 @@ def place(t, name):
     return f"{scratch(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def as_csv(df, path, header, sep=","):
-    """Plain text files with a comment line, a header and rows (one set per Spark partition)."""
-    body = df.select(F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"))
-    body.write.option("header", False).text(path + "/rows")
-    return path
-
-
 def files_with_header(df, path, header):
-    cols = df.columns
-    df = df.select(*[F.col(c).alias(h) for c, h in zip(cols, header)])
-    df.write.option("header", True).csv(path)
+    df.toDF(*header).write.option("header", True).csv(path)
     return path
 
 

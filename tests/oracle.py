@@ -95,7 +95,7 @@ if __name__ == "__main__":
         try:
             k, msg = check(spark, con, d, n)
         except Exception as ex:  # noqa: BLE001
-            k, msg = -1, f"{type(ex).__name__}: {str(ex)[:700]}"
+            k, msg = -1, f"{type(ex).__name__}: {str(ex)[:400]}"
         ok = msg in ("", "rows-only") or msg.startswith("near")
         bad += not ok
         print(f"{'ok ' if ok else 'BAD'} {n} rows={k} {time.time()-t0:.1f}s {msg}", flush=True)
