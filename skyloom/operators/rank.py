@@ -119,6 +119,10 @@ def conformal_pvalue(
                     out.append((o, c, *_against(x, r, axes, min_class)))
             yield pd.DataFrame(out, columns=["object_id", "class", "p", "n", "score", "axis", "z", "axis_p"])
 
+    # a small objects file would be one task: spread it over the cores there are
+    cores = obj.sparkSession.sparkContext.defaultParallelism
+    if obj.rdd.getNumPartitions() < cores:
+        obj = obj.repartition(cores, "object_id")
     return obj.mapInPandas(run, "object_id long, class string, p double, n long, score double, axis string, z double, axis_p double")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skyloom.functions.chunked import CHUNK, rolling, scan
 from skyloom.functions.joins import near_pairs
 from skyloom.functions.lineage import cut, share
-from skyloom.functions.quantiles import exact_quantiles, largest_group
+from skyloom.functions.quantiles import SMALL, exact_quantiles, largest_group
 
 KEY = ("video_id", "object_id")
 
@@ -48,29 +48,15 @@ def fit_rate(
     pts = share(points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, "frame", "t_s", "x", "y"))
     n_in = pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_in")).where(F.col("n_in") >= min_points)
     largest = largest_group(pts, keys)
-    kept = pts
     line = lambda d: d.groupBy(*keys).agg(
         F.regr_slope("x", "t_s").alias("vx"), F.regr_intercept("x", "t_s").alias("x0"),
         F.regr_slope("y", "t_s").alias("vy"), F.regr_intercept("y", "t_s").alias("y0"), F.count(F.lit(1)).alias("n"),
     )
     rx, ry = F.col("x") - (F.col("vx") * F.col("t_s") + F.col("x0")), F.col("y") - (F.col("vy") * F.col("t_s") + F.col("y0"))
-    for _ in range(rounds):
-        res = share(
-            kept.join(line(kept), keys).where(F.col("n") >= min_points)
-            .select(*keys, "frame", "t_s", "x", "y", rx.alias("rx"), ry.alias("ry"))
-        )
-        long = res.unpivot([*keys, "frame"], ["rx", "ry"], "axis", "r")
-        med = exact_quantiles(long, [*keys, "axis"], "r", {"m": 0.5}, largest=largest)
-        dev = long.join(med, [*keys, "axis"]).withColumn("d", F.abs(F.col("r") - F.col("m")))
-        mad = exact_quantiles(dev, [*keys, "axis"], "d", {"s": 0.5}, largest=largest)
-        both = med.join(mad, [*keys, "axis"]).groupBy(*keys).agg(
-            *[F.max(F.when(F.col("axis") == a, F.col(c))).alias(f"{c}_{a}") for a in ("rx", "ry") for c in ("m", "s")]
-        )
-        off = lambda a: F.abs(F.col(a) - F.col(f"m_{a}")) < F.greatest(F.lit(sigma * 1.4826) * F.col(f"s_{a}"), F.lit(2.0))
-        judged = share(res.join(both, keys).withColumn("ok", off("rx") & off("ry")).select(*keys, "frame", "t_s", "x", "y", "ok"))
-        kept = judged.where("ok").drop("ok")
-        if judged.where("not ok").isEmpty():
-            break
+    if largest <= SMALL:
+        kept = share(_clip_by_window(pts, keys, sigma, rounds, min_points))
+    else:
+        kept = _clip_by_join(pts, keys, line, rx, ry, sigma, rounds, min_points, largest)
     fit = line(kept).where(F.col("n") >= min_points)
     full = share(kept.join(fit, keys))
     ends = full.groupBy(*keys).agg(
@@ -96,6 +82,45 @@ def fit_rate(
     )
 
 
+def _clip_by_window(pts: DataFrame, keys: list[str], sigma: float, rounds: int, min_points: int) -> DataFrame:
+    """Tracks that each fit a task (counted before): every round reads whole-track windows over one partitioning, so
+    all the rounds share one shuffle and one sort."""
+    w = W.partitionBy(*keys)
+    d = pts
+    for _ in range(rounds):
+        d = d.select(*keys, "frame", "t_s", "x", "y", F.count(F.lit(1)).over(w).alias("_n"), *[
+            f(c, "t_s").over(w).alias(f"_{n}{c}") for c in ("x", "y") for n, f in (("v", F.regr_slope), ("i", F.regr_intercept))])
+        d = d.select("*", *[(F.col(c) - (F.col(f"_v{c}") * F.col("t_s") + F.col(f"_i{c}"))).alias(f"_r{c}") for c in ("x", "y")])
+        d = d.select("*", *[F.abs(F.col(f"_r{c}") - F.percentile(f"_r{c}", F.lit(0.5)).over(w)).alias(f"_d{c}") for c in ("x", "y")])
+        d = d.select("*", *[F.percentile(f"_d{c}", F.lit(0.5)).over(w).alias(f"_s{c}") for c in ("x", "y")])
+        ok = lambda c: F.col(f"_d{c}") < F.greatest(F.lit(sigma * 1.4826) * F.col(f"_s{c}"), F.lit(2.0))
+        d = d.where((F.col("_n") >= min_points) & ok("x") & ok("y"))
+    return d.select(*keys, "frame", "t_s", "x", "y")
+
+
+def _clip_by_join(pts, keys, line, rx, ry, sigma, rounds, min_points, largest) -> DataFrame:
+    """Tracks of any length: sums and bracketed quantiles per round, joined back; stops when nothing is dropped."""
+    kept = pts
+    for _ in range(rounds):
+        res = share(
+            kept.join(line(kept), keys).where(F.col("n") >= min_points)
+            .select(*keys, "frame", "t_s", "x", "y", rx.alias("rx"), ry.alias("ry"))
+        )
+        long = res.unpivot([*keys, "frame"], ["rx", "ry"], "axis", "r")
+        med = exact_quantiles(long, [*keys, "axis"], "r", {"m": 0.5}, largest=largest)
+        dev = long.join(med, [*keys, "axis"]).withColumn("d", F.abs(F.col("r") - F.col("m")))
+        mad = exact_quantiles(dev, [*keys, "axis"], "d", {"s": 0.5}, largest=largest)
+        both = med.join(mad, [*keys, "axis"]).groupBy(*keys).agg(
+            *[F.max(F.when(F.col("axis") == a, F.col(c))).alias(f"{c}_{a}") for a in ("rx", "ry") for c in ("m", "s")]
+        )
+        off = lambda a: F.abs(F.col(a) - F.col(f"m_{a}")) < F.greatest(F.lit(sigma * 1.4826) * F.col(f"s_{a}"), F.lit(2.0))
+        judged = share(res.join(both, keys).withColumn("ok", off("rx") & off("ry")).select(*keys, "frame", "t_s", "x", "y", "ok"))
+        kept = judged.where("ok").drop("ok")
+        if judged.where("not ok").isEmpty():
+            break
+    return kept
+
+
 def position_noise(points: DataFrame, keys: Sequence[str], chunk: int = CHUNK, largest: int | None = None) -> DataFrame:
     """Jitter of a track's positions from second differences on three consecutive frames, both axes together."""
     keys = list(keys)
