@@ -300,3 +300,12 @@ def own_beats(beats: DataFrame, floor: float) -> DataFrame:
 def agreement_tests(rows: DataFrame, call: str, tests: Sequence[str]) -> DataFrame:
     """F12. Which tests of a beat disagree with the call; a test that could not judge (null) does not."""
     return rows.withColumn("disagree", rule_array([(t, F.col(t) != F.col(call)) for t in tests]))
+
+
+def rank_within(rows: DataFrame, keys: Sequence[str], p: str, score: str, ident: str) -> DataFrame:
+    """W22. Place within a group by p (none last), then the larger score: running counts over slices of p."""
+    from skyloom.functions.chunked import scan
+
+    d = rows.withColumn("_p", F.coalesce(p, F.lit(2.0))).withColumn("_ns", -F.col(score))
+    ck = -F.floor(-F.log2(F.greatest("_p", F.lit(1e-300))) * 256).cast("long")
+    return scan(d, list(keys), "_p", {"place": ("count", F.lit(1))}, ties=["_ns", ident], pos_chunk=ck).drop("_p", "_ns")

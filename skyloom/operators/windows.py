@@ -342,3 +342,60 @@ def cumulative_gap_hold(held: DataFrame, slopes: Sequence[float], keys=V, chunk:
     dev = F.col("_h") - F.col("slope") * F.col("idx")
     s = d.groupBy(*keys, "slope").agg((F.max(dev) - F.min(dev)).alias("width"))
     return s.groupBy(*keys).agg(F.min_by("slope", F.struct("width", "slope")).alias("slope"), F.min("width").alias("width"))
+
+
+def quiet_edges(stats: DataFrame, bursts: DataFrame, fps: float, quiet: float = 2.0, search_s: float = 3.0, keys=V, chunk: int = CHUNK) -> DataFrame:
+    """W5. The last good frame before each burst and the first settled one after: over three frames the change, and the
+    drift of the level, within ``quiet`` times what is usual beside the burst, the contrast at least 0.6 of its median.
+    ``bursts``: video_id, burst, first, last; ``stats``: idx dense, frame, diff, sd, level."""
+    keys = list(keys)
+    d = centred(stats, keys, "idx", 61, {"_ref": median("sd")}, chunk)
+    d = rolling(d, keys, "frame", 0, 2, {"_d3": F.max("diff"), "_n3": F.count("diff"), "_l2": F.max_by("level", "frame")}, chunk)
+    d = d.withColumn("drift", F.when(F.col("_n3") == 3, F.abs(F.col("_l2") - F.col("level"))))
+    reach, w2 = int(round(search_s * fps)), int(round(2 * fps))
+    b = bursts.select(*keys, "burst", "first", "last", (F.col("first") - max(reach, w2)).alias("_lo"), (F.col("last") + max(reach, 3 * int(fps))).alias("_hi"))
+    # each burst meets the few seconds of frames beside it
+    j = interval_join(d.select(*keys, "frame", "diff", "drift", "sd", "_ref", "_d3", "_n3"), b, keys, "frame", "_lo", "_hi", 512)
+    pre = F.col("frame").between(F.col("first") - w2, F.col("first") - 3)
+    post = F.col("frame").between(F.col("last") + int(fps), F.col("last") + 3 * int(fps) - 1)
+    us = lambda c: F.greatest(F.percentile(F.when(pre, F.col(c)), F.lit(0.5)), F.percentile(F.when(post, F.col(c)), F.lit(0.5)))
+    kb = [*keys, "burst"]
+    q = j.groupBy(*kb).agg(us("diff").alias("_ud"), us("drift").alias("_ul"))
+    g = j.join(q, kb).withColumn("q", quiet * F.coalesce("_ud", F.lit(0.0)) + 0.5).withColumn("_ql", F.greatest(F.lit(1.0), quiet * F.coalesce("_ul", F.lit(0.0))))
+    good = (F.col("_n3") == 3) & (F.col("_d3") <= F.col("q")) & (F.col("drift") <= F.col("_ql")) & (F.col("sd") >= 0.6 * F.col("_ref"))
+    bef = good & F.col("frame").between(F.col("first") - reach, F.col("first") - 3)
+    aft = good & F.col("frame").between(F.col("last") + 1, F.col("last") + reach - 3)
+    return g.groupBy(*kb, "first", "last", "q").agg(F.max(F.when(bef, F.col("frame"))).alias("before"), F.min(F.when(aft, F.col("frame"))).alias("after"))
+
+
+def track_jumps(track: DataFrame, fps: float, threshold: float, floor_px: float = 0.05 * 2**0.5, back: int = 5, keys=("video_id", "object_id"), chunk: int = CHUNK) -> DataFrame:
+    """W13. A track's jumps: increments from the local median rate over the local robust scale, both axes together, over
+    ``threshold``.  A glitch where the next increment takes it back (or at an end), an excursion where the track is back
+    within ``back`` points, else a step; of jumps whose spans overlap the first is kept.  Beyond the ends the local medians
+    see the end value repeated.  Columns: idx (dense), frame, x, y."""
+    keys = list(keys)
+    w = 2 * max(10, int(round(fps))) + 1
+    p = previous(track, keys, "idx", {"_p": F.struct("frame", "x", "y")}, chunk=chunk).where(F.col("_p").isNotNull())
+    gap = F.col("frame") - F.col("_p.frame")
+    d = p.select(*keys, "idx", "frame", gap.alias("g"), *[((F.col(c) - F.col(f"_p.{c}")) / gap).alias(f"v{c}") for c in "xy"])
+    d = centred(d, keys, "idx", w, {f"m{c}": median(f"v{c}") for c in "xy"}, chunk)
+    d = d.select(*keys, "idx", "frame", "g", *[(F.col(f"v{c}") - F.col(f"m{c}")).alias(f"r{c}") for c in "xy"])
+    d = centred(d, keys, "idx", w, {f"q{c}": F.collect_list(f"r{c}") for c in "xy"}, chunk)
+    mid = lambda a: (F.get(F.array_sort(a), F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int"))) / 2
+    off = lambda c: F.transform(f"q{c}", lambda v: F.abs(v - F.col(f"c{c}")))
+    for c in "xy":
+        d = d.withColumn(f"c{c}", mid(F.col(f"q{c}")))
+        d = d.withColumn(f"s{c}", 1.4826 * mid(off(c)))
+    z = F.hypot(*[F.col(f"r{c}") / F.greatest(f"s{c}", F.lit(floor_px)) for c in "xy"])
+    d = d.select(*keys, "idx", "frame", z.alias("L"), *[(F.col(f"r{c}") * F.col("g")).alias(f"e{c}") for c in "xy"])
+    for m in range(1, back + 1):
+        d = rolling(d, keys, "idx", 0, m, {f"x{m}": F.sum("ex"), f"y{m}": F.sum("ey"), f"n{m}": F.count("ex")}, chunk)
+    big = F.hypot("ex", "ey")
+    came = lambda m: (F.col(f"n{m}") == m + 1) & (F.hypot(f"x{m}", f"y{m}") < 0.5 * big)
+    first_back = F.coalesce(*[F.when(came(m), F.lit(m)) for m in range(1, back + 1)])
+    h = d.where(F.col("L") > threshold).withColumn("m", first_back)
+    ends = F.col("n1") == 1
+    h = h.withColumn("kind", F.when(ends | (F.col("m") == 1) | ((F.col("idx") == 2) & F.col("m").isNull()), "glitch").when(F.col("m").isNotNull(), "excursion").otherwise("step"))
+    h = h.withColumn("_end", F.col("idx") + F.when(ends, 0).otherwise(F.coalesce("m", F.lit(0))))
+    h = scan(h, keys, "idx", {"_reach": ("max", F.col("_end"))}, exclusive=True, chunk=chunk)
+    return h.where(F.col("_reach").isNull() | (F.col("idx") > F.col("_reach"))).select(*keys, "frame", "kind", F.coalesce("m", F.lit(0)).alias("points"), big.alias("px"), "L")

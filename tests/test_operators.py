@@ -246,3 +246,23 @@ def test_parallax_roots_solve_the_equation(spark):
             g = [r.v_ground * f(math.radians(r.ground_bearing)) for f in (math.sin, math.cos)]
             a = [r.v_own * f(math.radians(r.own_heading)) for f in (math.sin, math.cos)]
             assert abs(math.hypot(*(g[i] + (k - 1) * a[i] for i in (0, 1))) - k * r.v_obj) < 1e-6
+
+
+def test_jumps_are_named(spark):
+    rng = random.Random(21)
+    pts = []
+    for f in range(1, 201):
+        x = 2.0 * f + rng.gauss(0, 0.1) + (30 if f >= 150 else 0) + (25 if f == 60 else 0) + (40 if f in (100, 101, 102) else 0)
+        pts.append((1, 1, f, f, x, rng.gauss(0, 0.1)))
+    df = spark.createDataFrame(pts, "video_id long, object_id long, idx long, frame long, x double, y double")
+    got = [(r.frame, r.kind) for r in wn.track_jumps(df, 30.0, 12.0, chunk=128).orderBy("frame").collect()]
+    assert got == [(60, "glitch"), (100, "excursion"), (150, "step")]
+
+
+def test_rate_steps_find_the_turn(spark):
+    rng = random.Random(3)
+    from skyloom.operators.models import rate_steps
+
+    pts = [(1, 1, f, (f - 1) / 30, (2.0 * f if f <= 80 else 160 - 3.0 * (f - 80)) + rng.gauss(0, 0.2), rng.gauss(0, 0.2)) for f in range(1, 161)]
+    r = rate_steps(spark.createDataFrame(pts, "video_id long, object_id long, frame long, t_s double, x double, y double"), ["video_id", "object_id"], 0.2).orderBy("f0").collect()
+    assert len(r) == 2 and abs(r[0].f1 - 80) <= 1 and abs(r[0].vx - 60) < 1 and abs(r[1].vx + 90) < 1
