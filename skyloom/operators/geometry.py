@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from skyloom.functions.safe import div
 from skyloom.functions.chunked import CHUNK, previous, scan
 from skyloom.functions.lineage import share
 
@@ -37,9 +38,9 @@ def angular_rate(df: DataFrame, v: str = "v_px", k: str = "k", alpha: str = "alp
     kk = F.col(k) / F.pow(F.cos(F.radians(alpha)), 2)
     known = F.col("provenance").isin("graticule", "fov", "reference")
     return df.withColumns({
-        "omega_rad_s": F.when(known, F.col(v) / kk),
-        "fov_deg": F.when(known, F.degrees(2 * F.atan(F.col(width) / 2 / F.col(k)))),
-        "fov_small_deg": F.when(known, F.degrees(F.col(width) / F.col(k))),
+        "omega_rad_s": F.when(known, div(F.col(v), kk)),
+        "fov_deg": F.when(known, F.degrees(2 * F.atan(div(F.col(width) / 2, F.col(k))))),
+        "fov_small_deg": F.when(known, F.degrees(div(F.col(width), F.col(k)))),
     })
 
 

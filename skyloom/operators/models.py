@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from skyloom.functions.safe import corr, div
 from skyloom.functions.chunked import CHUNK, islands, rolling, scan
 from skyloom.functions.lineage import cut, share
 from skyloom.functions.probability import chi2_sf, f_sf
@@ -60,7 +61,7 @@ def heading_regression(obj: DataFrame, keys: Sequence[str], slides: Sequence[int
     a = least_squares(d, k, base, F.col("z")).select(*k, F.col("rss").alias("r0"))
     b = least_squares(d, k, full, F.col("z")).select(*k, "n", F.col("rss").alias("r1"))
     j = a.join(b, k).where(F.col("n") > 10)
-    j = j.withColumn("f", F.greatest(F.col("r0") - F.col("r1"), F.lit(0.0)) / 4 / (F.col("r1") / (F.col("n") - 8)))
+    j = j.withColumn("f", div(F.greatest(F.col("r0") - F.col("r1"), F.lit(0.0)) / 4, F.col("r1") / (F.col("n") - 8)))
     real = j.where(F.col("slide") == 0).select(*keys, "n", "f", f_sf(F.col("f"), F.lit(4.0), (F.col("n") - 8).cast("double")).alias("p"))
     null = j.where(F.col("slide") != 0).select(*keys, F.col("f").alias("_f"))
     return real.join(null, keys, "left").groupBy(*keys, "n", "f", "p").agg(((F.sum((F.col("_f") >= F.col("f")).cast("int")) + 1) / (F.count("_f") + 1)).alias("slide_p"))
@@ -175,7 +176,7 @@ def shake_test(track: DataFrame, bg: DataFrame, keys: Sequence[str], least: int
     p = at_offset(at_offset(p, keys, "frame", 1, {"q1": "q"}), keys, "frame", 2, {"q2": "q"}).where(F.col("q1").isNotNull() & F.col("q2").isNotNull())
     acc = lambda s, c: F.col(f"q.{s}.{c}") - 2 * F.col(f"q1.{s}.{c}") + F.col(f"q2.{s}.{c}")
     d = p.select(*keys, F.explode(F.array(*[F.struct(acc("p", c).alias("o"), acc("g", c).alias("b")) for c in "xy"])).alias("a")).select(*keys, "a.o", "a.b")
-    g = d.groupBy(*keys).agg((F.count(F.lit(1)) / 2).cast("long").alias("frames"), F.corr("o", "b").alias("r"), F.regr_slope("o", "b").alias("slope"), F.regr_slope("b", "o").alias("back"))
+    g = d.groupBy(*keys).agg((F.count(F.lit(1)) / 2).cast("long").alias("frames"), corr("o", "b").alias("r"), F.regr_slope("o", "b").alias("slope"), F.regr_slope("b", "o").alias("back"))
     out = F.when(F.col("frames") < least, "NO POWER").when((F.col("r") > 0.3) & F.col("slope").between(0.5, 1.5), "PASS").when(F.abs("r") < 0.1, "FLAG").otherwise("inconclusive")
     return g.withColumn("outcome", out)
 
@@ -188,7 +189,7 @@ def catch_up_steps(steps: DataFrame, keys: Sequence[str], chunk: int = CHUNK) ->
     others = F.array_sort(F.transform(F.filter("_a", lambda v: v["frame"] != F.col("frame")), lambda v: v["step"]))
     d = lo.withColumn("_o", others).withColumn("_n", F.size("_o"))
     med = (F.get("_o", F.floor((F.col("_n") - 1) / 2).cast("int")) + F.get("_o", F.floor(F.col("_n") / 2).cast("int"))) / 2
-    d = d.withColumn("times", F.col("step") / med)
+    d = d.withColumn("times", div(F.col("step"), med))
     return d.where((F.col("_n") >= 6) & (F.col("step") > 8) & (F.col("times") > 1.7) & (F.col("times") < 2.3)).select(*keys, "frame", "step", "times")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skyloom.functions.safe import div
 from skyloom.functions import draws as dr
 from skyloom.functions.chunked import CHUNK, previous, rolling, scan
 from skyloom.functions.joins import near_pairs
@@ -37,7 +38,7 @@ def shaft_candidates(tones: DataFrame, airframes: DataFrame, blades: Sequence[in
     a = airframes.select("airframe", "blades", "blade_pass_hz").withColumn("_o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
     a = a.withColumn("_k", F.floor(F.log("blade_pass_hz") / w) + F.col("_o")).drop("_o")
     j = t.withColumn("_k", F.floor(F.log("hz") / w)).join(a, ["blades", "_k"], "left")
-    hit = F.abs(F.col("hz") / F.col("blade_pass_hz") - 1) <= match
+    hit = F.abs(div(F.col("hz"), F.col("blade_pass_hz")) - 1) <= match
     return j.groupBy("tone_id", "blades", "rpm").agg(F.count(F.when(hit, 1)).alias("airframes"), F.min(F.when(hit, F.col("airframe"))).alias("first"))
 
 
@@ -76,7 +77,7 @@ def leverage_audit(track: DataFrame, keys: Sequence[str], draws: int = 59, seed:
     keys = list(keys)
     t = track.select(*keys, F.col("frame").cast("double").alias("_t"), "frame")
     s = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_t").alias("_m"), (F.var_pop("_t") * F.count(F.lit(1))).alias("_ss"))
-    w = t.join(s, keys).withColumn("weight", (1 / F.col("n") + F.pow(F.col("_t") - F.col("_m"), 2) / F.col("_ss")) / 2)
+    w = t.join(s, keys).withColumn("weight", F.coalesce((1 / F.col("n") + div(F.pow(F.col("_t") - F.col("_m"), 2), F.col("_ss"))) / 2, 1 / F.col("n")))
     c = share(scan(w, keys, "frame", {"_hi": ("sum", F.col("weight"))}, chunk=chunk))
     c = c.withColumn("_lo", F.col("_hi") - F.col("weight"))
     c = c.withColumn("_hi", F.when(F.col("_hi") > 1 - 1e-9, F.lit(1.0)).otherwise(F.col("_hi")))
@@ -97,7 +98,7 @@ def company(props: DataFrame, apart: float = 60.0, degrees: float = 25.0, bucket
     j = a.join(b, ["video_id", "_b"]).where((F.col("prop_id") != F.col("o")) & (F.col("first") <= F.col("ol")) & (F.col("last") >= F.col("of")))
     j = j.where(F.col("_b") == F.greatest(F.floor(F.col("first") / bucket), F.floor(F.col("of") / bucket)))
     s, so = F.hypot("vx", "vy"), F.hypot("ovx", "ovy")
-    same = (F.col("vx") * F.col("ovx") + F.col("vy") * F.col("ovy") > math.cos(math.radians(degrees)) * s * so) & (so / s).between(0.5, 2.0)
+    same = (F.col("vx") * F.col("ovx") + F.col("vy") * F.col("ovy") > math.cos(math.radians(degrees)) * s * so) & div(so, s).between(0.5, 2.0)
     far = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) > apart
     n = j.where(same & far).groupBy("video_id", "prop_id").agg(F.count(F.lit(1)).alias("company"))
     return props.join(n, ["video_id", "prop_id"], "left").withColumn("company", F.coalesce("company", F.lit(0)))
@@ -134,7 +135,7 @@ def integrate_comotion(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A27. Summed displacement of an object against the flow about it, in object diameters, over measured pairs only;
     its rate and direction.  Columns: rel_x, rel_y (null where not measured), diameter, t_s."""
     m = pairs.where(F.col("rel_x").isNotNull() & F.col("rel_y").isNotNull())
-    sx, sy = F.sum(F.col("rel_x") / F.col("diameter")), F.sum(F.col("rel_y") / F.col("diameter"))
+    sx, sy = F.sum(div(F.col("rel_x"), F.col("diameter"))), F.sum(div(F.col("rel_y"), F.col("diameter")))
     g = m.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), sx.alias("_x"), sy.alias("_y"), (F.max("t_s") - F.min("t_s")).alias("_t"))
     return g.select(*keys, "pairs", F.hypot("_x", "_y").alias("rel_d"), F.when(F.col("_t") > 0, F.hypot("_x", "_y") / F.col("_t")).alias("rel_d_per_s"), F.pmod(F.degrees(F.atan2(F.col("_x"), -F.col("_y"))), F.lit(360.0)).alias("direction_deg"))
 
@@ -173,7 +174,7 @@ def sup_wald_scan(track: DataFrame, keys: Sequence[str], trim: float = 0.15, chu
 
     def side(S, v):
         sxx, sxy, syy = S("tt") - S("t") * S("t") / S("n"), S(f"t{v}") - S("t") * S(v) / S("n"), S(v + v) - S(v) * S(v) / S("n")
-        return sxy / sxx, sxx, syy - sxy * sxy / sxx
+        return div(sxy, sxx), sxx, syy - div(sxy * sxy, sxx)
 
     ok = (L("n") >= F.greatest(trim * F.col("T_n"), F.lit(3.0))) & (R("n") >= F.greatest(trim * F.col("T_n"), F.lit(3.0)))
     stat = F.lit(0.0)
@@ -181,7 +182,7 @@ def sup_wald_scan(track: DataFrame, keys: Sequence[str], trim: float = 0.15, chu
         bl, sl, el = side(L, v)
         br, sr, er = side(R, v)
         s2 = (el + er) / (F.col("T_n") - 4)
-        stat = stat + (br - bl) * (br - bl) / (s2 * (1 / sl + 1 / sr))
+        stat = stat + div((br - bl) * (br - bl), s2 * (div(F.lit(1.0), sl) + div(F.lit(1.0), sr)))
     c = c.where(ok & (F.col("T_n") > 6)).withColumn("wald", stat).where(F.col("wald").isNotNull() & ~F.isnan("wald"))
     return c.groupBy(*keys).agg(F.max_by("frame", F.struct("wald", -F.col("frame"))).alias("frame"), F.max("wald").alias("wald"))
 
@@ -193,7 +194,7 @@ def rate_band(track: DataFrame, keys: Sequence[str], window: int, least: int, ch
     h = window // 2
     ex = {"vx": F.regr_slope("x", "t_s"), "vy": F.regr_slope("y", "t_s"), "n": F.count("x"), "_sxx": F.regr_sxx("x", "t_s"), "_syx": F.regr_syy("x", "t_s"), "_syy": F.regr_syy("y", "t_s")}
     d = rolling(track, keys, "frame", h, h, ex, chunk).where(F.col("n") >= least)
-    e = lambda s, v: F.greatest(F.col(s) - F.col(v) * F.col(v) * F.col("_sxx"), F.lit(0.0)) / (F.col("n") - 2) / F.col("_sxx")
+    e = lambda s, v: div(F.greatest(F.col(s) - F.col(v) * F.col(v) * F.col("_sxx"), F.lit(0.0)), (F.col("n") - 2) * F.col("_sxx"))
     return d.select(*keys, "frame", "n", F.hypot("vx", "vy").alias("rate"), F.sqrt(e("_syx", "vx") + e("_syy", "vy")).alias("err"))
 
 
@@ -310,7 +311,7 @@ def curve_stats(curve: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> Da
     s = share(a.join(b, k, "left"))
     bg = s.where(F.col("kind") == "background").groupBy(*keys).agg(F.percentile("_fast", F.lit(0.5)).alias("_bg"))  # a few apertures
     o = s.where(F.col("kind") == "object").join(bg, keys, "left")
-    return o.select(*keys, "curve", (F.col("_var") / F.abs("_med")).alias("light_var"), (F.col("_fast") / F.abs("_med")).alias("light_fast"), F.when(F.col("_bg") > 0, F.col("_fast") / F.col("_bg")).alias("light_over_bg"))
+    return o.select(*keys, "curve", div(F.col("_var"), F.abs("_med")).alias("light_var"), div(F.col("_fast"), F.abs("_med")).alias("light_fast"), F.when(F.col("_bg") > 0, F.col("_fast") / F.col("_bg")).alias("light_over_bg"))
 
 
 def blind_scorecard(objects: DataFrame, named: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skyloom.functions.safe import div
 from skyloom.functions import draws as dr
 from skyloom.functions.chunked import CHUNK, previous, rolling, row_index, scan
 from skyloom.functions.lineage import share
@@ -204,7 +205,7 @@ def epoch_fold(curve: DataFrame, beats: DataFrame, keys: Sequence[str], bins: in
     r = g.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "mean", "n"))).alias("f"), F.max_by("bin", F.struct("mean", -F.col("bin"))).alias("brightest"))  # ``bins`` rows a key
     half = lambda up: F.aggregate(
         F.filter("f", lambda v: (F.pmod(v["bin"] - F.col("brightest") + bins // 4, F.lit(bins)) < bins // 2) == F.lit(up)),
-        F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n")), lambda a, v: F.struct((a["s"] + v["mean"] * v["n"]).alias("s"), (a["n"] + v["n"]).alias("n")), lambda a: a["s"] / a["n"],
+        F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n")), lambda a, v: F.struct((a["s"] + v["mean"] * v["n"]).alias("s"), (a["n"] + v["n"]).alias("n")), lambda a: div(a["s"], a["n"]),
     )
     return r.select(*keys, "brightest", (half(True) - half(False)).alias("depth"))
 
@@ -283,10 +284,10 @@ def coverage_backtest(innov: DataFrame, keys: Sequence[str], v: str = "v", z: fl
         *[F.coalesce(F.sum(F.col("_w") * F.col(f"_w{k}")), F.lit(0.0)).alias(f"_g{k}") for k in range(1, lags + 1)],
     )
     n = F.col("n").cast("double")
-    q = sum(F.pow(F.col(f"_g{k}") / F.col("_g0"), 2) / (n - k) for k in range(1, lags + 1)) * n * (n + 2)
+    q = sum(div(F.pow(div(F.col(f"_g{k}"), F.col("_g0")), 2), n - k) for k in range(1, lags + 1)) * n * (n + 2)
     xl = lambda k, p: F.when(k > 0, k * F.log(p)).otherwise(F.lit(0.0))
-    p01, p11 = F.col("n01") / (F.col("n00") + F.col("n01")), F.col("n11") / (F.col("n10") + F.col("n11"))
-    pi = (F.col("n01") + F.col("n11")) / (F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11"))
+    p01, p11 = div(F.col("n01"), F.col("n00") + F.col("n01")), div(F.col("n11"), F.col("n10") + F.col("n11"))
+    pi = div(F.col("n01") + F.col("n11"), F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11"))
     l0 = xl(F.col("n00") + F.col("n10"), 1 - pi) + xl(F.col("n01") + F.col("n11"), pi)
     l1 = xl(F.col("n00"), 1 - p01) + xl(F.col("n01"), p01) + xl(F.col("n10"), 1 - p11) + xl(F.col("n11"), p11)
     out = g.withColumn("christoffersen", F.greatest(2 * (l1 - l0), F.lit(0.0))).withColumn("ljung_box", q).withColumn(
@@ -304,7 +305,7 @@ def tau_rates(curve: DataFrame, keys: Sequence[str], size: str, flux: str, backg
     keys = list(keys)
     d = curve.where((F.col(size) > 0) & (F.col(flux) > 0) & (F.col(background) > 0))
     d = d.withColumn("_s", F.log(size)).withColumn("_f", F.log(flux) - F.log(background))
-    err = lambda c: F.sqrt(F.greatest(F.regr_syy(c, t) - F.regr_slope(c, t) * F.regr_sxy(c, t), F.lit(0.0)) / (F.count(F.lit(1)) - 2) / F.regr_sxx(c, t))
+    err = lambda c: F.sqrt(div(F.greatest(F.regr_syy(c, t) - F.regr_slope(c, t) * F.regr_sxy(c, t), F.lit(0.0)), (F.count(F.lit(1)) - 2) * F.regr_sxx(c, t)))
     g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("_s", t).alias("size_rate"), err("_s").alias("size_err"), F.regr_slope("_f", t).alias("flux_rate"), err("_f").alias("flux_err")).where(F.col("n") > 2)
     return g.withColumn("tau_s", F.when(F.col("size_rate") != 0, 1 / F.col("size_rate")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skyloom.functions.safe import corr, div
 from skyloom.functions.chunked import CHUNK, previous, scan
 from skyloom.functions.joins import asof, interval_join
 from skyloom.functions.lineage import share
@@ -76,7 +77,7 @@ def best_lag(series: DataFrame, copies: DataFrame, keys=("video_id",), max_lag:
     b = previous(copies, [*keys, "copy"], "frame", {"_p": F.struct("frame", "level")}, chunk=chunk).where(F.col("_p.frame") == F.col("frame") - 1)
     b = b.select(*keys, "copy", F.col("frame").alias("_f"), (F.col("level") - F.col("_p.level")).alias("db"))
     b = b.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))).withColumn("frame", F.col("_f") - F.col("lag"))
-    g = a.join(b, [*keys, "frame"]).groupBy(*keys, "copy", "lag").agg(F.count(F.lit(1)).alias("n"), F.corr("da", "db").alias("r"))
+    g = a.join(b, [*keys, "frame"]).groupBy(*keys, "copy", "lag").agg(F.count(F.lit(1)).alias("n"), corr("da", "db").alias("r"))
     g = g.where((F.col("n") >= least) & F.col("r").isNotNull() & ~F.isnan("r"))
     return g.groupBy(*keys, "copy").agg(F.max_by(F.struct("lag", "r", "n"), F.struct("r", -F.col("lag"))).alias("b")).select(
         *keys, "copy", F.col("b.lag").alias("lag"), F.col("b.r").alias("r"), F.col("b.n").alias("n")
@@ -93,7 +94,7 @@ def windowed_lag(series: DataFrame, copies: DataFrame, window: int = 300, reach:
     b = previous(copies, [*keys, "copy"], "frame", {"_p": F.struct("frame", "level")}).where(F.col("_p.frame") == F.col("frame") - 1)
     b = b.select(*keys, "copy", F.col("frame").alias("_f"), (F.col("level") - F.col("_p.level")).alias("db"))
     b = b.withColumn("lag", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("frame", F.col("_f") - F.col("lag"))
-    g = a.join(b, [*keys, "frame"]).groupBy(*keys, "copy", "win", "lag").agg(F.count(F.lit(1)).alias("n"), F.corr("da", "db").alias("r"))
+    g = a.join(b, [*keys, "frame"]).groupBy(*keys, "copy", "win", "lag").agg(F.count(F.lit(1)).alias("n"), corr("da", "db").alias("r"))
     g = g.where((F.col("n") >= least) & F.col("r").isNotNull() & ~F.isnan("r"))
     return g.groupBy(*keys, "copy", "win").agg(F.max_by(F.struct("lag", "r"), F.struct("r", -F.col("lag"))).alias("b")).select(
         *keys, "copy", "win", F.col("b.lag").alias("lag"), F.col("b.r").alias("r")
@@ -123,7 +124,7 @@ def lead_lag(readings: DataFrame, path: DataFrame, lags: Sequence[int], keys=("v
     j = j.withColumn("frame", F.col("f0") - F.col("lag")).join(p.withColumnRenamed("x", "x0"), [*keys, "frame"])
     dx = F.col("x1") - F.col("x0")
     g = j.groupBy(*keys, "lag").agg(
-        F.count(F.lit(1)).alias("n"), (F.sum(F.col("d") * dx) / F.sqrt(F.sum(F.col("d") * F.col("d")) * F.sum(dx * dx))).alias("c")
+        F.count(F.lit(1)).alias("n"), div(F.sum(F.col("d") * dx), F.sqrt(F.sum(F.col("d") * F.col("d")) * F.sum(dx * dx))).alias("c")
     )
     return g.where(F.col("c").isNotNull()).groupBy(*keys).agg(
         F.max_by(F.struct("lag", "c", "n"), F.struct(F.abs("c"), -F.col("lag"))).alias("b")

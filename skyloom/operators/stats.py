@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skyloom.functions.safe import div
 from skyloom.functions import draws as dr
 from skyloom.functions.chunked import scan
 from skyloom.functions.lineage import share
@@ -302,7 +303,7 @@ def zoom_ladder(steps: DataFrame, keys: Sequence[str], gap: float = 0.03) -> Dat
     d = scan(d, keys, "v", {"_p": ("last", F.col("v"))}, exclusive=True, ties=["clip"], pos_chunk=ck)
     new = F.when(F.col("_p").isNull() | (F.col("v") - F.col("_p") > gap), 1).otherwise(0)
     d = scan(d, keys, "v", {"rung": ("sum", new)}, ties=["clip"], pos_chunk=ck)
-    w = 1 / (F.col("err") * F.col("err"))
+    w = div(F.lit(1.0), F.col("err") * F.col("err"))
     g = d.groupBy(*keys, "rung").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("clip").alias("clips"), F.avg("v").alias("_m"), F.stddev_samp("v").alias("sd"),
         F.sum(w).alias("_w"), F.sum(w * F.col("v")).alias("_wv"), F.bool_and(F.col("err").isNotNull() & (F.col("err") > 0)).alias("_all"),
@@ -347,7 +348,7 @@ def overfit_probability(cells: DataFrame, blocks: int = 16, weight: float = 11.0
     ins = (F.shiftrightunsigned(F.col("mask"), 0).bitwiseAND(F.expr("shiftleft(1L, CAST(block AS INT))")) != 0)
     agg = [F.sum(F.when(ins == side, F.col(v)).otherwise(0)).alias(f"{v}{i}") for i, side in enumerate((True, False)) for v in ("tp", "p", "fp", "n")]
     g = j.groupBy("mask", "config").agg(*agg)
-    perf = lambda i: F.coalesce(F.col(f"tp{i}") / F.col(f"p{i}"), F.lit(0.0)) - weight * F.coalesce(F.col(f"fp{i}") / F.col(f"n{i}"), F.lit(0.0))
+    perf = lambda i: F.coalesce(div(F.col(f"tp{i}"), F.col(f"p{i}")), F.lit(0.0)) - weight * F.coalesce(div(F.col(f"fp{i}"), F.col(f"n{i}")), F.lit(0.0))
     g = g.withColumn("ins", perf(0)).withColumn("oos", perf(1))
     w = W.partitionBy("mask")
     g = g.withColumn("_best", F.row_number().over(w.orderBy(F.col("ins").desc(), "config"))).withColumn("_rank", F.rank().over(w.orderBy("oos"))).withColumn("_m", F.count(F.lit(1)).over(w))
@@ -361,7 +362,7 @@ def agreement_rates(rows: DataFrame, draws: int = 500, seed: int = 0) -> DataFra
     t = share(rows.groupBy("video_id", "held").agg(F.sum(F.col("agrees").cast("long")).alias("k"), F.count(F.lit(1)).alias("n")))
     w = t.select("video_id", *[F.when(F.col("held") == h, F.col(c)).otherwise(0).alias(f"{c}{i}") for i, h in enumerate((True, False)) for c in ("k", "n")])
     cols = ["k0", "n0", "k1", "n1"]
-    diff = F.col("k0") / F.col("n0") - F.col("k1") / F.col("n1")
+    diff = div(F.col("k0"), F.col("n0")) - div(F.col("k1"), F.col("n1"))
     b = cluster_bootstrap(w, [], "video_id", cols, draws, seed).where((F.col("n0") > 0) & (F.col("n1") > 0)).agg(
         F.percentile(diff, F.array(F.lit(0.025), F.lit(0.975))).alias("_q")
     )
@@ -370,8 +371,8 @@ def agreement_rates(rows: DataFrame, draws: int = 500, seed: int = 0) -> DataFra
     moved = F.abs((F.col("_k") - F.col("k")) / (F.col("_n") - F.col("n")) - F.col("_k") / F.col("_n"))
     most = out.agg(F.max_by(F.col("video_id"), F.struct(moved, -F.col("video_id"))).alias("moves_most"), F.max(moved).alias("moves_by"))
     return tot.crossJoin(b).crossJoin(most).select(
-        (F.col("k0") / F.col("n0")).alias("held_out"), (F.col("k1") / F.col("n1")).alias("tuning"), diff.alias("difference"),
-        F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"), (F.col("n0") * F.col("n0") / F.col("_n2")).alias("effective"), "moves_most", "moves_by",
+        div(F.col("k0"), F.col("n0")).alias("held_out"), div(F.col("k1"), F.col("n1")).alias("tuning"), diff.alias("difference"),
+        F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"), div(F.col("n0") * F.col("n0"), F.col("_n2")).alias("effective"), "moves_most", "moves_by",
     )
 
 
@@ -413,7 +414,7 @@ def auc(rows: DataFrame, score: str, label: str, grain: float = 64.0) -> DataFra
     s = scan(d, [], "_s", {"_c": ("sum", F.col("_n"))}, pos_chunk=F.floor(F.col("_s") * grain).cast("long"))
     mean_rank = F.col("_c") - (F.col("_n") - 1) / 2
     g = s.agg(F.sum(F.col("_p") * mean_rank).alias("_r"), F.sum("_p").alias("pos"), F.sum(F.col("_n") - F.col("_p")).alias("neg"))
-    return g.select("pos", "neg", ((F.col("_r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))).alias("auc"))
+    return g.select("pos", "neg", div(F.col("_r") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * F.col("neg")).alias("auc"))
 
 
 def uniformity(ps: DataFrame, keys: Sequence[str], p: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skyloom.functions.safe import corr, div
 from skyloom.functions.chunked import CHUNK, rolling, scan
 from skyloom.functions.joins import near_pairs
 from skyloom.functions.lineage import cut, share
@@ -300,7 +301,7 @@ def pairwise_members(tracks: DataFrame, least: int = 10) -> DataFrame:
     o = t.select("video_id", F.col("object_id").alias("object_2"), "frame", F.col("x").alias("x2"), F.col("y").alias("y2"))
     j = t.join(o, ["video_id", "frame"]).where(F.col("object_id") < F.col("object_2"))
     j = j.select("video_id", "object_id", "object_2", "t_s", (F.col("x2") - F.col("x")).alias("dx"), (F.col("y2") - F.col("y")).alias("dy"))
-    var = lambda c: F.var_pop(c) * (1 - F.coalesce(F.pow(F.corr(c, "t_s"), 2), F.lit(0.0)))
+    var = lambda c: F.var_pop(c) * (1 - F.coalesce(F.pow(corr(c, "t_s"), 2), F.lit(0.0)))
     return j.groupBy("video_id", "object_id", "object_2").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.hypot("dx", "dy")).alias("mean_px"),
         F.min(F.hypot("dx", "dy")).alias("min_px"), F.max(F.hypot("dx", "dy")).alias("max_px"),
@@ -359,7 +360,7 @@ def second_difference_jitter(points: DataFrame, keys: Sequence[str] = KEY, lags:
         *[F.avg(F.col("d") * F.col(f"d_{k}")).alias(f"g{k}") for k in range(1, lags + 1)],
     )
     jit = F.greatest(*[F.sqrt(F.greatest((F.col("g0") - F.col(f"g{k}")) / 10.0, F.lit(0.0))) for k in range(1, lags + 1)])
-    return g.select(*k2, "n", (-F.col("g1") / 4).alias("jitter_var"), (F.col("g1") / F.col("g0")).alias("rho1"), jit.alias("jitter"))
+    return g.select(*k2, "n", (-F.col("g1") / 4).alias("jitter_var"), div(F.col("g1"), F.col("g0")).alias("rho1"), jit.alias("jitter"))
 
 
 # ---- lists ------------------------------------------------------------------------------------------------------------

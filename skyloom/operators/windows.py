@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.functions.safe import div
 from skyloom.functions.chunked import CHUNK, following, islands, previous, rolling, row_index, runs, scan
 from skyloom.functions.joins import interval_join
 from skyloom.functions.quantiles import exact_quantiles, robust_scale
@@ -145,7 +146,7 @@ def deviation(curve: DataFrame, fps: float, keys=("video_id", "curve"), scale: s
     size = max(3, int(0.5 * fps + 0.5))
     keys = list(keys)
     d = centred(curve, keys, "idx", size, {"_t": F.avg("value")}, chunk)
-    d = d.withColumn("dev", (F.col("value") - F.col("_t")) / (F.col(scale) if scale else F.col("_t")))
+    d = d.withColumn("dev", div(F.col("value") - F.col("_t"), F.col(scale) if scale else F.col("_t")))
     m = d.groupBy(*keys).agg(F.avg("dev").alias("_m"))
     return d.join(m, keys).withColumn("dev", F.col("dev") - F.col("_m")).drop("_t", "_m")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skyloom.functions.safe import div
 from skyloom.functions import draws as dr
 from skyloom.functions.lineage import share
 from skyloom.functions.quantiles import exact_quantiles
@@ -122,12 +123,12 @@ def tracer_wreck_tests(pieces: DataFrame, least_flier: float, min_m: float = 10.
     more; pass if g cos(d)/(a + 3 sigma) >= ``min_m``; an unknown depression cannot pass.  ``pieces``: case_id, v_l,
     v_err_l (lengths a second), a_l, a_err_l (lengths a second squared), depression_deg."""
     s = F.sin(F.radians("depression_deg"))
-    hi, lo = (F.col("v_l") + 2 * F.col("v_err_l")) / s, F.greatest(F.col("v_l") - 2 * F.col("v_err_l"), F.lit(0.0))
+    hi, lo = div(F.col("v_l") + 2 * F.col("v_err_l"), s), F.greatest(F.col("v_l") - 2 * F.col("v_err_l"), F.lit(0.0))
     tracer = F.when(lo > least_flier, "fail").when(F.col("depression_deg").isNull(), "cannot say").when(hi < least_flier, "pass").otherwise("cannot say")
     a, e, d = F.col("a_l"), F.col("a_err_l"), F.radians("depression_deg")
     g = 9.80665
     wreck = F.when(a - 3 * e >= 0.5 * g * F.coalesce(F.cos(d), F.lit(1.0)) / fail_m, "fail").when(F.col("depression_deg").isNull(), "cannot say").when(
-        g * F.cos(d) / (a + 3 * e) >= min_m, "pass").otherwise("cannot say")
+        div(g * F.cos(d), a + 3 * e) >= min_m, "pass").otherwise("cannot say")
     return pieces.withColumn("tracer", tracer).withColumn("wreck", wreck)
 
 
