@@ -59,7 +59,7 @@ def fit_rate(
     else:
         kept = _clip_by_join(pts, keys, line, rx, ry, sigma, rounds, min_points, largest)
     fit = line(kept).where(F.col("n") >= min_points)
-    full = share(kept.join(fit, keys))
+    full = kept.join(fit, keys)
     ends = full.groupBy(*keys).agg(
         F.sqrt(F.avg(rx * rx + ry * ry)).alias("resid_rms"), F.min("t_s").alias("t0"), F.max("t_s").alias("t1"),
         F.min_by(F.struct("x", "y"), "frame").alias("_a"), F.max_by(F.struct("x", "y"), "frame").alias("_b"),
