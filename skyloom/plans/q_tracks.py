@@ -39,16 +39,16 @@ def _(t):
 
 def _round_sql(i: int) -> str:
     return f"""
-l{i} AS (SELECT object_id, regr_slope(x,t_s) AS vx, regr_intercept(x,t_s) AS x0, regr_slope(y,t_s) AS vy, regr_intercept(y,t_s) AS y0 FROM k{i} GROUP BY ALL HAVING count(*) >= 3),
-r{i} AS (SELECT k.*, x-(vx*t_s+x0) AS rx, y-(vy*t_s+y0) AS ry FROM k{i} k JOIN l{i} USING (object_id)),
-m{i} AS (SELECT object_id, median(rx) AS mx, median(ry) AS my, mad(rx) AS sx, mad(ry) AS sy FROM r{i} GROUP BY ALL),
-k{i + 1} AS (SELECT video_id, object_id, frame, x, y, t_s FROM r{i} JOIN m{i} USING (object_id)
+l{i} AS MATERIALIZED (SELECT object_id, regr_slope(x,t_s) AS vx, regr_intercept(x,t_s) AS x0, regr_slope(y,t_s) AS vy, regr_intercept(y,t_s) AS y0 FROM k{i} GROUP BY ALL HAVING count(*) >= 3),
+r{i} AS MATERIALIZED (SELECT k.*, x-(vx*t_s+x0) AS rx, y-(vy*t_s+y0) AS ry FROM k{i} k JOIN l{i} USING (object_id)),
+m{i} AS MATERIALIZED (SELECT object_id, median(rx) AS mx, median(ry) AS my, mad(rx) AS sx, mad(ry) AS sy FROM r{i} GROUP BY ALL),
+k{i + 1} AS MATERIALIZED (SELECT video_id, object_id, frame, x, y, t_s FROM r{i} JOIN m{i} USING (object_id)
   WHERE abs(rx-mx) < greatest(4.0*1.4826*sx, 2.0) AND abs(ry-my) < greatest(4.0*1.4826*sy, 2.0))"""
 
 
 @query(
     "fit_rate",
-    f"""WITH {TIMED_SQL}, k0 AS (SELECT * FROM timed WHERE x IS NOT NULL AND y IS NOT NULL),
+    f"""WITH {TIMED_SQL}, k0 AS MATERIALIZED (SELECT * FROM timed WHERE x IS NOT NULL AND y IS NOT NULL),
 {",".join(_round_sql(i) for i in range(4))},
 f AS (SELECT video_id, object_id, regr_slope(x,t_s) AS vx, regr_intercept(x,t_s) AS x0, regr_slope(y,t_s) AS vy, regr_intercept(y,t_s) AS y0, count(*) AS n,
       min(t_s) AS t0, max(t_s) AS t1, sqrt(pow(arg_max(x,frame)-arg_min(x,frame),2)+pow(arg_max(y,frame)-arg_min(y,frame),2)) AS span FROM k4 GROUP BY ALL HAVING count(*) >= 3),
