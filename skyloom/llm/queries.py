@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import simhash_cover
+from skyloom.llm import simhash_cover, votes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +26,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_cover.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
     return found.select("doc_id", simhash_cover.hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+ORACLES["op1_warc_revisits"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes,
+        array_to_string(list_transform(range(0, 32), lambda i:
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || h[1 + 5 * (i // 4) : 5 + 5 * (i // 4)])::BIGINT >> (15 - 5 * (i % 4))) & 31)]), '') AS payload_digest FROM p),
+o AS (SELECT payload_digest, min(page_id) AS first FROM d GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN o USING (payload_digest)
+"""
+
+
+@query
+def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = votes.edited_fingerprints(table(spark, sf_dir, "documents"))
+    hexed = [votes.hex64(F.col(c)).alias(n) for c, n in (("fp", "fingerprint"), ("edited_fp", "edited_fingerprint"))]
+    return found.select("doc_id", "n_chars", "edited_sha256", *hexed, "near_edited", "near_next")
