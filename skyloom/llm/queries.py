@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import simhash_cover, votes, warc
+from skyloom.llm import secrets_linked, simhash_cover, url_trees, votes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,19 @@ def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = votes.edited_fingerprints(table(spark, sf_dir, "documents"))
     hexed = [votes.hex64(F.col(c)).alias(n) for c, n in (("fp", "fingerprint"), ("edited_fp", "edited_fingerprint"))]
     return found.select("doc_id", "n_chars", "edited_sha256", *hexed, "near_edited", "near_next")
+
+
+@query
+def op7_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets_linked.scan(table(spark, sf_dir, "documents"))
+    base = F.sha2(secrets_linked.said(F.col("base")), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), secrets_linked.said(F.col("spans")).alias("spans"))
+
+
+#: The rules of the query's contract.
+RULES = [url_trees.Rule("block", "net", "/"), url_trees.Rule("allow", "example.net", "/en/"), url_trees.Rule("block", "example.com", "/de/"), url_trees.Rule("allow", "org", "/fr/")]
+
+
+@query
+def op8_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trees.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "score")
