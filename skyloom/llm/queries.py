@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import secrets_linked, simhash_cover, url_trees, votes, warc
+from skyloom.llm import packing, secrets_linked, simhash_cover, url_trees, votes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +68,9 @@ RULES = [url_trees.Rule("block", "net", "/"), url_trees.Rule("allow", "example.n
 @query
 def op8_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trees.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op4_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
