@@ -111,6 +111,20 @@ def next_of(docs: DataFrame, id: str, text: str) -> DataFrame:
     return rows.select("id", F.coalesce("following", "after", "start").alias("next_id"), "need")
 
 
+def _marked(rows: DataFrame, words: int) -> DataFrame:
+    """Both fingerprints of every different ``id``, ``text`` and ``head`` (what its tail is replaced by), and how often it was met."""
+    tail = "int(floor(char_length(text) / 4))"
+    edited = F.expr(f"concat(left(text, char_length(text) - {tail}), coalesce(left(head, {tail}), ''))")
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
+    keys = ["id", "n_chars", "edited_sha256", "sha"]
+    both = rows.withColumn("edited", edited).select(
+        "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("sha"), F.explode(kinds).alias("_p")
+    )
+    found = fingerprints(both.select(*keys, "_p.kind", "_p.t"), [*keys, "kind"], "t", words)
+    side = lambda k: F.max(F.when(F.col("kind") == k, F.col("fp")))
+    return found.groupBy(*keys).agg(side(0).alias("fp"), side(1).alias("edited_fp"), F.max("copies").alias("copies"))
+
+
 def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
     """Fingerprints of every text and of its edited text, with likenesses.
 
@@ -122,18 +136,12 @@ def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = kept(next_of(rows, "id", "text"), "order")
     asked = order.select(F.col("id").alias("before"), F.col("next_id").alias("id"), "need")
-    heads = rows.join(asked, "id").select("before", F.struct(F.sha2("text", 256).alias("sha"), F.expr("left(text, int(need))").alias("head")).alias("s"))
+    placed = rows.where("id is not null")  # the same exchange of texts serves both joins
+    heads = placed.join(asked, "id").select("before", F.struct(F.sha2("text", 256).alias("sha"), F.expr("left(text, int(need))").alias("head")).alias("s"))
     heads = heads.groupBy("before").agg(F.min("s").alias("s")).select(F.col("before").alias("id"), F.col("s.head").alias("head"))
-    n = F.char_length("text")
-    edit = rows.join(heads, "id", "left").select("id", "text", n.cast("long").alias("n_chars"), F.expr("concat(left(text, char_length(text) - int(floor(char_length(text) / 4))), coalesce(left(head, int(floor(char_length(text) / 4))), ''))").alias("edited"))
-    both = edit.select(
-        "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("sha"),
-        F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("_p"),
-    ).select("id", "n_chars", "edited_sha256", "sha", F.col("_p.kind").alias("kind"), F.col("_p.t").alias("t"))
-    keys = ["id", "n_chars", "edited_sha256", "sha"]
-    found = fingerprints(both, [*keys, "kind"], "t", words)
-    side = lambda k: F.max(F.when(F.col("kind") == k, F.col("fp")))
-    marked = kept(found.groupBy(*keys).agg(side(0).alias("fp"), side(1).alias("edited_fp"), F.max("copies").alias("copies")), "marked")
+    unplaced = rows.where("id is null").withColumn("head", F.lit(None).cast("string"))
+    # either side is marked on its own: the join's partitioning then serves the sums of votes
+    marked = kept(_marked(placed.join(heads, "id", "left"), words).unionByName(_marked(unplaced, words)), "marked")
     of_id = marked.where("id is not null").groupBy("id").agg(F.min(F.struct("sha", "fp")).alias("s"))
     nexts = order.join(of_id.select(F.col("id").alias("next_id"), F.col("s.fp").alias("next_fp")), "next_id").select("id", "next_fp")
     out = marked.join(nexts, "id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
