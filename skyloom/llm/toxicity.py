@@ -19,6 +19,10 @@ POSITIVES, UNLABELLED = 8192, 16384
 #: Classifiers of different batch orders whose weights are averaged.
 CLASSIFIERS = 3
 CACHE = 200_000
+#: Standard errors by which a feature must be more frequent among positives to be used.
+SURPLUS = 5.0
+#: Intercept at most: a text without a learned feature is never called toxic.
+FLOOR = -1.0
 
 
 def word_features(word: str) -> tuple[int, int]:
@@ -31,7 +35,7 @@ def features(text: str | None) -> np.ndarray:
     return np.array([f for w in sorted(words) if w for f in word_features(w)], np.int64)
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int, epochs: int = 12, batch: int = 512, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int, epochs: int = 12, batch: int = 512, rate: float = 0.02) -> np.ndarray:
     """Weights and, last, the intercept of a logistic model, by Adam on the non-negative risk.
 
     The risk of negatives is what unlabelled text shows less the prior's share that positives explain; where a batch makes it
@@ -63,12 +67,34 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
             du, dp = -gu, -gp_neg
         g = np.bincount(at_u, du[who_u], DIMENSIONS + 1) + np.bincount(at_p, dp[who_p], DIMENSIONS + 1)
         g[-1] = du.sum() + dp.sum()
-        g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
+    """Features whose share of positive texts exceeds that of unlabelled ones by ``SURPLUS`` standard errors.
+
+    The others are noise to so small a sample; in a long text their many small weights would outdo the few that tell.
+    """
+    counts = [np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=DIMENSIONS) for rows in (positive, unlabelled)]
+    p, u = len(positive), len(unlabelled)
+    share = (counts[0] + counts[1]) / (p + u)
+    error = np.sqrt(share * (1 - share) * (1 / p + 1 / u))
+    return counts[0] / p - counts[1] / u >= SURPLUS * np.maximum(error, 1e-9)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int) -> np.ndarray:
+    """``fit_nnpu`` on telling features, its intercept set so that the prior's share of the unlabelled texts scores a half or more."""
+    use = telling(positive, unlabelled)
+    mine, theirs = [r[use[r]] for r in positive], [r[use[r]] for r in unlabelled]
+    w = fit_nnpu(mine, theirs, prior, seed)
+    w[:-1][~use] = 0
+    margins = np.array([w[r].sum() for r in theirs])
+    w[-1] = min(FLOOR, -float(np.quantile(margins, 1 - prior)))
+    return w
+
+
 def _fit(prior: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("mark", kind="stable")
@@ -77,7 +103,7 @@ def _fit(prior: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
             w = np.zeros(DIMENSIONS + 1)
             w[-1] = np.log(prior / (1 - prior))
         else:
-            w = fit_nnpu(*sets, prior, int(key[0]))
+            w = fit(*sets, prior, int(key[0]))
         return pd.DataFrame({"seed": [int(key[0])], "weights": [w.astype("<f8").tobytes()]})
 
     return run
