@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import decontaminate, packing, secrets_linked, simhash_cover, toxicity, url_trees, votes, warc
+from skyloom.llm import cross_entropy, decontaminate, packing, resampling, secrets_linked, simhash_cover, toxicity, url_trees, votes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,15 @@ def op9_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "log_weight", "key")
+
+
+@query
+def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return cross_entropy.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), tokenizer)
