@@ -133,7 +133,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """``docs`` with every found span of ``text`` masked, all other columns and rows as they were."""
-    rows = docs.withColumn("_key", document_key(F.col(id), F.col(text)))
-    found = spans_of(rows.select(F.col("_key").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")), "text", scope)
-    both = rows.join(found.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left")
-    return both.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("_spans")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), document_key(F.col(id), F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    both = rows.join(spans_of(rows, "text", scope).select("key", "spans"), "key", "left")
+    clean = F.when(F.col("spans").isNull(), F.col(f"row.{text}")).otherwise(masked(F.col("text"), F.col("spans")))
+    return both.withColumn("row", F.col("row").withField(text, clean)).select("row.*")

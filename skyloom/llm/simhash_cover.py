@@ -109,15 +109,18 @@ def near_edges(fingerprints: DataFrame, radius: int = 3, bucket: int = BUCKET) -
     ``fingerprints`` has distinct values ``fp``.  Every table keeps one mask's bits as its key.  Buckets of two are compared
     as they are, larger ones in one task each; a bucket over ``bucket`` members goes through a further level of masks on its
     free bits instead, and so on.  As free bits halve with every level while members are distinct, this ends with
-    buckets of at most max(``bucket``, 2 ** free bits) members, and no pair is lost.  Only forests come out, never a
+    buckets of at most max(``bucket``, 2 ** free bits) members, and no pair is lost.  (Where no more than ``radius`` bits
+    are free, some mask adds none of them: ``bucket`` counts as twice 2 ** ``radius`` at least.)  Only forests come out, never a
     bucket's pairs.
     """
+    bucket = max(bucket, 2 << radius)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     rows = fingerprints.select("fp", F.lit(0).cast("long").alias("mask"))
     out, level = [], 0
     while True:
         masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius, level)])
-        rows = rows.select("fp", F.col("mask").bitwiseOR(F.explode(masks)).alias("mask")).distinct() if level else rows.select("fp", F.explode(masks).alias("mask"))
+        rows = rows.select("fp", F.explode(F.transform(masks, lambda m: m.bitwiseOR(F.col("mask")))).alias("mask"))
+        rows = rows.distinct() if level else rows
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("b"), F.max("fp").alias("a")).where("n > 1")
         sizes = kept(sizes, "buckets")
@@ -164,11 +167,10 @@ def one_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text", w
     Nulls and repeats as in ``near_duplicates``; of repeated rows of the smallest id one stays.  A component of null ids only
     keeps one row.
     """
-    marked = docs.withColumn("_fp", fingerprint(F.col(text), words))
-    small = kept(marked.select(F.col(id).alias(id), F.col("_fp").alias("fp")), "fingerprints")
-    groups = fingerprint_components(small, id, radius).where("fp = keeper").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_least"))
-    stays = marked.join(groups, "_fp").where(F.col(id).eqNullSafe(F.col("_least")))
-    return stays.dropDuplicates(["_fp"]).drop("_fp", "_least")
+    marked = docs.select(F.struct("*").alias("row"), F.col(id).alias("id"), fingerprint(F.col(text), words).alias("fp"))
+    groups = fingerprint_components(kept(marked.select("id", "fp"), "fingerprints"), "id", radius).where("fp = keeper")
+    stays = marked.join(groups, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    return stays.dropDuplicates(["fp"]).select("row.*")
 
 
 def hex64(c: Column) -> Column:

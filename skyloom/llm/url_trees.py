@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -47,12 +48,19 @@ def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """The longest fitting rule as ``(rule, verdict)``, null where none fits.  Rules are few and given: one expression tries them longest first."""
-    out = F.lit(None)
-    for r in sorted(rules, key=lambda r: (len(r.said), r.said)):
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        out = F.when(fits, F.struct(F.lit(r.said).alias("rule"), F.lit(r.verdict).alias("verdict"))).otherwise(out)
-    return out
+    """The longest fitting rule as ``(size, rule, verdict)``, null where none fits.
+
+    The rules are a constant map by host: each of a host's suffixes is looked up there, so a row meets only the rules of its own hosts.
+    """
+    by_host: dict[str, list[dict[str, str]]] = {}
+    for r in rules:
+        by_host.setdefault(r.host, []).append({"path": r.path, "rule": r.said, "verdict": r.verdict})
+    known = F.from_json(F.lit(json.dumps(by_host)), "map<string, array<struct<path string, rule string, verdict string>>>")
+    labels = F.split(host, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    found = F.flatten(F.filter(F.transform(suffixes, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull()))
+    fits = F.filter(found, lambda r: path.startswith(r["path"]))
+    return F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("size"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
 
 
 def _entropy(text: Column) -> Column:
@@ -103,17 +111,17 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", fit_rows: int =
     get the only verdict known, or allow.  Null urls have empty host and path; repeated rows and other columns are kept, and
     an empty table gives no rows.  Columns of ``pages`` named as the results are replaced.
     """
-    mine = pages.drop("host", "path", "rule", "verdict", "score")
-    rows = with_host_and_path(mine, url)
+    others = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
+    rows = with_host_and_path(pages.select(F.struct(*others).alias("_page"), F.col(url).alias("url")), "url")
     rows = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    known = lexical(rows.where(F.col("_rule").isNotNull()).select(F.col(url).alias("url"), "host", "path", "_rule"), "url")
+    known = lexical(rows.where(F.col("_rule").isNotNull()).select("url", "host", "path", "_rule"), "url")
     known = kept(known.withColumn("label", (F.col("_rule.verdict") == "block").cast("double")).drop("_rule"), "labelled")
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     rows = rows.select("*", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("_said"))
     if len(counts) < 2:
         only = F.lit(float(next(iter(counts), 0.0)))
         verdict = F.coalesce("_said", F.when(only >= 0.5, "block").otherwise("allow"))
-        return rows.select(*mine.columns, "host", "path", "rule", verdict.alias("verdict"), only.alias("score"))
+        return rows.select("_page.*", "host", "path", "rule", verdict.alias("verdict"), only.alias("score"))
     overall = counts[1.0] / sum(counts.values())
     rates = [kept(suffix_rates(known, s, n), "rates") for s, n in (("suffix1", "f_rate1"), ("suffix2", "f_rate2"))]
 
@@ -131,7 +139,7 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", fit_rows: int =
     train = kept(rated(sample, True).select(*FEATURES, "label"), "train")
     trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=rounds, maxDepth=depth, maxBins=64, stepSize=0.2, seed=7, minInstancesPerNode=5)
     model = trees.fit(assembler.transform(train)).setProbabilityCol("_p").setRawPredictionCol("_raw").setPredictionCol("_class")
-    scored = model.transform(assembler.transform(rated(lexical(rows, url), False)))
+    scored = model.transform(assembler.transform(rated(lexical(rows, "url"), False)))
     score = F.get(vector_to_array("_p"), F.lit(1))
     verdict = F.coalesce("_said", F.when(score >= 0.5, "block").otherwise("allow"))
-    return scored.select(*mine.columns, "host", "path", "rule", verdict.alias("verdict"), score.alias("score"))
+    return scored.select("_page.*", "host", "path", "rule", verdict.alias("verdict"), score.alias("score"))
