@@ -33,8 +33,13 @@ def kolmogorov_sf(d: Column, n: Column) -> Column:
     return F.when(t <= 0, F.lit(1.0)).when(t < 1.0, small).otherwise(big)
 
 
+def _steps(a: float, b: float = 0.0) -> int:
+    """Terms within which a continued fraction settles: its need grows as the root of the larger parameter."""
+    return 1000 + int(40 * math.sqrt(max(a, b)))
+
+
 def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by its continued fraction."""
+    """Regularised incomplete beta by its continued fraction; not a number where it does not settle."""
     if x <= 0:
         return 0.0
     if x >= 1:
@@ -43,7 +48,7 @@ def betainc(a: float, b: float, x: float) -> float:
         return 1.0 - betainc(b, a, 1 - x)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
     f, c, d = 1.0, 1.0, 0.0
-    for i in range(0, 400):
+    for i in range(_steps(a, b)):
         m = i // 2
         if i == 0:
             num = 1.0
@@ -55,8 +60,8 @@ def betainc(a: float, b: float, x: float) -> float:
         c = 1.0 + num / (c or 1e-300)
         f *= c * d
         if abs(1.0 - c * d) < 1e-14:
-            break
-    return front * (f - 1.0)
+            return front * (f - 1.0)
+    return math.nan
 
 
 @F.pandas_udf(DoubleType())
@@ -79,7 +84,7 @@ def clopper_pearson_upper(wrong: pd.Series, draws: pd.Series, level: pd.Series)
 
 
 def gammainc_upper(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma."""
+    """Regularised upper incomplete gamma; not a number where its fraction does not settle."""
     if x <= 0:
         return 1.0
     lead = math.exp(a * math.log(x) - x - math.lgamma(a))
@@ -95,15 +100,15 @@ def gammainc_upper(a: float, x: float) -> float:
     b = x + 1 - a
     c, d = 1 / tiny, 1 / b
     h = d
-    for i in range(1, 500):
+    for i in range(1, _steps(a)):
         an = -i * (i - a)
         b += 2
         d = 1 / (an * d + b or tiny)
         c = b + an / c or tiny
         h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return lead * h
+        if abs(d * c - 1) < 1e-14:
+            return lead * h
+    return math.nan
 
 
 @F.pandas_udf(DoubleType())

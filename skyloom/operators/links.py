@@ -26,7 +26,7 @@ def pair_chain_seeds(peaks: DataFrame, vmax: float, reach: int = 3) -> DataFrame
     return out
 
 
-def extend_chains(peaks: DataFrame, vmax: float, tol: float = 6.0, max_skip: int = 2, limit: int = 400) -> DataFrame:
+def extend_chains(peaks: DataFrame, vmax: float, tol: float = 6.0, max_skip: int = 2) -> DataFrame:
     """J6. Every seed carried on by the nearest peak inside an anisotropic gate about its prediction.
 
     A chain's state changes only when a peak joins it, so one round tries the next 1..max_skip+1 frames for every chain
@@ -45,9 +45,7 @@ def extend_chains(peaks: DataFrame, vmax: float, tol: float = 6.0, max_skip: int
                      ((F.col("x_2") - F.col("x")) / F.col("dt")).alias("vx"), ((F.col("y_2") - F.col("y")) / F.col("dt")).alias("vy"))
     on = cut(on)
     parts = [pts]
-    for r in range(limit):
-        if on.isEmpty():
-            break
+    while not on.isEmpty():
         step = on.withColumn("gap", F.explode(F.sequence(F.lit(1), F.lit(max_skip + 1)))).withColumn("frame", F.col("last") + F.col("gap"))
         j = step.join(peaks, ["video_id", "polarity", "frame"])
         dx, dy = F.col("x") - (F.col("lx") + F.col("vx") * F.col("gap")), F.col("y") - (F.col("ly") + F.col("vy") * F.col("gap"))
@@ -82,13 +80,13 @@ def off_path(dx: Column, dy: Column, vx: Column, vy: Column, steps: Column, tol:
     return F.when(s < 1e-6, F.hypot(dx, dy) / tol).otherwise(g)
 
 
-def connected(nodes: DataFrame, edges: DataFrame, limit: int = 100) -> DataFrame:
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The smallest id each node is connected to (columns video_id, id -> video_id, id, root): the least label of a node
     and its neighbours, and of its label's own label, until nothing changes."""
     e = edges.select("video_id", "a", "b").unionByName(edges.select("video_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     e = share(e)
     lab = cut(nodes.select("video_id", "id", F.col("id").alias("root")))
-    for _ in range(limit):
+    while True:
         near = e.join(lab.select("video_id", F.col("id").alias("b"), F.col("root").alias("_r")), ["video_id", "b"]).groupBy("video_id", F.col("a").alias("id")).agg(F.min("_r").alias("_r"))
         up = lab.join(near, ["video_id", "id"], "left").select("video_id", "id", "root", F.least("root", F.coalesce("_r", "root")).alias("new"))
         jump = lab.select("video_id", F.col("id").alias("new"), F.col("root").alias("_j"))
@@ -96,8 +94,7 @@ def connected(nodes: DataFrame, edges: DataFrame, limit: int = 100) -> DataFrame
         done = up.where(F.col("new") != F.col("root")).isEmpty()
         lab = up.select("video_id", "id", F.col("new").alias("root"))
         if done:
-            break
-    return lab
+            return lab
 
 
 def join_pieces(points: DataFrame, gap: int = 30, tol: float = 30.0) -> DataFrame:

@@ -107,10 +107,10 @@ def common_mode(curves: DataFrame, keys: Sequence[str]) -> DataFrame:
     return regress_out(obj, [*keys, "curve"], F.col("comp"), F.lit(0.0)).select(*keys, "curve", "frame", "clean", "share")
 
 
-def rate_steps(track: DataFrame, keys: Sequence[str], sigma: float, least: int = 4, rounds: int = 12, chunk: int = CHUNK) -> DataFrame:
+def rate_steps(track: DataFrame, keys: Sequence[str], sigma: float, least: int = 4, chunk: int = CHUNK) -> DataFrame:
     """A47. A track as few straight pieces as its noise allows: rounds of binary splits over every piece of every track at
     once.  Running sums, made once, give both sides' residuals at every date of a piece; a piece is split at its best date
-    where that saves over 4 log(2N) sigma^2; at most ``rounds`` rounds."""
+    where that saves over 4 log(2N) sigma^2, until no piece is."""
     keys = list(keys)
     m = track.groupBy(*keys).agg(F.avg("t_s").alias("_mt"), F.avg("x").alias("_mx"), F.avg("y").alias("_my"), F.count(F.lit(1)).alias("_N"))
     d = track.join(m, keys).select(*keys, "frame", "_N", (F.col("t_s") - F.col("_mt")).alias("t"), (F.col("x") - F.col("_mx")).alias("x"), (F.col("y") - F.col("_my")).alias("y"))
@@ -129,10 +129,7 @@ def rate_steps(track: DataFrame, keys: Sequence[str], sigma: float, least: int =
             out = out + F.greatest(zz - F.when(tt > 0, tz * tz / tt).otherwise(0.0), F.lit(0.0))
         return out
 
-    for _ in range(rounds):
-        live = pieces.where("open")
-        if live.isEmpty():
-            break
+    while not (live := pieces.where("open")).isEmpty():
         # a piece's dates are its own frames; pieces of a track are met through the track's key and frame range
         j = live.withColumnRenamed("_N", "N").join(c.drop("_N"), keys).where((F.col("frame") >= F.col("f0")) & (F.col("frame") < F.col("f1")))
         nl, nr = F.col("s.n") - F.col("lo.n"), F.col("hi.n") - F.col("s.n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -154,23 +155,21 @@ def track_pairs(tracks: DataFrame, near_px: float = 2.0, frames: int = 10, share
     return n.where(F.col("on") >= share_ * F.col("shared"))
 
 
-def greedy_keep(nodes: DataFrame, edges: DataFrame, limit: int = 200) -> DataFrame:
-    """Which nodes a first-come fold keeps: in order of ``prio`` (distinct within ``video_id``), a node is dropped when
+def greedy_keep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Which nodes a first-come fold keeps: in order of ``prio`` (equal ones by id), a node is dropped when
     it matches one already kept.  Each round settles every node whose better matches are all settled; the rounds are as
     many as the longest chain of matches.  Columns: video_id, id, prio; edges video_id, a, b (either order)."""
     e = edges.select("video_id", F.col("a"), F.col("b"))
     pr = nodes.select("video_id", "id", "prio")
-    e = e.join(pr.select("video_id", F.col("id").alias("a"), F.col("prio").alias("pa")), ["video_id", "a"]).join(
-        pr.select("video_id", F.col("id").alias("b"), F.col("prio").alias("pb")), ["video_id", "b"]
+    e = e.join(pr.select("video_id", F.col("id").alias("a"), F.struct("prio", "id").alias("pa")), ["video_id", "a"]).join(
+        pr.select("video_id", F.col("id").alias("b"), F.struct("prio", "id").alias("pb")), ["video_id", "b"]
     )
     e = share(e.select("video_id", F.when(F.col("pa") < F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("hi"),
                        F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("lo")).distinct())
     state = cut(pr.join(e.select("video_id", F.col("lo").alias("id")).distinct(), ["video_id", "id"], "left_anti").select(
         "video_id", "id", F.lit("kept").alias("state")))
     todo = cut(e)
-    for _ in range(limit):
-        if todo.isEmpty():
-            break
+    while not todo.isEmpty():
         j = todo.join(state.select("video_id", F.col("id").alias("hi"), "state"), ["video_id", "hi"], "left")
         per = j.groupBy("video_id", "lo").agg(
             F.bool_or(F.col("state") == "kept").alias("k"), F.bool_and(F.coalesce(F.col("state") == "dropped", F.lit(False))).alias("d")
@@ -238,26 +237,26 @@ def truth_pairs(tracks: DataFrame, boxes: DataFrame, pad: float = 2.0, frames: i
     return g.where((F.col("on") >= frames) & (2 * F.col("on") >= F.col("shared")))
 
 
-def match_truth(pairs: DataFrame, limit: int = 200) -> DataFrame:
+def match_truth(pairs: DataFrame) -> DataFrame:
     """J4. One-to-one matches, longest overlap first (ties by ids): pairs best on both sides are kept, both are taken
     out, and again until none is left.  ``pairs``: video_id, object_id, truth_id, on, shared."""
     todo = cut(pairs)
-    out = None
+    parts: list[DataFrame] = []
     order = F.struct("on", -F.col("object_id"), -F.col("truth_id"))
-    for _ in range(limit):
-        if todo.isEmpty():
-            break
+    while not todo.isEmpty():
         bo = todo.groupBy("video_id", "object_id").agg(F.max(order).alias("_o"))
         bt = todo.groupBy("video_id", "truth_id").agg(F.max(order).alias("_t"))
         j = todo.join(bo, ["video_id", "object_id"]).join(bt, ["video_id", "truth_id"])
         got = cut(j.where((order == F.col("_o")) & (order == F.col("_t"))).select(*pairs.columns))
-        out = got if out is None else out.unionByName(got)
+        parts.append(got)
+        if len(parts) > 10:
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
         todo = cut(
             todo.join(got.select("video_id", "object_id"), ["video_id", "object_id"], "left_anti").join(
                 got.select("video_id", "truth_id"), ["video_id", "truth_id"], "left_anti"
             )
         )
-    return pairs.limit(0) if out is None else out
+    return reduce(DataFrame.unionByName, parts) if parts else todo
 
 
 # ---- places -----------------------------------------------------------------------------------------------------------
