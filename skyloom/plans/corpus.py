@@ -7,7 +7,7 @@ shuffle.  The ``*_SQL`` strings are the same derivations for the SQL side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC, the events' first hour
@@ -116,6 +116,24 @@ curves AS (
     FROM lineitem GROUP BY ALL))"""
 
 
+def own_scene(frames_: DataFrame, videos: DataFrame, shift: int = 0) -> DataFrame:
+    """Each video's own scene: the frame series whose place in order is the video's number plus ``shift``, counted round."""
+    w = Window.orderBy("scene")  # one row a frame series
+    names = frames_.select(F.col("video_id").alias("scene")).distinct()
+    names = names.withColumn("_i", F.row_number().over(w) - 1)
+    count = names.agg(F.count(F.lit(1)).alias("_n"))
+    v = videos.select("video_id").distinct().crossJoin(count).withColumn("_i", F.pmod(F.col("video_id") + shift, F.col("_n")))
+    return v.join(names, "_i").select("video_id", "scene").join(frames_.withColumnRenamed("video_id", "scene"), "scene").drop("scene")
+
+
+def own_scene_sql(name: str, videos: str, shift: int = 0) -> str:
+    """The same in SQL: a table ``name`` of ``video_id, frame, level, sd`` for the videos that ``videos`` selects."""
+    return f"""
+{name} AS (SELECT v.video_id, f.frame, f.level, f.sd FROM ({videos}) v
+  JOIN (SELECT video_id AS scene, row_number() OVER (ORDER BY video_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT video_id FROM frames)) s ON (v.video_id + {shift}) % s.n = s.i
+  JOIN frames f ON f.video_id = s.scene)"""
+
+
 def axes(embeddings: DataFrame) -> DataFrame:
     """Objects with a class (label), a video (ten neighbours) and axes a1..a4; a4 is missing on every seventh."""
     return embeddings.select(

@@ -62,12 +62,12 @@ def _(t):
 
 @query(
     "against_classes",
-    f"""WITH {ENV}, c AS (SELECT class, min(lo_m_s/length_m) AS lo, max(hi_m_s/length_m) AS hi FROM env GROUP BY ALL), b AS (SELECT event_id, value*10 AS per_s FROM events WHERE event_type='view'),
+    f"""WITH {ENV}, c AS (SELECT class, min(lo_m_s/length_m) AS lo, max(hi_m_s/length_m) AS hi FROM env GROUP BY ALL), b AS (SELECT event_id, value*10 AS per_s FROM events),
 w AS (SELECT event_id, class, per_s, lo, hi, (SELECT min(per_s*length_m-hi_m_s) FROM env e WHERE e.class=c.class) AS w FROM b, c)
 SELECT event_id, class, CASE WHEN per_s <= hi THEN CASE WHEN per_s >= lo THEN 'within' ELSE 'slower, allowed' END WHEN greatest(w,0) <= 113 THEN 'with a wind' ELSE 'outside' END AS answer, CASE WHEN per_s > hi THEN round(greatest(w,0),6) END AS wind_m_s FROM w""",
 )
 def _(t):
-    b = t.events.where("event_type = 'view'").select("event_id", (F.col("value") * 10).alias("per_s"))
+    b = t.events.select("event_id", (F.col("value") * 10).alias("per_s"))
     return rnd(ge.against_classes(b, env(t)).drop("per_s"), "wind_m_s")
 
 

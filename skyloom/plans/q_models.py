@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.chunked import row_index
@@ -59,14 +60,19 @@ def _(t):
 
 @query(
     "shake_test",
-    f"""WITH {FRAMES_SQL}, tk AS (SELECT video_id, frame, level AS x, sd AS y FROM frames), bg AS (SELECT frame, level AS x, sd AS y FROM frames WHERE video_id='NO'),
-j AS (SELECT t.video_id, t.frame, t.x, t.y, b.x AS bx, b.y AS "by" FROM tk t JOIN bg b USING (frame)), a AS (SELECT p.video_id, unnest([p.x-2*q.x+r.x, p.y-2*q.y+r.y]) AS o, unnest([p.bx-2*q.bx+r.bx, p."by"-2*q."by"+r."by"]) AS b FROM j p JOIN j q ON p.video_id=q.video_id AND q.frame=p.frame-1 JOIN j r ON p.video_id=r.video_id AND r.frame=p.frame-2)
-SELECT video_id, count(*)//2 AS frames, round(corr(o,b),6) AS r, round(regr_slope(o,b),6) AS slope, round(regr_slope(b,o),6) AS back FROM a GROUP BY ALL""",
+    f"""WITH {FRAMES_SQL}, tk AS (SELECT video_id, frame, level AS x, sd AS y FROM frames), nx AS (SELECT video_id, coalesce(lead(video_id) OVER (ORDER BY video_id), first(video_id) OVER (ORDER BY video_id)) AS other FROM (SELECT DISTINCT video_id FROM frames)),
+bg AS (SELECT nx.video_id, frame, level AS x, sd AS y FROM nx JOIN frames f ON f.video_id=nx.other),
+j AS (SELECT t.video_id, t.frame, t.x, t.y, b.x AS bx, b.y AS "by" FROM tk t JOIN bg b USING (video_id, frame)), a AS (SELECT p.video_id, unnest([p.x-2*q.x+r.x, p.y-2*q.y+r.y]) AS o, unnest([p.bx-2*q.bx+r.bx, p."by"-2*q."by"+r."by"]) AS b FROM j p JOIN j q ON p.video_id=q.video_id AND q.frame=p.frame-1 JOIN j r ON p.video_id=r.video_id AND r.frame=p.frame-2)
+SELECT video_id, count(*)//2 AS frames, round(corr(o,b),6) AS r, round(regr_slope(o,b),6) AS slope, round(regr_slope(b,o),6) AS back,
+CASE WHEN count(*)//2 < 40 THEN 'NO POWER' WHEN corr(o,b) > 0.3 AND regr_slope(o,b) BETWEEN 0.5 AND 1.5 THEN 'PASS' WHEN abs(corr(o,b)) < 0.1 THEN 'FLAG' ELSE 'inconclusive' END AS outcome FROM a GROUP BY ALL""",
 )
 def _(t):
     f = t.frames.select("video_id", "frame", F.col("level").alias("x"), F.col("sd").alias("y"))
-    bg = f.select("video_id").distinct().crossJoin(f.where("video_id = 'NO'").drop("video_id"))
-    return rnd(mo.shake_test(f, bg, ["video_id"]).drop("outcome"), "r", "slope", "back")
+    order = Window.orderBy("video_id")  # one row a video: the next one's frames are its background
+    names = f.select("video_id").distinct()
+    names = names.select("video_id", F.coalesce(F.lead("video_id").over(order), F.first("video_id").over(order)).alias("other"))
+    bg = names.join(f.withColumnRenamed("video_id", "other"), "other").drop("other")
+    return rnd(mo.shake_test(f, bg, ["video_id"]), "r", "slope", "back")
 
 
 @query(

@@ -22,11 +22,11 @@ def _(t):
 
 @query(
     "shaft_candidates",
-    """WITH t AS (SELECT event_id AS tone_id, value AS hz, b AS blades FROM events, range(2,9) r(b) WHERE value > 1 AND event_type='view'), a AS (SELECT p_partkey AS airframe, p_size%7+2 AS blades, p_retailprice/10 AS bp FROM part)
+    """WITH t AS (SELECT event_id AS tone_id, value AS hz, b AS blades FROM events, range(2,9) r(b) WHERE value > 1), a AS (SELECT p_partkey AS airframe, p_size%7+2 AS blades, p_retailprice/10 AS bp FROM part)
 SELECT tone_id, t.blades, round(60*hz/t.blades,6) AS rpm, count(CASE WHEN abs(hz/bp-1) <= 0.015 THEN 1 END) AS airframes, min(CASE WHEN abs(hz/bp-1) <= 0.015 THEN airframe END) AS first FROM t LEFT JOIN a USING (blades) GROUP BY ALL""",
 )
 def _(t):
-    tones = t.events.where("value > 1 AND event_type = 'view'").select(F.col("event_id").alias("tone_id"), F.col("value").alias("hz"))
+    tones = t.events.where("value > 1").select(F.col("event_id").alias("tone_id"), F.col("value").alias("hz"))
     a = t.part.select(F.col("p_partkey").alias("airframe"), (F.col("p_size") % 7 + 2).alias("blades"), (F.col("p_retailprice") / 10).alias("blade_pass_hz"))
     return rnd(re_.shaft_candidates(tones, a), "rpm")
 
@@ -227,9 +227,9 @@ def _(t):
     return rnd(re_.curve_stats(t.curves, ["video_id"]), "light_var", "light_fast", "light_over_bg", n=7)
 
 
-@query("blind_scorecard", "WITH o AS (SELECT user_id AS case_id, CASE WHEN user_id%3=0 THEN 'view' ELSE 'other' END AS known, CASE WHEN event_id%5>0 THEN event_type END AS label FROM events WHERE user_id%2=0 OR event_type<>'view') SELECT case_id, known, count(*) AS objects, CASE WHEN count(label)=0 THEN 'no power' WHEN bool_or(label='view') THEN 'named' ELSE 'not named' END AS verdict, CASE WHEN count(label)>0 THEN bool_or(label='view') = (known='view') END AS agrees FROM o GROUP BY case_id, known")
+@query("blind_scorecard", "WITH o AS (SELECT user_id AS case_id, CASE WHEN user_id%3=0 THEN 'view' ELSE 'other' END AS known, CASE WHEN event_id%5>0 THEN event_type END AS label FROM events) SELECT case_id, known, count(*) AS objects, CASE WHEN count(label)=0 THEN 'no power' WHEN bool_or(label='view') THEN 'named' ELSE 'not named' END AS verdict, CASE WHEN count(label)>0 THEN bool_or(label='view') = (known='view') END AS agrees FROM o GROUP BY case_id, known")
 def _(t):
-    d = t.events.where("user_id % 2 = 0 OR event_type <> 'view'").select(F.col("user_id").alias("case_id"), F.when(F.col("user_id") % 3 == 0, "view").otherwise("other").alias("known"), F.when(F.col("event_id") % 5 > 0, F.col("event_type")).alias("label"))
+    d = t.events.select(F.col("user_id").alias("case_id"), F.when(F.col("user_id") % 3 == 0, "view").otherwise("other").alias("known"), F.when(F.col("event_id") % 5 > 0, F.col("event_type")).alias("label"))
     return re_.blind_scorecard(d, ["view"])
 
 

@@ -98,15 +98,16 @@ def _(t):
 
 @query("read_pointer", f"WITH {TRACK_SQL} SELECT frame, round(sqrt(pow(x*sin(radians(y*3.6))*1.2,2)+pow(x*cos(radians(y*3.6)),2)),5) AS r, round(degrees(atan2(x*sin(radians(y*3.6))*1.2, x*cos(radians(y*3.6)))),4) AS theta, count(*) AS n FROM track WHERE y > 10 GROUP BY ALL")
 def _(t):
-    d = t.track.where("y > 0").select("frame", "x", F.when(F.col("y") > 10, F.col("y") * 3.6))
+    d = t.track.select("frame", "x", F.when(F.col("y") > 10, F.col("y") * 3.6))
     r = rd.read_pointer(t.spark, files_with_header(d, place(t, "pointer"), ["frame", "r_px", "theta_deg"]), 1.2)
     return rnd(rnd(r.select("frame", "r", "theta"), "r", n=5), "theta", n=4).groupBy("frame", "r", "theta").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("read_curves", f"WITH {CURVES_SQL} SELECT video_id, frame, CASE WHEN curve='L1' THEN 'object' ELSE 'background '||substr(curve,2) END AS curve, round(value,6) AS value, kind FROM curves WHERE curve IN ('L1','L2','L3')")
+@query("read_curves", f"WITH {CURVES_SQL} SELECT video_id, frame, CASE WHEN curve='L1' THEN 'object' ELSE 'background '||substr(curve,2) END AS curve, round(value,6) AS value, kind FROM curves")
 def _(t):
-    w = t.curves.where("curve IN ('L1','L2','L3')").groupBy("video_id", "frame").pivot("curve", ["L1", "L2", "L3"]).agg(F.first("value"))
-    w = w.select("video_id", "frame", F.col("L1").alias("object"), F.col("L2").alias("background 2"), F.col("L3").alias("background 3"))
+    names = [f"L{i}" for i in range(1, 8)]
+    w = t.curves.groupBy("video_id", "frame").pivot("curve", names).agg(F.first("value"))
+    w = w.select("video_id", "frame", F.col("L1").alias("object"), *[F.col(n).alias(f"background {n[1:]}") for n in names[1:]])
     return rnd(rd.read_curves(w, ["video_id", "frame"]).where("value IS NOT NULL"), "value")
 
 
@@ -127,9 +128,9 @@ def _(t):
     return rnd(rd.disclosure_rate(t.documents.select(F.col("source").alias("release"), (F.col("lang") == "en").alias("disclosed"))), "share", n=9)
 
 
-@query("catalog_lookup", "SELECT o_orderkey AS key, o_totalprice AS price FROM orders WHERE o_orderkey > 0")
+@query("catalog_lookup", "SELECT o_orderkey AS key, o_totalprice AS price FROM orders")
 def _(t):
-    names = t.orders.where("o_orderkey > 0").select(F.col("o_orderkey").alias("key"), F.concat(F.lit("/videos/CLIP-00"), F.col("o_orderkey").cast("string"), F.lit(".mp4")).alias("name"))
+    names = t.orders.select(F.col("o_orderkey").alias("key"), F.concat(F.lit("/videos/CLIP-00"), F.col("o_orderkey").cast("string"), F.lit(".mp4")).alias("name"))
     cat = t.orders.select(F.concat(F.lit("clip_"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_totalprice").alias("price"))
     return rd.catalog_lookup(names, cat).select("key", "price")
 
@@ -205,11 +206,11 @@ def _(t):
     return wr.as_camera_events(t.spark.read.parquet(p), ["click", "error"]).select("video_id", "frame", "kind")
 
 
-@query("write_frame_series", f"WITH {FRAMES_SQL} SELECT video_id, frame, round(level,6) AS level FROM frames WHERE frame BETWEEN 100 AND 900")
+@query("write_frame_series", f"WITH {FRAMES_SQL} SELECT video_id, frame, round(level,6) AS level FROM frames")
 def _(t):
     p = place(t, "frames")
     wr.write_frame_series(t.frames, p)
-    return rnd(t.spark.read.parquet(p).where(F.col("frame").between(100, 900)).select("video_id", "frame", "level"), "level")
+    return rnd(t.spark.read.parquet(p).select("video_id", "frame", "level"), "level")
 
 
 @query("units_chosen", "SELECT DISTINCT o_custkey AS unit_id FROM orders WHERE o_orderstatus='F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus='P')")
@@ -219,9 +220,9 @@ def _(t):
     return wr.units_chosen(u, pick("F"), pick("P"))
 
 
-@query("shared_frames", f"WITH {TRACK_SQL} SELECT object_id, count(CASE WHEN EXISTS (SELECT 1 FROM track b WHERE b.video_id=track.video_id AND b.frame=track.frame AND b.object_id%10=0) THEN 1 END) AS both_, count(*) AS all_ FROM track WHERE object_id%10=1 GROUP BY ALL")
+@query("shared_frames", f"WITH {TRACK_SQL} SELECT object_id, count(CASE WHEN EXISTS (SELECT 1 FROM track b WHERE b.video_id=track.video_id AND b.frame=track.frame AND b.object_id%2=0) THEN 1 END) AS both_, count(*) AS all_ FROM track WHERE object_id%2=1 GROUP BY ALL")
 def _(t):
-    a, b = t.track.where("object_id % 10 = 1"), t.track.where("object_id % 10 = 0")
+    a, b = t.track.where("object_id % 2 = 1"), t.track.where("object_id % 2 = 0")
     yes, no = wr.shared_frames(a, b)
     d = yes.select("object_id", F.lit(1).alias("k")).unionByName(no.select("object_id", F.lit(0).alias("k")))
     return d.groupBy("object_id").agg(F.sum("k").alias("both_"), F.count(F.lit(1)).alias("all_"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyloom.operators import series_joins as sj
 from skyloom.operators import tracks as tr
 from skyloom.operators import windows as w
-from skyloom.plans.corpus import FRAMES_SQL, STATS_SQL, TRACK_SQL, frame_stats
+from skyloom.plans.corpus import frame_stats, FRAMES_SQL, own_scene, own_scene_sql, STATS_SQL, TRACK_SQL
 from skyloom.plans.q_windows import IV_SQL, order_intervals, rnd
 from skyloom.plans.registry import query
 
@@ -203,26 +203,23 @@ def _(t):
 
 @query(
     "with_group",
-    f"""WITH {TRACK_SQL}, {STATS_SQL}, tk AS (SELECT frame, level AS x, sd AS y FROM stats WHERE video_id='AF'), bg AS (SELECT frame, level AS x, sd AS y FROM stats WHERE video_id='NO'),
-j AS (SELECT p.object_id, p.video_id, p.frame, p.x, p.y, t.x AS tx, t.y AS ty, b.x AS bx, b.y AS "by" FROM track p JOIN tk t USING (frame) JOIN bg b USING (frame)),
+    f"""WITH {TRACK_SQL}, {FRAMES_SQL}, {own_scene_sql("sc0", "SELECT DISTINCT video_id FROM track")}, {own_scene_sql("sc1", "SELECT DISTINCT video_id FROM track", 1)}, tk AS (SELECT video_id, frame, level AS x, sd AS y FROM sc0), bg AS (SELECT video_id, frame, level AS x, sd AS y FROM sc1),
+j AS (SELECT p.object_id, p.video_id, p.frame, p.x, p.y, t.x AS tx, t.y AS ty, b.x AS bx, b.y AS "by" FROM track p JOIN tk t USING (video_id, frame) JOIN bg b USING (video_id, frame)),
 s AS (SELECT a.video_id, a.object_id, sqrt(pow((a.x-a.tx)-(b.x-b.tx),2)+pow((a.y-a.ty)-(b.y-b.ty),2)) AS dt, sqrt(pow((a.x-a.bx)-(b.x-b.bx),2)+pow((a.y-a."by")-(b.y-b."by"),2)) AS db
       FROM j a JOIN j b ON a.object_id=b.object_id AND b.frame=a.frame-1)
 SELECT video_id, object_id, round(sum(dt),5) AS to_track, round(sum(db),5) AS to_background, count(*) AS steps, sum(dt)<sum(db) AS with_track FROM s GROUP BY ALL""",
 )
 def _(t):
-    f = t.frames
-    vids = t.track.select("video_id").distinct()
-    one = lambda v: f.where(F.col("video_id") == v).select("frame", F.col("level").alias("x"), F.col("sd").alias("y")).crossJoin(vids)
-    return rnd(tr.with_group(t.track, one("AF"), one("NO")), "to_track", "to_background", n=5)
+    one = lambda shift: own_scene(t.frames, t.track, shift).select("video_id", "frame", F.col("level").alias("x"), F.col("sd").alias("y"))
+    return rnd(tr.with_group(t.track, one(0), one(1)), "to_track", "to_background", n=5)
 
 
 @query(
     "relative_to_scene",
-    f"""WITH {TRACK_SQL}, {FRAMES_SQL} SELECT t.video_id, object_id, t.frame, round(t.x-f.level,6) AS x, round(t.y-f.sd,6) AS y FROM track t JOIN frames f ON f.video_id='NO' AND f.frame=t.frame""",
+    f"""WITH {TRACK_SQL}, {FRAMES_SQL}, {own_scene_sql("sc", "SELECT DISTINCT video_id FROM track")} SELECT t.video_id, object_id, t.frame, round(t.x-f.level,6) AS x, round(t.y-f.sd,6) AS y FROM track t JOIN sc f ON f.video_id=t.video_id AND f.frame=t.frame""",
 )
 def _(t):
-    s = t.frames.where("video_id = 'NO'").select("frame", F.col("level").alias("x"), F.col("sd").alias("y"))
-    s = t.track.select("video_id").distinct().crossJoin(s)
+    s = own_scene(t.frames, t.track).select("video_id", "frame", F.col("level").alias("x"), F.col("sd").alias("y"))
     return rnd(tr.relative_to_scene(t.track, s), "x", "y")
 
 
@@ -417,15 +414,14 @@ def _(t):
 
 @query(
     "lead_lag",
-    f"""WITH {TRACK_SQL}, {FRAMES_SQL}, p AS (SELECT frame, level AS x FROM frames WHERE video_id='NO'),
+    f"""WITH {TRACK_SQL}, {FRAMES_SQL}, {own_scene_sql("sc", "SELECT DISTINCT object_id AS video_id FROM track")}, p AS (SELECT video_id, frame, level AS x FROM sc),
 i AS (SELECT object_id, lag(frame) OVER w AS f0, frame AS f1, y - lag(y) OVER w AS d FROM track WINDOW w AS (PARTITION BY object_id ORDER BY frame)),
-g AS (SELECT object_id, lag, count(*) AS n, sum(d*(p1.x-p0.x))/sqrt(sum(d*d)*sum(pow(p1.x-p0.x,2))) AS c FROM i, range(-6,7) l(lag), p p1, p p0 WHERE f0 IS NOT NULL AND p1.frame=f1-lag AND p0.frame=f0-lag GROUP BY ALL)
+g AS (SELECT object_id, lag, count(*) AS n, sum(d*(p1.x-p0.x))/sqrt(sum(d*d)*sum(pow(p1.x-p0.x,2))) AS c FROM i, range(-6,7) l(lag), p p1, p p0 WHERE f0 IS NOT NULL AND p1.video_id=object_id AND p0.video_id=object_id AND p1.frame=f1-lag AND p0.frame=f0-lag GROUP BY ALL)
 SELECT object_id AS video_id, lag, round(c,6) AS c, n FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY abs(c) DESC, lag) AS k FROM g WHERE c IS NOT NULL AND NOT isnan(c)) WHERE k=1""",
 )
 def _(t):
     r = t.track.select(F.col("object_id").alias("video_id"), "frame", F.col("y").alias("theta"))
-    p = t.frames.where("video_id = 'NO'").select("frame", F.col("level").alias("x"))
-    p = r.select("video_id").distinct().crossJoin(p)
+    p = own_scene(t.frames, r).select("video_id", "frame", F.col("level").alias("x"))
     return rnd(sj.lead_lag(r, p, range(-6, 7)), "c")
 
 
