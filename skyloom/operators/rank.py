@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyloom.functions.lineage import share
 from skyloom.functions.quantiles import exact_quantiles
 
 MIN_CLASS = 19  # fewest members for a p-value of 0.05 to be possible: 1/(n+1) <= 0.05
-MEMBERS_BROADCAST = 200_000  # labelled members sent whole to every task; more of them are joined instead
 MAD_K = 1.4826
 
 
@@ -51,79 +51,104 @@ def class_range(objects: DataFrame, members: DataFrame, axes: Sequence[str], mar
     return j.select("object_id", "class", F.array_compact(F.array(*[out(a) for a in axes])).alias("outside"))
 
 
-def _medians(members: np.ndarray, x: float) -> tuple[float, float]:
-    bag = np.append(members, x)
-    m = float(np.median(bag))
-    s = MAD_K * float(np.median(np.abs(bag - m)))
-    if not s > 0:
-        s = float(np.std(bag))
-    return m, s if s > 0 else 1.0
-
-
-def _against(x: np.ndarray, rows: np.ndarray, axes: list[str], min_class: int):
-    """p, n, score, driving axis and its z and p, of x against the members' rows (nan: missing)."""
-    use = [j for j in range(len(axes)) if not np.isnan(x[j])]
-    while use:
-        have = ~np.isnan(rows[:, use]).any(axis=1)
-        if have.sum() >= min_class:
-            mem = rows[have][:, use]
-            z, zx = np.empty_like(mem), np.empty(len(use))
-            for i, j in enumerate(use):
-                m, s = _medians(mem[:, i], x[j])
-                z[:, i], zx[i] = (mem[:, i] - m) / s, (x[j] - m) / s
-            score = float(np.abs(zx).max())
-            top = np.abs(z).max(axis=1)
-            k = int(np.argmax(np.abs(zx)))
-            n = len(mem)
-            p = (int((top >= score - 1e-12).sum()) + 1) / (n + 1)
-            ap = (int((np.abs(z[:, k]) >= abs(zx[k]) - 1e-12).sum()) + 1) / (n + 1)
-            return p, n, score, axes[use[k]], float(zx[k]), ap
-        counts = (~np.isnan(rows[:, use])).sum(axis=0)
-        # the axis fewest members have goes; of several, the last listed
-        use.pop(max(i for i in range(len(use)) if counts[i] == counts.min()))
-    return None, None, None, None, None, None
-
-
-def conformal_pvalue(
-    objects: DataFrame,
-    members: DataFrame,
-    axes: Sequence[str],
-    min_class: int = MIN_CLASS,
-    leave_own_video: bool = False,
-    limit: int = MEMBERS_BROADCAST,
-) -> DataFrame:
+def _bag_middle(ordered: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The median of every row of ``ordered`` (sorted, one row or one a value) with that row's ``x`` put in.
+
+    One more value moves a median no further than the neighbours of the middle: it is ``x`` held between them."""
+    n = ordered.shape[-1]
+    at = lambda i: ordered[..., i] if 0 <= i < n else np.full(ordered.shape[:-1], -np.inf if i < 0 else np.inf)
+    if n % 2 == 0:
+        return np.clip(x, at(n // 2 - 1), at(n // 2))
+    return (at(n // 2) + np.clip(x, at(n // 2 - 1), at(n // 2 + 1))) / 2
+
+
+def _scores(x: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For objects ``x`` (objects x axes) against ``members``: largest |z|, its axis and z, members at or over it, and members at
+    or over it on that axis alone.  Each object is put in the bag that its own centre and scale are taken from."""
+    n, size = len(members), len(x)
+    z, top = np.empty(x.shape), np.zeros((size, n))
+    each = []
+    for j in range(x.shape[1]):
+        v, own = np.sort(members[:, j]), x[:, j]
+        middle = _bag_middle(v, own)
+        away = np.abs(v[None, :] - middle[:, None])
+        spread = MAD_K * _bag_middle(np.sort(away, axis=1), np.abs(own - middle))
+        mean = (v.sum() + own) / (n + 1)
+        whole = np.sqrt((((v[None, :] - mean[:, None]) ** 2).sum(axis=1) + (own - mean) ** 2) / (n + 1))
+        scale = np.where(spread > 0, spread, np.where(whole > 0, whole, 1.0))
+        z[:, j] = (own - middle) / scale
+        far = np.abs(members[None, :, j] - middle[:, None]) / scale[:, None]
+        each.append(far)
+        np.maximum(top, far, out=top)
+    axis = np.abs(z).argmax(axis=1)
+    rows = np.arange(size)
+    score = np.abs(z[rows, axis])
+    alone = np.stack(each)[axis, rows]
+    over = lambda m: (m >= score[:, None] - 1e-12).sum(axis=1)
+    return score, axis, z[rows, axis], over(top), over(alone)
+
+
+def _axes_used(x: np.ndarray, members: np.ndarray, min_class: int) -> list[int]:
+    """The axes an object has, less those fewest members have (of several, the last listed), until ``min_class`` members have all."""
+    have = ~np.isnan(members)
+    scarce = sorted(np.flatnonzero(~np.isnan(x)), key=lambda j: (have[:, j].sum(), -j))
+    while scarce and have[:, scarce].all(axis=1).sum() < min_class:
+        scarce = scarce[1:]
+    return sorted(scarce)
+
+
+def _ranked(axes: list[str], min_class: int, leave_own: bool, block: int = 256):
+    names = ["object_id", "class", "p", "n", "score", "axis", "z", "axis_p"]
+
+    def run(key: tuple, objects: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        m, owners = members[[f"_m_{a}" for a in axes]].to_numpy(float), members["_m_video_id"].to_numpy()
+        held = set(owners) if leave_own else set()
+        x = objects[axes].to_numpy(float)
+        kinds = objects.assign(_mask=list(map(tuple, ~np.isnan(x))), _own=[v if v in held else None for v in objects["video_id"]], _at=np.arange(len(objects)))
+        for (_, own), part in kinds.groupby(["_mask", "_own"], dropna=False, sort=False):
+            rows = m if pd.isna(own) else m[owners != own]
+            at = part["_at"].to_numpy()
+            use = _axes_used(x[at[0]], rows, min_class)
+            if not use:
+                out.append(pd.DataFrame({"object_id": part["object_id"]}).assign(**dict.fromkeys(["p", "n", "score", "axis", "z", "axis_p"])))
+                continue
+            bag = rows[:, use][~np.isnan(rows[:, use]).any(axis=1)]
+            n = len(bag)
+            for k in range(0, len(at), block):
+                score, axis, z, over, alone = _scores(x[at[k : k + block]][:, use], bag)
+                out.append(pd.DataFrame({"object_id": part["object_id"].iloc[k : k + block], "p": (over + 1) / (n + 1), "n": n, "score": score, "axis": [axes[use[a]] for a in axis], "z": z, "axis_p": (alone + 1) / (n + 1)}))
+        if not out:
+            return pd.DataFrame(columns=names)
+        found = pd.concat(out, ignore_index=True).assign(**{"class": key[0]})[names]
+        return found.astype({"p": "float64", "n": "Int64", "score": "float64", "z": "float64", "axis_p": "float64"})
+
+    return run
+
+
+def conformal_pvalue(objects: DataFrame, members: DataFrame, axes: Sequence[str], min_class: int = MIN_CLASS, leave_own_video: bool = False) -> DataFrame:
     """A11, A12. Full conformal p-value of every object against every class within its stratum.
 
-    Objects: object_id, video_id, stratum and the axes; members: class, video_id, stratum and the axes.  The members are
-    a labelled reference set: counted first, and sent whole to the tasks while they are at most ``limit``; objects then
-    stream past them in Arrow batches with no shuffle.  A larger set is joined to the objects class by class."""
+    Objects: object_id, video_id, stratum and the axes; members: class, video_id, stratum and the axes.  Objects are dealt to
+    slices by a hash of their id, and every slice meets the members of one class and stratum at a time, in blocks of
+    objects, so what a task holds is one class's labelled members of one stratum.  A labelled set beyond a task's memory
+    goes through ``conformal_joined``, with equal results."""
+    axes = list(axes)
+    slices = int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mem = members.where(F.col("stratum").isNotNull()).select(*[F.col(c).alias(f"_m_{c}") for c in ("class", "stratum", "video_id", *axes)])
+    mem = mem.withColumn("_m_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    obj = objects.select("object_id", "video_id", "stratum", *axes).crossJoin(members.select("class").distinct())  # a row an object and class
+    obj = obj.withColumn("slice", F.pmod(F.xxhash64("object_id"), F.lit(slices)).cast("int"))
+    keys = ["class", "stratum", "slice"]
+    schema = "object_id long, class string, p double, n long, score double, axis string, z double, axis_p double"
+    return obj.groupBy(*keys).cogroup(mem.groupBy(*[f"_m_{k}" for k in keys])).applyInPandas(_ranked(axes, min_class, leave_own_video), schema)
+
+
+def conformal_joined(objects: DataFrame, members: DataFrame, axes: Sequence[str], min_class: int = MIN_CLASS, leave_own_video: bool = False) -> DataFrame:
+    """A11. ``conformal_pvalue`` by joins alone: no task holds a class."""
     axes = list(axes)
     mem = members.select("class", "stratum", "video_id", *axes).where(F.col("stratum").isNotNull())
-    obj = objects.select("object_id", "video_id", "stratum", *axes)
-    if mem.limit(limit + 1).count() > limit:
-        return _conformal_joined(obj, mem, axes, min_class, leave_own_video)
-    table: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-    ref = mem.toPandas()
-    for (c, s), g in ref.groupby(["class", "stratum"], sort=True):
-        table[(c, int(s))] = (g[axes].to_numpy(float), g["video_id"].to_numpy())
-    classes = sorted({c for c, _ in table})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for o, v, s, *x in pdf.itertuples(index=False, name=None):
-                x = np.array([np.nan if a is None else a for a in x], float)
-                for c in classes:
-                    rows, vids = table.get((c, -1 if s is None or s != s else int(s)), (np.empty((0, len(axes))), np.empty(0)))
-                    r = rows[vids != v] if leave_own_video and len(rows) else rows
-                    out.append((o, c, *_against(x, r, axes, min_class)))
-            yield pd.DataFrame(out, columns=["object_id", "class", "p", "n", "score", "axis", "z", "axis_p"])
-
-    # a small objects file would be one task: spread it over the cores there are
-    cores = obj.sparkSession.sparkContext.defaultParallelism
-    if obj.rdd.getNumPartitions() < cores:
-        obj = obj.repartition(cores, "object_id")
-    return obj.mapInPandas(run, "object_id long, class string, p double, n long, score double, axis string, z double, axis_p double")
+    return _conformal_joined(objects.select("object_id", "video_id", "stratum", *axes), mem, axes, min_class, leave_own_video)
 
 
 def _conformal_joined(obj: DataFrame, mem: DataFrame, axes: list[str], min_class: int, leave_own: bool) -> DataFrame:
@@ -201,8 +226,14 @@ def least_unlike(ps: DataFrame) -> DataFrame:
 
 
 def rank_rows(rows: DataFrame, ordered: Sequence[Column]) -> DataFrame:
-    """T5. The list in order: a range-partitioned sort (unplaced objects last)."""
-    return rows.orderBy(*ordered)
+    """T5. The list with every row's ``place`` (unplaced objects last): rows are dealt to ranges of the order, numbered inside
+    each, and set off by the counts of the ranges before it (one row a range)."""
+    cols = [c for c in rows.columns]
+    part = share(rows.repartitionByRange(*ordered).select("*", F.spark_partition_id().alias("_part")))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offset = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_k")).select("_part", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*ordered))
+    return part.withColumn("_in", inside).join(offset, "_part").select(*cols, (F.col("_off") + F.col("_in")).alias("place"))
 
 
 # ---- rules ------------------------------------------------------------------------------------------------------------

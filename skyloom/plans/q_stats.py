@@ -354,7 +354,7 @@ def _(t):
 @query("conformal_joined", f"WITH {conformal_sql(False)} SELECT object_id, class, round(p,9) AS p, n, round(score,6) AS score, axis, round(z,6) AS z, round(axis_p,9) AS axis_p FROM conf")
 def _(t):
     s = strata(t)
-    return rnd(rnd(rk.conformal_pvalue(s, s, AX, limit=0), "score", "z"), "p", "axis_p", n=9)
+    return rnd(rnd(rk.conformal_joined(s, s, AX), "score", "z"), "p", "axis_p", n=9)
 
 
 @query("strata_edges", f"WITH {AXES_SQL} SELECT round(median(contrast),9) AS edge FROM axes WHERE contrast <> 0")
@@ -375,10 +375,10 @@ def _(t):
     return rnd(rnd(lu(t), "p", n=9), "score")
 
 
-@query("global_order", f"WITH {conformal_sql(False)}, {LU} SELECT object_id, round(p,9) AS p, round(score,6) AS score FROM lu ORDER BY p NULLS LAST, score DESC, object_id LIMIT 100")
+@query("global_order", f"WITH {conformal_sql(False)}, {LU} SELECT object_id, round(p,9) AS p, round(score,6) AS score, row_number() OVER (ORDER BY p NULLS LAST, score DESC, object_id) AS place FROM lu")
 def _(t):
-    d = rk.rank_rows(lu(t), [F.col("p").asc_nulls_last(), F.col("score").desc(), F.col("object_id")]).limit(100)
-    return rnd(rnd(d.select("object_id", "p", "score"), "p", n=9), "score")
+    d = rk.rank_rows(lu(t), [F.col("p").asc_nulls_last(), F.col("score").desc(), F.col("object_id")])
+    return rnd(rnd(d.select("object_id", "p", "score", "place"), "p", n=9), "score")
 
 
 @query("calibrate", f"WITH {conformal_sql(True)} SELECT st.class AS own, conf.class AS against, count(p) AS n, round(avg(CASE WHEN p <= 0.05 THEN 1.0 WHEN p IS NOT NULL THEN 0.0 END),9) AS le_05, round(avg(CASE WHEN p <= 0.5 THEN 1.0 WHEN p IS NOT NULL THEN 0.0 END),9) AS le_50 FROM conf JOIN st USING (object_id) GROUP BY ALL")
