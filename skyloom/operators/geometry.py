@@ -115,39 +115,48 @@ def _rp(kappa: Column) -> Column:
     return R_EARTH / (1.0 - kappa)
 
 
+TANGENT = 1e-12  # radians from the horizon that count as on it: such a ray neither meets the surface nor clears it
+
+
+def _dip(h: Column, kappa: float) -> Column:
+    """The horizon's depression seen from height ``h`` over a sphere that refraction ``kappa`` flattens."""
+    r = _rp(F.lit(kappa))
+    return F.acos(r / (r + h))
+
+
+def _surface_range(below: Column, h: Column, kappa: float) -> Column:
+    """Length of the ray that meets the surface ``below`` (radians) the horizon; endless where none does."""
+    r = _rp(F.lit(kappa))
+    down, far = _dip(h, kappa) + below, r + h
+    left = F.pow(far * F.sin(down), 2) - (2 * r * h + h * h)
+    return F.when((below > TANGENT) & (left >= 0), far * F.sin(down) - F.sqrt(left)).otherwise(F.lit(float("inf")))
+
+
+def _least_height(below: Column, h: Column, kappa: float) -> Column:
+    """How near the surface the ray comes that leaves ``-below`` (radians) over the horizon."""
+    r, up = _rp(F.lit(kappa)), -_dip(h, kappa) - below
+    return F.when(below >= -TANGENT, F.lit(float("-inf"))).when(up >= 0, h).otherwise((r + h) * F.cos(up) - r)
+
+
 def horizon_bounds(df: DataFrame, band: Sequence[float] = KAPPA_BAND) -> DataFrame:
     """P7. From the angle below (+) or above the horizon line and its error, the height h and its error and k's share of
-    error: the largest range of a point on the surface, or the least height of one above, over every corner of the box
-    and the refraction band; outcome where refused (a band that reaches 1)."""
-    low, nom, high = band
-    if high >= 1:
+    error: the largest range of a point on the surface, or the least height of one above; outcome where refused (a band that
+    reaches 1).
+
+    A ray reaches farther the flatter it leaves, the higher its start and the stronger the refraction; it passes lower the
+    steeper it leaves, the lower its start and the weaker the refraction.  So each bound is the value at one extreme of all inputs."""
+    weak, nominal, strong = (float(k) for k in band)
+    if strong >= 1:
         return df.withColumns({"range_max_m": F.lit(None).cast("double"), "height_min_m": F.lit(None).cast("double"), "outcome": F.lit("cannot say")})
-    dip = lambda h, kap: F.acos(_rp(kap) / (_rp(kap) + F.greatest(h, F.lit(0.0))))
-
-    def ray(dd, kk, hh, kap):
-        a = F.radians((F.col("delta_deg") + dd * F.col("delta_err_deg")) * (1 + kk * F.col("k_share")))
-        return a, F.greatest(F.col("h_m") + hh * F.col("h_err_m"), F.lit(0.0)), kap
-
-    def surface(a, h, kap):
-        dep, big = dip(h, kap) + a, _rp(kap) + h
-        disc = F.pow(big * F.sin(dep), 2) - (2 * _rp(kap) * h + h * h)
-        return F.when((dep <= 0) | (disc < 0), F.lit(float("inf"))).otherwise(big * F.sin(dep) - F.sqrt(disc))
-
-    def lowest(a, h, kap):
-        el = -dip(h, kap) - a
-        return F.when(el <= -dip(h, kap), F.lit(float("-inf"))).when(el >= 0, h).otherwise((_rp(kap) + h) * F.cos(el) - _rp(kap))
-
-    # the 8 corners of the box at 3 refractions, as a short literal array folded in each row
-    corners = F.array(*[
-        F.struct(F.lit(float(dd)).alias("d"), F.lit(float(kk)).alias("k"), F.lit(float(hh)).alias("h"), F.lit(float(kap)).alias("r"))
-        for dd in (-1, 1) for kk in (-1, 1) for hh in (-1, 1) for kap in band
-    ])
-    over = lambda f: F.transform(corners, lambda c: f(*ray(c["d"], c["k"], c["h"], c["r"])))
-    r0 = ray(0.0, 0.0, 0.0, F.lit(float(nom)))
-    below = F.col("delta_deg") > 0
+    least, most = F.col("delta_deg") - F.col("delta_err_deg"), F.col("delta_deg") + F.col("delta_err_deg")
+    flattest, steepest = F.radians(least - F.abs(least) * F.col("k_share")), F.radians(most + F.abs(most) * F.col("k_share"))
+    height = lambda side: F.greatest(F.col("h_m") + side * F.col("h_err_m"), F.lit(0.0))
+    told, below = F.radians("delta_deg"), F.col("delta_deg") > 0
     return df.withColumns({
-        "below": below, "range_max_m": F.when(below, F.array_max(over(surface))), "range_nominal_m": F.when(below, surface(*r0)),
-        "height_min_m": F.when(~below, F.array_min(over(lowest))), "height_nominal_m": F.when(~below, lowest(*r0)), "outcome": F.lit("pass"),
+        "below": below,
+        "range_max_m": F.when(below, _surface_range(flattest, height(1), strong)), "range_nominal_m": F.when(below, _surface_range(told, height(0), nominal)),
+        "height_min_m": F.when(~below, _least_height(steepest, height(-1), weak)), "height_nominal_m": F.when(~below, _least_height(told, height(0), nominal)),
+        "outcome": F.lit("pass"),
     })
 
 
@@ -231,19 +240,26 @@ def screen_bearing(df: DataFrame) -> DataFrame:
     )
 
 
+def _quantity(token: Column) -> tuple[Column, Column]:
+    """Number and unit of a token such as ``12.5kt``; null where it has not that form."""
+    digits = F.regexp_extract(token, "^[-+.0-9]*", 0)
+    unit = F.substring(token, F.length(digits) + 1, F.length(token))
+    return F.when(unit.rlike("^[a-z/]*$"), digits.try_cast("double")), unit
+
+
 def normalise_units(df: DataFrame, text: str) -> DataFrame:
-    """P16. A reading with its unit to SI: value, unit and whether it could be read; an indicated airspeed at a height
-    (250kias@7000ft) becomes true airspeed in the standard atmosphere."""
-    t = F.regexp_replace(F.lower(F.trim(text)), " ", "")
-    ias = F.regexp_extract(t, r"^([0-9.]+)(kias|kcas)@([0-9.]+)(ft|m)?$", 1)
-    num = F.regexp_extract(t, r"^([+-]?[0-9]*\.?[0-9]+)([a-z/]*)$", 1)
-    unit = F.regexp_extract(t, r"^([+-]?[0-9]*\.?[0-9]+)([a-z/]*)$", 2)
+    """P16. A reading with its unit to SI: value, unit and whether it could be read; an indicated airspeed with the height it was
+    read at becomes true airspeed in the standard atmosphere."""
+    tokens = F.split(F.replace(F.lower(F.trim(text)), F.lit(" "), F.lit("")), "@")
+    value, unit = _quantity(F.get(tokens, 0))
+    height, of_height = _quantity(F.get(tokens, 1))
+    metres = height * F.when(of_height.isin("", "ft"), FT).when(of_height == "m", 1.0)
+    indicated = unit.isin("kias", "kcas") & (F.size(tokens) == 2) & (value >= 0) & (height >= 0)
     table = F.create_map(*[F.lit(v) for kv in UNITS.items() for v in kv])
-    alt = F.regexp_extract(t, r"@([0-9.]+)", 1).try_cast("double") * F.when(t.endswith("ft"), FT).when(t.endswith("m"), 1.0).otherwise(FT)
-    tas = ias.try_cast("double") * KN / F.sqrt(isa_density_ratio(alt, F.lit(0.0)))
-    plain = num.try_cast("double") * F.when(unit == "", F.lit(1.0)).otherwise(F.try_element_at(table, unit))
-    v = F.when(ias != "", tas).otherwise(plain)
-    return df.withColumn("si", v).withColumn("unit", F.when(ias != "", "kias").otherwise(unit)).withColumn("readable", v.isNotNull())
+    plain = F.when(F.size(tokens) == 1, value * F.when(unit == "", F.lit(1.0)).otherwise(F.try_element_at(table, unit)))
+    v = F.when(indicated, value * KN / F.sqrt(isa_density_ratio(metres, F.lit(0.0)))).otherwise(plain)
+    said = F.when(indicated, F.lit("kias")).when((F.size(tokens) == 1) & value.isNotNull(), unit).otherwise(F.lit(""))
+    return df.withColumn("si", v).withColumn("unit", said).withColumn("readable", v.isNotNull())
 
 
 def isa_density_ratio(alt_m: Column, dt: Column) -> Column:

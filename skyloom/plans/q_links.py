@@ -99,7 +99,7 @@ def run(t, df, order, name, job, mode="append"):
 @query("track_linker")
 def _(t):
     c = t.track.select("video_id", "frame", "x", "y", F.col("object_id").cast("double").alias("response"))
-    return rnd(run(t, c, "frame", "linked", jobs.track_linker), "x", "y")
+    return rnd(run(t, c, "frame", "linked", jobs.track_linker).where("NOT late").drop("late"), "x", "y")
 
 
 @query(

@@ -2,61 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-TRACK = "video_id long, frame long, x double, y double"
+TRACK = "video_id long, frame long, x double, y double, late boolean"
 _STATE = "frame long, x double, y double, vx double, vy double"
 
 
-def link_step(state, cands: pd.DataFrame, max_gap: int = 40, gate=(25.0, 12.0)):
-    """One video's candidates in frame order carried onto its track: the nearest to a constant-velocity prediction
-    within 25 + 12 gap px; over ``max_gap`` frames without one, the strongest starts again.  Velocity is half the old and
-    half the new for gaps up to 3, else the new.  Returns (state, points)."""
-    out = []
-    for n, g in cands.groupby("frame", sort=True):
-        x, y, r = g["x"].to_numpy(float), g["y"].to_numpy(float), g["response"].to_numpy(float)
-        if state is not None and n <= state[0]:
-            continue  # a late frame: the track has passed it
-        if state is not None and n - state[0] > max_gap:
-            vx, vy = state[3], state[4]
-            state = None
-        elif state is None:
-            vx = vy = 0.0
-        if state is None:
-            i = int(np.argmax(r))
-            state = (int(n), x[i], y[i], vx, vy)
-        else:
-            n0, x0, y0, vx, vy = state
-            gap = n - n0
-            d = np.hypot(x - (x0 + vx * gap), y - (y0 + vy * gap))
-            i = int(np.argmin(d))
-            if d[i] > gate[0] + gate[1] * gap:
-                continue
-            nx, ny = (x[i] - x0) / gap, (y[i] - y0) / gap
-            if gap <= 3:
-                nx, ny = 0.5 * (vx + nx), 0.5 * (vy + ny)
-            state = (int(n), x[i], y[i], nx, ny)
-        out.append((int(n), float(x[i]), float(y[i])))
-    return state, out
-
-
-def track_linker(cands: DataFrame, max_gap: int = 40, gate=(25.0, 12.0)) -> DataFrame:
-    """R1. A track a video, grown as candidates arrive (columns video_id, frame, x, y, response).  The state is one point
-    and a velocity; a micro-batch holds what the trigger lets in."""
+class Follower:
+    """One object followed through a video: where it was last, how fast it goes, and what that lets it be next.
+
+    Waiting, it takes the strongest candidate of a frame; following, the candidate nearest to where its speed puts it, if that is
+    inside a gate that opens with the silence; silent for more than ``patience`` frames, it waits again but keeps its speed.
+    """
+
+    def __init__(self, state: tuple | None = None, patience: int = 40, gate: tuple[float, float] = (25.0, 12.0)):
+        self.last, *rest = state if state else (None, 0.0, 0.0, 0.0, 0.0)
+        self.at, self.speed = np.array(rest[:2], float), np.array(rest[2:], float)
+        self.patience, self.gate = patience, gate
+
+    @property
+    def state(self) -> tuple | None:
+        return None if self.last is None else (self.last, *map(float, self.at), *map(float, self.speed))
+
+    def passed(self, frame: int) -> bool:
+        return self.last is not None and frame <= self.last
+
+    def see(self, frame: int, spots: np.ndarray, strength: np.ndarray) -> np.ndarray | None:
+        """The spot taken on a frame, or none.  Half of a new speed counts after a silence of up to three frames, all of it after more."""
+        silence = None if self.last is None else frame - self.last
+        if silence is None or silence > self.patience:
+            self.last, self.at = frame, spots[strength.argmax()]
+            return self.at
+        miss = np.linalg.norm(spots - (self.at + silence * self.speed), axis=1)
+        nearest = int(miss.argmin())
+        if miss[nearest] > self.gate[0] + self.gate[1] * silence:
+            return None
+        fresh = (spots[nearest] - self.at) / silence
+        self.speed = (self.speed + fresh) / 2 if silence <= 3 else fresh
+        self.last, self.at = frame, spots[nearest]
+        return self.at
+
+
+def link_step(state: tuple | None, cands: pd.DataFrame, max_gap: int = 40, gate: tuple[float, float] = (25.0, 12.0)):
+    """One video's candidates, frame by frame, through a ``Follower``: the new state and the points taken."""
+    own, taken = Follower(state, max_gap, gate), []
+    for frame, group in cands.groupby("frame", sort=True):
+        if not own.passed(int(frame)):
+            spot = own.see(int(frame), group[["x", "y"]].to_numpy(float), group["response"].to_numpy(float))
+            if spot is not None:
+                taken.append((int(frame), float(spot[0]), float(spot[1])))
+    return own.state, taken
+
+
+def track_linker(cands: DataFrame, max_gap: int = 40, gate: tuple[float, float] = (25.0, 12.0), seeds: Mapping[int, tuple] | None = None) -> DataFrame:
+    """R1. A track a video, grown as candidates arrive (columns video_id, frame, x, y, response).
+
+    The state is one point and a velocity; a micro-batch holds what the trigger lets in.  ``seeds`` are the starts a user marked, by
+    video: (frame, x, y, vx, vy), for objects too fast to be taken up unaided.  Candidates of frames the track has passed come out
+    with ``late`` set, for a side table."""
+    starts = dict(seeds or {})
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = tuple(state.get) if state.exists else None
-        s, pts = link_step(s, pd.concat(list(frames)), max_gap, gate)
-        if s is not None:
-            state.update(s)
-        yield pd.DataFrame([(key[0], *p) for p in pts], columns=["video_id", "frame", "x", "y"])
+        begun = tuple(state.get) if state.exists else starts.get(key[0])
+        rows = pd.concat(list(frames))
+        after, points = link_step(begun, rows, max_gap, gate)
+        if after is not None:
+            state.update(after)
+        missed = rows[rows["frame"] <= begun[0]] if begun else rows.iloc[:0]
+        told = [(key[0], *p, False) for p in points] + [(key[0], int(f), float(x), float(y), True) for f, x, y in missed[["frame", "x", "y"]].itertuples(index=False)]
+        yield pd.DataFrame(told, columns=["video_id", "frame", "x", "y", "late"])
 
     return cands.groupBy("video_id").applyInPandasWithState(run, TRACK, _STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -98,6 +119,16 @@ def rolling_step_alert(stats: DataFrame, hold: int = 8, least: float = 3.0) -> D
     )
 
 
+def levels_of(counts: DataFrame, probs: Sequence[float] = (0.5, 0.9, 0.99), grain: float = 1.0) -> DataFrame:
+    """R5. Levels read off ``running_noise_levels``' counts: for each stratum and bin, the upper edge of the slot that each share of
+    the values is reached in.  A bin's slots are one row each, however many values they hold."""
+    w = Window.partitionBy("stratum", "bin").orderBy("slot")
+    run = counts.withColumn("_c", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    total = counts.groupBy("stratum", "bin").agg(F.sum("n").alias("values"))
+    edge = lambda p: F.min(F.when(F.col("_c") >= p * F.col("values"), (F.col("slot") + 1) / grain)).alias(f"p{round(100 * p)}")
+    return run.join(total, ["stratum", "bin"]).groupBy("stratum", "bin", "values").agg(*[edge(p) for p in probs])
+
+
 def running_noise_levels(backgrounds: DataFrame, grain: float = 1.0) -> DataFrame:
     """R5. Histogram counts of the backgrounds' values by stratum and bin as videos arrive (update mode); levels are read
     off the counts (``levels_of``), the exact ones recomputed from the table."""
@@ -105,7 +136,7 @@ def running_noise_levels(backgrounds: DataFrame, grain: float = 1.0) -> DataFram
 
 
 def progress_status(beats: DataFrame) -> DataFrame:
-    """R6. The last heartbeat and state of every unit."""
+    """R6. The last heartbeat and state of every unit: one row of state a unit, whose number the batch of units bounds."""
     return beats.groupBy("unit_id").agg(F.max("ts").alias("last"), F.max_by("state", "ts").alias("state"))
 
 

@@ -266,3 +266,30 @@ def test_rate_steps_find_the_turn(spark):
     pts = [(1, 1, f, (f - 1) / 30, (2.0 * f if f <= 80 else 160 - 3.0 * (f - 80)) + rng.gauss(0, 0.2), rng.gauss(0, 0.2)) for f in range(1, 161)]
     r = rate_steps(spark.createDataFrame(pts, "video_id long, object_id long, frame long, t_s double, x double, y double"), ["video_id", "object_id"], 0.2).orderBy("f0").collect()
     assert len(r) == 2 and abs(r[0].f1 - 80) <= 1 and abs(r[0].vx - 60) < 1 and abs(r[1].vx + 90) < 1
+
+
+def test_tails_of_large_counts():
+    from skyloom.functions.probability import betainc, gammainc_upper
+
+    assert all(abs(betainc(a, a, 0.5) - 0.5) < 1e-6 for a in (5e3, 5e5, 5e6))
+    assert abs(gammainc_upper(5e6, 5e6) - 0.5) < 1e-3
+
+
+def test_late_candidates_go_to_the_side(spark):
+    import pandas as pd
+
+    from skyloom.streaming.jobs import Follower, link_step
+
+    f = pd.DataFrame({"frame": range(1, 30), "x": [90.0 * n for n in range(1, 30)], "y": 0.0, "response": 1.0})
+    assert len(link_step(None, f)[1]) < 5  # too fast to be taken up unaided
+    assert [p[0] for p in link_step((1, 90.0, 0.0, 90.0, 0.0), f)[1]] == list(range(2, 30))
+    assert Follower((10, 0.0, 0.0, 0.0, 0.0)).passed(10) and not Follower().passed(0)
+
+
+def test_places_number_the_whole_order(spark):
+    from pyspark.sql import functions as F
+
+    from skyloom.operators.rank import rank_rows
+
+    d = rank_rows(spark.range(5000).select((F.col("id") * 37 % 5000).alias("k")), [F.col("k").desc()])
+    assert d.where(F.col("place") != 5000 - F.col("k")).count() == 0 and d.count() == 5000
