@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.llm.common import kept
+
 #: Hashed features of the linear models.
 DIMENSIONS = 1 << 18
 #: Letters of the word beginnings that are features beside whole words.
@@ -72,39 +74,53 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return w
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Features whose share of positive texts exceeds that of unlabelled ones by ``SURPLUS`` standard errors.
+def surplus(positive: np.ndarray, unlabelled: np.ndarray, p: int, u: int) -> np.ndarray:
+    """Which features' share of ``p`` positive texts exceeds that of ``u`` unlabelled ones by ``SURPLUS`` standard errors.
 
     The others are noise to so small a sample; in a long text their many small weights would outdo the few that tell.
     """
-    counts = [np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=DIMENSIONS) for rows in (positive, unlabelled)]
-    p, u = len(positive), len(unlabelled)
-    share = (counts[0] + counts[1]) / (p + u)
+    share = (positive + unlabelled) / (p + u)
     error = np.sqrt(share * (1 - share) * (1 / p + 1 / u))
-    return counts[0] / p - counts[1] / u >= SURPLUS * np.maximum(error, 1e-9)
+    return positive / p - unlabelled / u >= SURPLUS * np.maximum(error, 1e-9)
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int) -> np.ndarray:
-    """``fit_nnpu`` on telling features, its intercept set so that the prior's share of the unlabelled texts scores a half or more."""
-    use = telling(positive, unlabelled)
-    mine, theirs = [r[use[r]] for r in positive], [r[use[r]] for r in unlabelled]
-    w = fit_nnpu(mine, theirs, prior, seed)
-    w[:-1][~use] = 0
-    margins = np.array([w[r].sum() for r in theirs])
+    """``fit_nnpu``, its intercept set so that the prior's share of the unlabelled texts scores a half or more."""
+    w = fit_nnpu(positive, unlabelled, prior, seed)
+    margins = np.array([w[r].sum() for r in unlabelled])
     w[-1] = min(FLOOR, -float(np.quantile(margins, 1 - prior)))
     return w
 
 
+def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"positive": batch["positive"], "mark": batch["mark"], "features": [features(t).astype("<i4").tobytes() for t in batch["text"]]})
+
+
+def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sums = np.zeros((2, DIMENSIONS), np.int64)
+    for batch in batches:
+        for positive, own in zip(batch["positive"], batch["features"], strict=True):
+            sums[0 if positive else 1][np.unique(np.frombuffer(own, "<i4"))] += 1
+    some = np.flatnonzero(sums.any(axis=0))
+    yield pd.DataFrame({"feature": some, "p": sums[0][some], "u": sums[1][some]})
+
+
+def _only(use: bytes):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = np.unpackbits(np.frombuffer(use, np.uint8)).astype(bool)
+        for batch in batches:
+            own = [np.frombuffer(f, "<i4") for f in batch["features"]]
+            yield batch.assign(features=[f[wanted[f]].tobytes() for f in own])
+
+    return run
+
+
 def _fit(prior: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("mark", kind="stable")
-        sets = [[features(t) for t in rows.loc[rows["positive"] == k, "text"]] for k in (True, False)]
-        if not sets[0] or not sets[1]:
-            w = np.zeros(DIMENSIONS + 1)
-            w[-1] = np.log(prior / (1 - prior))
-        else:
-            w = fit(*sets, prior, int(key[0]))
-        return pd.DataFrame({"seed": [int(key[0])], "weights": [w.astype("<f8").tobytes()]})
+        sets = [[np.frombuffer(f, "<i4").astype(np.int64) for f in rows.loc[rows["positive"] == k, "features"]] for k in (True, False)]
+        return pd.DataFrame({"seed": [int(key[0])], "weights": [fit(*sets, prior, int(key[0])).astype("<f8").tobytes()]})
 
     return run
 
@@ -114,7 +130,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id:
 
     ``allowed`` says which ids labels may be learned from.  Positives are the allowed ids labelled 1, at most ``POSITIVES`` of them
     (smallest hash first); their ids are few enough to be sent to every task.  Unlabelled text is about ``UNLABELLED`` of
-    all other allowed documents, chosen by a hash of their id whatever their label.  The class prior is the share of ones among
+    all other allowed documents, chosen by a hash of their id whatever their label.  The sample's features are a written table; tasks
+    count them, and a model's task gets the telling ones alone, never a text.  The class prior is the share of ones among
     the allowed labels, kept within 0.001 and 0.5.  Null labels and ids are left out; repeated rows count as one label.
     """
     mine = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label is not null")
@@ -130,13 +147,19 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id:
     part = F.pmod(mark, F.lit(1 << 30)) < int(min(1.0, UNLABELLED / max(n, 1)) * (1 << 30))
     positive = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).withColumn("positive", F.lit(True))
     other = rows.where(part).dropDuplicates(["id"]).withColumn("positive", F.lit(False))
-    sample = positive.unionByName(other).withColumn("mark", mark)
-    sample = sample.withColumn("seed", F.explode(F.array(*[F.lit(i) for i in range(CLASSIFIERS)])))
-    fitted = sample.groupBy("seed").applyInPandas(_fit(prior), "seed int, weights binary").collect()
-    if not fitted:
-        w = np.zeros(DIMENSIONS + 1)
-        w[-1] = np.log(prior / (1 - prior))
-        return w
+    sample = positive.unionByName(other).select("positive", mark.alias("mark"), "text")
+    sample = kept(sample.mapInPandas(_extract, "positive boolean, mark long, features binary"), "sample")
+    sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    nothing = np.zeros(DIMENSIONS + 1)
+    nothing[-1] = np.log(prior / (1 - prior))
+    if len(sizes) < 2:
+        return nothing
+    counts = sample.mapInPandas(_tally, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toPandas()  # at most DIMENSIONS rows
+    by = np.zeros((2, DIMENSIONS))
+    by[:, counts["feature"]] = counts[["p", "u"]].to_numpy().T
+    use = np.packbits(surplus(by[0], by[1], sizes[True], sizes[False])).tobytes()
+    telling = sample.mapInPandas(_only(use), sample.schema).withColumn("seed", F.explode(F.array(*[F.lit(i) for i in range(CLASSIFIERS)])))
+    fitted = telling.groupBy("seed").applyInPandas(_fit(prior), "seed int, weights binary").collect()
     return np.mean([np.frombuffer(r["weights"], "<f8") for r in fitted], axis=0)
 
 
