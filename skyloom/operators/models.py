@@ -232,10 +232,10 @@ def light_train(flashes: DataFrame, keys: Sequence[str], freqs: Sequence[float],
     return b.select(*keys, "b.hz", F.col("b.z").alias("coherence"), F.col("b.n").alias("flashes"), F.exp(-F.col("b.n") * F.col("b.z") * F.col("b.z")).alias("p_one_rate"))
 
 
-def engine_clock_refine(lines: DataFrame, harmonics: int = 8, gap: float = 0.02, least: int = 3) -> DataFrame:
+def engine_clock_refine(lines: DataFrame, gap: float = 0.02, least: int = 3) -> DataFrame:
     """A50. Estimates hz/k of one clock from harmonics over pieces, grouped where neighbours are within ``gap``; groups of
     ``least`` different harmonics.  Columns: video_id, hz, k."""
-    e = lines.where((F.col("k") >= 1) & (F.col("k") <= harmonics)).select("video_id", "k", (F.col("hz") / F.col("k")).alias("f"))
+    e = lines.where(F.col("k") >= 1).select("video_id", "k", (F.col("hz") / F.col("k")).alias("f"))
     ck = F.floor(F.col("f") * 16).cast("long")
     d = scan(e, ["video_id"], "f", {"_p": ("last", F.col("f"))}, exclusive=True, ties=["k"], pos_chunk=ck)
     d = scan(d, ["video_id"], "f", {"clock": ("sum", F.when(F.col("_p").isNull() | (F.col("f") - F.col("_p") > gap), 1).otherwise(0))}, ties=["k"], pos_chunk=ck)

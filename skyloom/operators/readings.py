@@ -42,9 +42,9 @@ def shaft_candidates(tones: DataFrame, airframes: DataFrame, blades: Sequence[in
     return j.groupBy("tone_id", "blades", "rpm").agg(F.count(F.when(hit, 1)).alias("airframes"), F.min(F.when(hit, F.col("airframe"))).alias("first"))
 
 
-def explain_lines(lines: DataFrame, families: Sequence[tuple[str, float, float, int]], harmonics: int = 12) -> DataFrame:
+def explain_lines(lines: DataFrame, families: Sequence[tuple[str, float, float, int]], harmonics: int = 40) -> DataFrame:
     """J19. Steady tones given to the first family that holds them: (name, fundamental Hz, tolerance Hz, least members).
-    A family counts only with its least members; the families are a short list in order."""
+    A family counts only with its least members, multiples up to the ``harmonics``-th; the families are a short list in order."""
     fam = F.array(*[F.struct(F.lit(i).alias("prio"), F.lit(n).alias("family"), F.lit(float(f)).alias("f0"), F.lit(float(t)).alias("tol"), F.lit(m).alias("least")) for i, (n, f, t, m) in enumerate(families)])
     j = lines.select("video_id", "line_id", "hz", F.explode(fam).alias("f")).select("video_id", "line_id", "hz", "f.*")
     k = F.rint(F.col("hz") / F.col("f0"))

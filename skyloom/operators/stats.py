@@ -331,7 +331,8 @@ def set_floor(negatives: DataFrame, floors: Sequence[float], alpha: float = 0.01
     )
     t = share(t)
     b = cluster_bootstrap(t, ["floor"], "clip", ["k", "n"], draws, seed)
-    ok = b.where(F.col("k") <= alpha * F.col("n")).groupBy("draw").agg(F.min("floor").alias("f"))
+    # a draw that no floor satisfies has none: it counts as endless, not as absent
+    ok = b.groupBy("draw").agg(F.coalesce(F.min(F.when(F.col("k") <= alpha * F.col("n"), F.col("floor"))), F.lit(float("inf"))).alias("f"))
     med = ok.agg(F.percentile("f", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("draws"))
     exact = t.groupBy("floor").agg(F.sum("k").alias("k"), F.sum("n").alias("n")).where(F.col("k") <= alpha * F.col("n")).agg(F.min("floor").alias("whole"))
     return med.crossJoin(exact).select("whole", "median", (F.ceil(F.col("median") / step - 1e-9) * step).alias("floor"), "draws")

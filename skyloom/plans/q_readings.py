@@ -33,7 +33,7 @@ def _(t):
 
 @query(
     "explain_lines",
-    """WITH f AS (SELECT * FROM (VALUES (0,'bus',40.0,0.3,1),(1,'mains',50.0,0.3,2),(2,'rotor',7.0,0.2,3)) v(prio,family,f0,tol,least)), j AS (SELECT user_id AS video_id, event_id AS line_id, prio, family, least, round_even(value/f0,0) AS k FROM events, f WHERE round_even(value/f0,0) BETWEEN 1 AND 12 AND abs(value-round_even(value/f0,0)*f0) <= tol),
+    """WITH f AS (SELECT * FROM (VALUES (0,'bus',40.0,0.3,1),(1,'mains',50.0,0.3,2),(2,'rotor',7.0,0.2,3)) v(prio,family,f0,tol,least)), j AS (SELECT user_id AS video_id, event_id AS line_id, prio, family, least, round_even(value/f0,0) AS k FROM events, f WHERE round_even(value/f0,0) BETWEEN 1 AND 40 AND abs(value-round_even(value/f0,0)*f0) <= tol),
 o AS (SELECT video_id, prio FROM j GROUP BY video_id, prio, least HAVING count(DISTINCT k) >= least) SELECT video_id, line_id, arg_min(family, prio) AS family, CAST(arg_min(k, prio) AS INT) AS k FROM j JOIN o USING (video_id, prio) GROUP BY ALL""",
 )
 def _(t):

@@ -222,7 +222,7 @@ def _(t):
     f"""WITH f AS (SELECT source AS clip, n_chars/10000.0 AS score, fl/100.0 AS floor FROM documents, range(0,301,5) r(fl)),
 g AS (SELECT clip, floor, count(*) AS n, sum(CASE WHEN score >= floor THEN 1 ELSE 0 END) AS k FROM f GROUP BY ALL),
 d AS (SELECT floor, draw, sum(k*w) AS k, sum(n*w) AS n FROM (SELECT g.*, draw, {poisson1_sql(uniform_sql(0, "clip", "draw"))} AS w FROM g, range(1,{B + 1}) r(draw)) GROUP BY ALL),
-o AS (SELECT draw, min(floor) AS f FROM d WHERE k <= 0.2*n GROUP BY ALL),
+o AS (SELECT draw, coalesce(min(CASE WHEN k <= 0.2*n THEN floor END), 'Infinity'::DOUBLE) AS f FROM d GROUP BY ALL),
 e AS (SELECT min(floor) AS whole FROM (SELECT floor, sum(k) AS k, sum(n) AS n FROM g GROUP BY ALL) WHERE k <= 0.2*n)
 SELECT whole, median(f) AS median, round(ceil(median(f)/0.005 - 1e-9)*0.005,6) AS floor, count(*) AS draws FROM o, e GROUP BY whole""",
 )
