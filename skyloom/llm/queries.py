@@ -49,9 +49,9 @@ FROM d JOIN o USING (payload_digest)
 
 @query
 def op5_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = votes.edited_fingerprints(table(spark, sf_dir, "documents"))
+    found = votes.edited_fingerprints(table(spark, sf_dir, "documents"), asked=F.col("id") % 50 == 0)
     hexed = [votes.hex64(F.col(c)).alias(n) for c, n in (("fp", "fingerprint"), ("edited_fp", "edited_fingerprint"))]
-    return found.select("doc_id", "n_chars", "edited_sha256", *hexed, "near_edited", "near_next")
+    return found.select("doc_id", "n_chars", "edited_sha256", *hexed, "near_edited", "near_next", "near_docs")
 
 
 @query

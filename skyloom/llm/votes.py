@@ -125,27 +125,43 @@ def _marked(rows: DataFrame, words: int) -> DataFrame:
     return found.groupBy(*keys).agg(side(0).alias("fp"), side(1).alias("edited_fp"), F.max("copies").alias("copies"))
 
 
-def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+def near_counts(marked: DataFrame, asked: Column, radius: int = 3) -> DataFrame:
+    """``(fp, near_docs)`` for the fingerprints of rows that ``asked`` holds for: how many documents lie within ``radius`` bits.
+
+    ``marked`` has ``fp`` and ``copies``.  Different fingerprints meet in the block tables; how many documents have each is joined after that.
+    """
+    sizes = kept(marked.groupBy("fp").agg(F.sum("copies").alias("docs")), "sizes")
+    queries = marked.where(asked).select("fp").distinct()
+    found = search(queries, sizes.select("fp"), radius).join(sizes, "fp")
+    return found.groupBy(F.col("query_fp").alias("fp")).agg(F.sum("docs").alias("near_docs"))
+
+
+def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, asked: Column | None = None, radius: int = 3) -> DataFrame:
     """Fingerprints of every text and of its edited text, with likenesses.
 
     The edited text has its last floor(n/4) code points replaced by the first as many (or all) of the next document, by ascending
     id, the first after the last.  Null texts are empty.  Repeated ids are one place in the order: its text is the one of smallest
     SHA-256.  A null id has no next document: nothing replaces its tail, and ``near_next`` is null.  Repeated rows come out as
-    often as they went in.  Columns: id, ``n_chars``, ``edited_sha256``, ``fp``, ``edited_fp``, ``near_edited``, ``near_next``.
+    often as they went in.  Columns: id, ``n_chars``, ``edited_sha256``, ``fp``, ``edited_fp``, ``near_edited``, ``near_next``, and
+    ``near_docs``: for rows that ``asked`` (of ``id``) holds for, how many documents' fingerprints lie within ``radius`` bits of theirs,
+    their own included; null for the others.
     """
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = kept(next_of(rows, "id", "text"), "order")
-    asked = order.select(F.col("id").alias("before"), F.col("next_id").alias("id"), "need")
+    wanted = order.select(F.col("id").alias("before"), F.col("next_id").alias("id"), "need")
     placed = rows.where("id is not null")  # the same exchange of texts serves both joins
-    heads = placed.join(asked, "id").select("before", F.struct(F.sha2("text", 256).alias("sha"), F.expr("left(text, int(need))").alias("head")).alias("s"))
+    heads = placed.join(wanted, "id").select("before", F.struct(F.sha2("text", 256).alias("sha"), F.expr("left(text, int(need))").alias("head")).alias("s"))
     heads = heads.groupBy("before").agg(F.min("s").alias("s")).select(F.col("before").alias("id"), F.col("s.head").alias("head"))
     unplaced = rows.where("id is null").withColumn("head", F.lit(None).cast("string"))
     # either side is marked on its own: the join's partitioning then serves the sums of votes
     marked = kept(_marked(placed.join(heads, "id", "left"), words).unionByName(_marked(unplaced, words)), "marked")
     of_id = marked.where("id is not null").groupBy("id").agg(F.min(F.struct("sha", "fp")).alias("s"))
     nexts = order.join(of_id.select(F.col("id").alias("next_id"), F.col("s.fp").alias("next_fp")), "next_id").select("id", "next_fp")
+    asked = F.lit(False) if asked is None else F.coalesce(asked, F.lit(False))
+    near = near_counts(marked, asked, radius)
     out = marked.join(nexts, "id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = out.where(asked).join(near, "fp").unionByName(out.where(~asked).withColumn("near_docs", F.lit(None).cast("long")))
     return out.select(
-        F.col("id").alias(id), "n_chars", "edited_sha256", "fp", "edited_fp",
+        F.col("id").alias(id), "n_chars", "edited_sha256", "fp", "edited_fp", "near_docs",
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )

@@ -217,9 +217,12 @@ def plain_votes(text, words=5):
 
 
 def test_edited_fingerprints(docs, empty):
-    got = votes.edited_fingerprints(docs).collect()
+    got = votes.edited_fingerprints(docs, asked=F.col("id") % 2 == 0).collect()
     rows = rows_of(docs)
     assert len(got) == len(rows)
+    near = {r.doc_id: r.near_docs for r in got if r.doc_id is not None}
+    fps = [plain_votes(t) for _, t in rows]
+    assert all(near[i] == (sum((f ^ plain_votes(t)).bit_count() <= 3 for f in fps) if i % 2 == 0 else None) for i, t in rows if i is not None)
     by_id = {}
     for i, t in rows:
         if i is not None:
