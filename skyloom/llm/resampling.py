@@ -116,7 +116,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, id:
     if share is None:
         share = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
     target = known.where("label = 1").select("id", F.lit(True).alias("target"))
-    ratios = log_ratios(rows.join(target, "id", "left").withColumn("target", F.coalesce("target", F.lit(False))), buckets)
+    # the labels grow with the documents: one plan at every size
+    ratios = log_ratios(rows.join(target.hint("merge"), "id", "left").withColumn("target", F.coalesce("target", F.lit(False))), buckets)
     weighed = rows.select("id", F.xxhash64("text").alias("_h"), weight_column(ratios, F.col("text")).alias("log_weight"))
     keys = kept(weighed.select("id", "log_weight", (F.col("log_weight") + gumbel(seed, F.col("id"), F.col("_h"))).alias("key")), "keys")
     n = keys.count()
