@@ -41,13 +41,28 @@ def _(t):
     return re_.explain_lines(d, [("bus", 40.0, 0.3, 1), ("mains", 50.0, 0.3, 2), ("rotor", 7.0, 0.2, 3)])
 
 
-@query("clock_ticks")
+@query(
+    "clock_ticks",
+    """WITH d AS (SELECT DISTINCT user_id AS video_id, CAST(floor(epoch(ts)/86400) AS BIGINT) AS frame FROM events), g AS (SELECT *, frame - lag(frame) OVER (PARTITION BY video_id ORDER BY frame) AS gap FROM d),
+m AS (SELECT video_id, median(gap) AS med, count(*) AS ticks, min(frame) AS f0 FROM g GROUP BY ALL),
+s AS (SELECT video_id, avg(CASE WHEN abs(gap-med) <= 0.25 THEN 1.0 ELSE 0.0 END) FILTER (gap IS NOT NULL) AS s FROM g JOIN m USING (video_id) GROUP BY ALL),
+k AS (SELECT video_id, frame, ticks, round_even((frame-f0)/med,0) AS k FROM d JOIN m USING (video_id) JOIN s USING (video_id) WHERE ticks >= 4 AND abs(med-1) <= 0.12 AND s >= 0.7),
+f AS (SELECT video_id, regr_slope(frame,k) AS period, regr_intercept(frame,k) AS i FROM k GROUP BY ALL)
+SELECT video_id, frame, ticks, round(period,4) AS period, round(frame-(period*k+i),4) AS off, abs(frame-(period*k+i)) > 1.5 AS early_late FROM k JOIN f USING (video_id)""",
+)
 def _(t):
     d = t.events.select(F.col("user_id").alias("video_id"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).alias("frame")).distinct()
     return rnd(re_.clock_ticks(d, 1.0, ["video_id"]), "period", "off", n=4)
 
 
-@query("leverage_audit")
+@query(
+    "leverage_audit",
+    f"""WITH {TRACK_SQL}, w AS (SELECT video_id, object_id, frame, count(*) OVER k AS n, coalesce((1/count(*) OVER k + pow(frame - avg(frame) OVER k, 2)/nullif(var_pop(frame) OVER k * count(*) OVER k, 0))/2, 1/count(*) OVER k) AS weight FROM track WINDOW k AS (PARTITION BY video_id, object_id)),
+c AS (SELECT *, sum(weight) OVER (PARTITION BY video_id, object_id ORDER BY frame) AS hi FROM w), e AS (SELECT *, hi - weight AS lo, CASE WHEN hi > 1-1e-9 THEN 1.0 ELSE hi END AS top FROM c),
+u AS (SELECT video_id, object_id, {uniform_sql(0, "video_id", "object_id", "d")} AS u FROM (SELECT DISTINCT video_id, object_id FROM w WHERE n > 59), range(1,60) x(d))
+SELECT video_id, object_id, frame, round(weight,6) AS weight, 1 AS times FROM e WHERE n <= 59 UNION ALL
+SELECT e.video_id, e.object_id, frame, round(weight,6), count(*) FROM e JOIN u ON e.video_id=u.video_id AND e.object_id=u.object_id AND u.u >= e.lo AND u.u < e.top WHERE n > 59 GROUP BY ALL""",
+)
 def _(t):
     return rnd(re_.leverage_audit(t.track, KEY), "weight")
 
@@ -63,7 +78,13 @@ def _(t):
     return re_.company(p, 5.0).select("video_id", "prop_id", "company")
 
 
-@query("consensus_shift")
+@query(
+    "consensus_shift",
+    """WITH t AS (SELECT DISTINCT l_suppkey AS video_id, CAST(floor((CAST(l_shipdate AS DATE) - DATE '1995-01-01')/90.0) AS BIGINT) AS frame, l_orderkey*10+l_linenumber AS k, l_quantity AS dx, l_discount*100 AS dy FROM lineitem),
+n AS (SELECT a.video_id, a.frame, a.k, count(*) AS n, median(b.dx) AS mx, median(b.dy) AS my FROM t a JOIN t b ON a.video_id=b.video_id AND a.frame=b.frame AND abs(a.dx/6.0-b.dx/6.0) <= 1 AND abs(a.dy/2.5-b.dy/2.5) <= 1 GROUP BY ALL),
+s AS (SELECT video_id, frame, mx, my FROM n QUALIFY row_number() OVER (PARTITION BY video_id, frame ORDER BY n DESC, k) = 1)
+SELECT video_id, frame, count(*) AS members, round(avg(dx),4) AS dx, round(avg(dy),4) AS dy FROM t JOIN s USING (video_id, frame) WHERE abs(dx-mx) <= 6 AND abs(dy-my) <= 2.5 GROUP BY ALL HAVING count(*) >= 8""",
+)
 def _(t):
     d = t.lineitem.select(F.col("l_suppkey").alias("video_id"), F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date")).alias("frame"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_quantity").alias("dx"), (F.col("l_discount") * 100).alias("dy"))
     d = d.withColumn("frame", F.floor(F.col("frame") / 90)).dropDuplicates(["video_id", "frame", "k"])

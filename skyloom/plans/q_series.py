@@ -249,7 +249,19 @@ def _(t):
     return rnd(se.hear_lookalikes(b, se.lookalike_table(vids(t))).select("event_id", "source", "line_hz"), "line_hz")
 
 
-@query("fold_band")
+BANDS_SQL = ",".join(f"({lo}::DOUBLE,{hi}::DOUBLE,'{name}')" for lo, hi, name in se.LOOKALIKE_BANDS)
+
+
+@query(
+    "fold_band",
+    f"""WITH {VID}, b AS (SELECT video_id, fps, lo, hi, name FROM v, (VALUES {BANDS_SQL}) b(lo, hi, name)),
+e AS (SELECT *, unnest(list_concat([lo], list_transform(generate_series(CAST(floor(lo/(fps/2)) AS BIGINT)+1, CAST(floor(hi/(fps/2)) AS BIGINT)), lambda k: k*fps/2), [hi])) AS e FROM b),
+p AS (SELECT *, lead(e) OVER (PARTITION BY video_id, name ORDER BY e) AS f FROM e),
+a AS (SELECT video_id, name, least({ALIAS.format(h='e')}, {ALIAS.format(h='f')}) AS a, greatest({ALIAS.format(h='e')}, {ALIAS.format(h='f')}) AS b FROM p WHERE f IS NOT NULL),
+m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY video_id, name ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1e-9 THEN 0 ELSE 1 END AS new FROM a),
+g AS (SELECT *, sum(new) OVER (PARTITION BY video_id, name ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM m)
+SELECT video_id, name, round(min(a),4) AS first, round(max(b),4) AS last FROM g GROUP BY video_id, name, g""",
+)
 def _(t):
     bands = vids(t).select("video_id", "fps", F.explode(F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi"), F.lit(n).alias("name")) for a, b, n in se.LOOKALIKE_BANDS])).alias("b")).select("video_id", "fps", "b.*")
     return rnd(se.fold_band(bands, ["video_id", "name"]), "first", "last", n=4)

@@ -150,7 +150,13 @@ def _(t):
     return tr.truth_pairs(t.track.where("object_id % 2 = 0"), _boxes(t), frames=2)
 
 
-@query("match_truth")
+@query(
+    "match_truth",
+    TRUTH_SQL.replace('4*"on"', '2*"on"')
+    + """, g AS (SELECT video_id, list([{'o': object_id, 't': truth_id, 'n': "on", 's': shared}] ORDER BY "on" DESC, object_id, truth_id) AS l FROM p GROUP BY ALL),
+r AS (SELECT video_id, unnest(list_reduce(l, lambda a, b: CASE WHEN list_contains(list_transform(a, lambda m: m.o), b[1].o) OR list_contains(list_transform(a, lambda m: m.t), b[1].t) THEN a ELSE list_concat(a, b) END)) AS m FROM g)
+SELECT video_id, m.o AS object_id, m.t AS truth_id, m.n AS "on", m.s AS shared FROM r""",
+)
 def _(t):
     return tr.match_truth(tr.truth_pairs(t.track.where("object_id % 2 = 0"), _boxes(t), frames=2))
 
@@ -473,7 +479,14 @@ def _(t):
     return sj.copies_table(t.frames.select(F.substring("video_id", 2, 1).alias("video_id"), F.col("video_id").alias("copy"), "frame", "level"))
 
 
-@query("pick_detector")
+@query(
+    "pick_detector",
+    f"""WITH {TRACK_SQL}, j AS (SELECT m.video_id, m.frame, c.size, min(sqrt(pow(c.x-m.x,2)+pow(c.y-m.y,2))) AS d FROM track m JOIN (SELECT *, object_id%3*2+3 AS size FROM track WHERE object_id%10<>0) c ON c.video_id=m.video_id AND c.frame=m.frame
+  WHERE m.object_id%10=0 AND sqrt(pow(c.x-m.x,2)+pow(c.y-m.y,2)) <= greatest(60, c.size/5) GROUP BY ALL),
+s AS (SELECT video_id, size, count(*) AS n, avg(d) AS mean_px FROM j GROUP BY ALL),
+r AS (SELECT video_id, list_reduce(list({{'size': CAST(size AS DOUBLE), 'mean_px': mean_px, 'n': n}} ORDER BY size), lambda a, b: CASE WHEN b.mean_px < a.mean_px - 0.5 THEN b ELSE a END) AS b FROM s GROUP BY ALL)
+SELECT video_id, b.size AS size, round(b.mean_px,6) AS mean_px, b.n AS n FROM r""",
+)
 def _(t):
     m = t.track.where("object_id % 10 = 0").select("video_id", "frame", "x", "y")
     c = t.track.where("object_id % 10 <> 0").select("video_id", "frame", "x", "y", (F.col("object_id") % 3 * 2 + 3).alias("size"))
