@@ -52,7 +52,15 @@ def _(t):
     return rnd(mo.rate_steps(timed(t), KEY, 12.0), "vx", "vy", "err", n=5)
 
 
-@query("size_steps")
+@query(
+    "size_steps",
+    f"""WITH {STATS_SQL}, d AS (SELECT video_id, idx, frame, ln(level) AS l, sd AS x, level AS y FROM stats WHERE level > 0),
+w AS (SELECT *, median(l) OVER b AS bl, median(x) OVER b AS bx, median(y) OVER b AS "by", count(*) OVER b AS bn, median(l) OVER a AS al, median(x) OVER a AS ax, median(y) OVER a AS ay, count(*) OVER a AS an FROM d
+  WINDOW b AS (PARTITION BY video_id ORDER BY idx RANGE BETWEEN 8 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY video_id ORDER BY idx RANGE BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+s AS (SELECT *, al-bl AS step FROM w WHERE bn=8 AND an=8 AND abs(al-bl) >= ln(1.2)),
+i AS (SELECT *, sum(CASE WHEN idx - p <= 8 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY idx) AS island FROM (SELECT *, lag(idx) OVER (PARTITION BY video_id ORDER BY idx) AS p FROM s))
+SELECT video_id, frame, round(exp(step),5) AS ratio, round((exp(step)*bx-ax)/(exp(step)-1),5) AS centre_x, round((exp(step)*"by"-ay)/(exp(step)-1),5) AS centre_y FROM i QUALIFY row_number() OVER (PARTITION BY video_id, island ORDER BY abs(step) DESC, idx) = 1""",
+)
 def _(t):
     d = frame_stats(t.frames).select("video_id", "idx", "frame", F.col("level").alias("length"), F.col("sd").alias("x"), F.col("level").alias("y"))
     return rnd(mo.size_steps(d, ["video_id"]), "ratio", "centre_x", "centre_y", n=5)
