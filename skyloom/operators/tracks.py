@@ -45,7 +45,7 @@ def fit_rate(
 
     A round fits both axes from sums, takes the median and the median absolute deviation of the residuals on each axis
     and drops the points beyond max(sigma robust deviations, 2 px) on either; a track with fewer than ``min_points``
-    left is not clipped further.  Rounds stop when no point of any track is dropped."""
+    left is left out.  Rounds stop when no point of any track is dropped."""
     keys = list(keys)
     pts = share(points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, "frame", "t_s", "x", "y"))
     n_in = pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_in")).where(F.col("n_in") >= min_points)
