@@ -34,7 +34,7 @@ def _tokens(path: str, texts: pd.Series) -> list[np.ndarray]:
 
 def _counted(path: str):
     def run(key: tuple, docs: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
-        target = docs["id"].isin(set(labels["id"])).to_numpy()
+        target = (docs["id"].isin(set(labels["id"])) & docs["known"]).to_numpy()
         pairs = [pairs_of(t) for t in _tokens(path, docs["text"])]
         none = np.zeros(0, np.uint32)
         pair, background = np.unique(np.concatenate([none, *pairs]), return_counts=True)
@@ -51,13 +51,11 @@ def _scored(path: str):
         losses = losses.sort_values("pair")
         known, t, b = losses["pair"].to_numpy(), losses["target_loss"].to_numpy(), losses["background_loss"].to_numpy()
         out = []
-        for id, ids in zip(docs["id"], _tokens(path, docs["text"]), strict=True):
+        for id, known_id, ids in zip(docs["id"], docs["known"], _tokens(path, docs["text"]), strict=True):
             at = np.searchsorted(known, pairs_of(ids).astype(np.int64))
             n = len(ids)
-            out.append((None if pd.isna(id) else int(id), n, float(t[at].sum() / n) if n else 0.0, float(b[at].sum() / n) if n else 0.0))
-        found = pd.DataFrame(out, columns=["id", "tokens", "target_loss", "background_loss"])
-        found["id"] = found["id"].astype("Int64")
-        return found
+            out.append((id, known_id, n, float(t[at].sum() / n) if n else 0.0, float(b[at].sum() / n) if n else 0.0))
+        return pd.DataFrame(out, columns=["id", "known", "tokens", "target_loss", "background_loss"])
 
     return run
 
@@ -90,12 +88,14 @@ def score(docs: DataFrame, labels: DataFrame, tokenizer: str, id: str = "doc_id"
     blocks that their id's texts may be in.  Null and empty texts have no token and losses of 0; null ids are
     background; repeated rows are scored (and counted) each; an empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # a null id goes as 0 that isn't known: ids stay whole numbers in pandas
+    real = F.col(id).cast("long")
+    rows = docs.select(F.coalesce(real, F.lit(0)).alias("id"), real.isNotNull().alias("known"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
     block = lambda part: F.pmod(F.xxhash64(F.col("id"), part), F.lit(blocks)).alias("block")
-    own = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.pmod(F.xxhash64("text"), F.lit(SPREAD)))
-    dealt = rows.select(block(own), "id", "text").groupBy("block")
+    own = F.when(~F.col("known"), F.xxhash64("text")).otherwise(F.pmod(F.xxhash64("text"), F.lit(SPREAD)))
+    dealt = rows.select(block(own), "id", "known", "text").groupBy("block")
     chosen = labels.where(F.col(label) == 1).select(F.col(id).cast("long").alias("id")).where("id is not null").distinct()
     chosen = chosen.select("id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SPREAD)])).alias("part"))
     marked = chosen.select(block(F.col("part")), "id").groupBy("block")
@@ -105,5 +105,6 @@ def score(docs: DataFrame, labels: DataFrame, tokenizer: str, id: str = "doc_id"
     size_of = encoder(tokenizer).n_vocab
     losses = losses_of(losses_of(model, "target", size_of), "background", size_of).select("pair", "target_loss", "background_loss")
     asked = counts.select("block", "pair").join(losses, "pair").groupBy("block")
-    out = dealt.cogroup(asked).applyInPandas(_scored(tokenizer), "id long, tokens long, target_loss double, background_loss double")
-    return out.withColumn("difference", F.col("target_loss") - F.col("background_loss")).withColumnRenamed("id", id)
+    out = dealt.cogroup(asked).applyInPandas(_scored(tokenizer), "id long, known boolean, tokens long, target_loss double, background_loss double")
+    difference = (F.col("target_loss") - F.col("background_loss")).alias("difference")
+    return out.select(F.when(F.col("known"), F.col("id")).alias(id), "tokens", "target_loss", "background_loss", difference)

@@ -19,8 +19,8 @@ CAPACITY = 1024
 #: Bytes of text a group is meant to hold; the number of groups follows the input.
 GROUP_BYTES = 8_000_000
 GPT_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PIECES = "id long, start long, tokens binary, doc_tokens long, grp long"
-PLACED = "id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
+PIECES = "id long, known boolean, start long, tokens binary, doc_tokens long, grp long"
+PLACED = "id long, known boolean, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -131,17 +131,14 @@ def _tokenise(path: str, end: int, capacity: int, groups: int):
         part = TaskContext.get().partitionId()
         for batch in batches:
             out = []
-            for id, text in zip(batch["id"], batch["text"], strict=True):
+            for id, known, text in zip(batch["id"], batch["known"], batch["text"], strict=True):
                 ids = np.append(bpe.encode_to_numpy(text, allowed_special="all").astype("<u4"), np.uint32(end))
-                own = None if pd.isna(id) else int(id)
-                mark = xxhash.xxh64_intdigest(ids.tobytes(), seed=(own or 0) % (1 << 63))
+                mark = xxhash.xxh64_intdigest(ids.tobytes(), seed=int(id) % (1 << 63))
                 seen[mark] += 1
                 for start in range(0, len(ids), capacity):
                     grp = xxhash.xxh64_intdigest(f"{mark}:{seen[mark]}:{part}:{start}".encode()) % groups
-                    out.append((own, start, ids[start : start + capacity].astype("<u2" if bpe.n_vocab <= 1 << 16 else "<u4").tobytes(), len(ids), grp))
-            found = pd.DataFrame(out, columns=["id", "start", "tokens", "doc_tokens", "grp"])
-            found["id"] = found["id"].astype("Int64")
-            yield found
+                    out.append((id, known, start, ids[start : start + capacity].astype("<u2" if bpe.n_vocab <= 1 << 16 else "<u4").tobytes(), len(ids), grp))
+            yield pd.DataFrame(out, columns=["id", "known", "start", "tokens", "doc_tokens", "grp"])
 
     return run
 
@@ -149,7 +146,7 @@ def _tokenise(path: str, end: int, capacity: int, groups: int):
 def _pack(path: str, capacity: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         kind = np.dtype("<u2" if encoder(path).n_vocab <= 1 << 16 else "<u4")
-        group = group.sort_values(["id", "start", "doc_tokens"], kind="stable").reset_index(drop=True)
+        group = group.sort_values(["known", "id", "start", "doc_tokens"], kind="stable").reset_index(drop=True)
         tokens = [np.frombuffer(t, kind) for t in group["tokens"]]
         sizes = [len(t) for t in tokens]
         whole = [i for i, n in enumerate(sizes) if n == capacity]
@@ -166,7 +163,7 @@ def _pack(path: str, capacity: int):
         mine = group.iloc[placed["i"]].reset_index(drop=True)
         cut = [tokens[i][a : a + n].astype("<u4").tobytes() for i, a, n in zip(placed["i"], placed["begin"], placed["length"], strict=True)]
         return pd.DataFrame({
-            "id": mine["id"], "start": mine["start"] + placed["begin"], "length": placed["length"], "tokens": cut, "doc_tokens": mine["doc_tokens"],
+            "id": mine["id"], "known": mine["known"], "start": mine["start"] + placed["begin"], "length": placed["length"], "tokens": cut, "doc_tokens": mine["doc_tokens"],
             "sequence_id": placed["sequence_id"], "offset": placed["offset"],
         })
 
@@ -183,8 +180,11 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
     a row repeats; a group is packed in one task.  Null texts are empty: their only id is ``end``.  Null ids stay null; repeated
     rows are packed each; an empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # a null id goes as 0 that isn't known: ids stay whole numbers in pandas
+    own = F.col(id).cast("long")
+    rows = docs.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNotNull().alias("known"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 4)).first()[0] or 0
     groups = max(1, -(-int(size) // group_bytes))
     pieces = rows.mapInPandas(_tokenise(tokenizer, end, capacity, groups), PIECES)
-    return pieces.groupBy("grp").applyInPandas(_pack(tokenizer, capacity), PLACED).withColumnRenamed("id", id)
+    placed = pieces.groupBy("grp").applyInPandas(_pack(tokenizer, capacity), PLACED)
+    return placed.select(F.when(F.col("known"), F.col("id")).alias(id), "start", "length", "tokens", "doc_tokens", "sequence_id", "offset")
