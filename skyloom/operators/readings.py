@@ -32,7 +32,7 @@ def bin_label(v: Column, edges: Sequence[float]) -> Column:
 def shaft_candidates(tones: DataFrame, airframes: DataFrame, blades: Sequence[int] = range(2, 9), match: float = 0.015) -> DataFrame:
     """P18. For each heard fundamental every (blades, rpm) it allows, and the airframes within 1.5 % of its blade-pass.
     Airframes are a short dimension; a log-frequency bucket as wide as the match makes the theta join an equi-join."""
-    w = math.log1p(match) * 1.01
+    w = -math.log1p(-match) * 1.01  # the wider side: a frequency below by the match
     b = F.explode(F.array(*[F.lit(int(k)) for k in blades])).alias("blades")
     t = tones.select("tone_id", "hz", b).withColumn("rpm", 60 * F.col("hz") / F.col("blades"))
     a = airframes.select("airframe", "blades", "blade_pass_hz").withColumn("_o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
