@@ -422,7 +422,9 @@ def _(t):
     "lead_lag",
     f"""WITH {TRACK_SQL}, {FRAMES_SQL}, {own_scene_sql("sc", "SELECT DISTINCT object_id AS video_id FROM track")}, p AS (SELECT video_id, frame, level AS x FROM sc),
 i AS (SELECT object_id, lag(frame) OVER w AS f0, frame AS f1, y - lag(y) OVER w AS d FROM track WINDOW w AS (PARTITION BY object_id ORDER BY frame)),
-g AS (SELECT object_id, lag, count(*) AS n, sum(d*(p1.x-p0.x))/sqrt(sum(d*d)*sum(pow(p1.x-p0.x,2))) AS c FROM i, range(-6,7) l(lag), p p1, p p0 WHERE f0 IS NOT NULL AND p1.video_id=object_id AND p0.video_id=object_id AND p1.frame=f1-lag AND p0.frame=f0-lag GROUP BY ALL)
+pm AS MATERIALIZED (SELECT * FROM p), j AS MATERIALIZED (SELECT object_id, lag, d, f1-lag AS a, f0-lag AS b FROM i, range(-6,7) l(lag) WHERE f0 IS NOT NULL),
+j1 AS MATERIALIZED (SELECT j.*, pm.x AS x1 FROM j JOIN pm ON pm.video_id=object_id AND pm.frame=a), j2 AS MATERIALIZED (SELECT j1.*, pm.x AS x0 FROM j1 JOIN pm ON pm.video_id=object_id AND pm.frame=b),
+g AS (SELECT object_id, lag, count(*) AS n, sum(d*(x1-x0))/sqrt(sum(d*d)*sum(pow(x1-x0,2))) AS c FROM j2 GROUP BY ALL)
 SELECT object_id AS video_id, lag, round(c,6) AS c, n FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY abs(c) DESC, lag) AS k FROM g WHERE c IS NOT NULL AND NOT isnan(c)) WHERE k=1""",
 )
 def _(t):
