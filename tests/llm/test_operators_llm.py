@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skyloom.llm import cross_entropy, decontaminate, packing, resampling, secrets_linked, simhash_cover, toxicity, url_trees, votes, warc
+from skyloom.llm import cross_entropy, decontaminate, near_copies, packing, resampling, secrets_linked, simhash_cover, toxicity, url_trees, votes, warc
 from skyloom.llm.common import components
 
 DIR = "/root/testdata/sf0.001"
@@ -136,6 +136,41 @@ def test_one_of_each_group(docs, empty):
     assert simhash_cover.one_of_each_group(empty).count() == 0 and simhash_cover.near_duplicates(empty).count() == 0
 
 
+def plain_shingles(text, words=5):
+    tokens = re.sub(r"[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return frozenset(" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))) if tokens else frozenset()
+
+
+def plain_stays(rows):
+    sets = [plain_shingles(t) for _, t in rows]
+    near = lambda x, y: x == y or (bool(x and y) and 4 * len(x | y) <= 5 * len(x & y))
+    root = roots_of(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if near(sets[i], sets[j])])
+    best = {}
+    for i, (id, _) in enumerate(rows):
+        best[root[i]] = min(best.get(root[i], (True, 0)), (id is None, id or 0))
+    return sorted(best.values())
+
+
+def test_pipeline_keeps_one_of_all_near_copies(spark, docs, empty):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    texts = []
+    for k in range(12):
+        base = [f"w{k}x{rng.randrange(400)}" for _ in range(rng.choice([20, 60, 200]))]
+        for _ in range(14):
+            t = list(base)
+            for _ in range(rng.randint(0, max(1, len(t) // 50))):
+                t[rng.randrange(len(t))] = f"new{rng.random()}"
+            texts.append(" ".join(["all rights of this text are reserved by its owner", *t]))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    for table in (spark.createDataFrame(rows, "doc_id long, text string").repartition(3), docs.select("doc_id", "text")):
+        got = sorted((r.doc_id is None, r.doc_id or 0) for r in corpus_pipeline.one_of_each_group(spark, table, DIR).collect())
+        assert got == plain_stays(rows_of(table))
+    assert near_copies.one_of_each_group(empty).count() == 0
+
+
 # archives
 
 
