@@ -33,9 +33,9 @@ BASE = [
     Kind("hex", r"[0-9a-f]+", SECRET, True, 0, 24, r"[0-9a-f]{24}"),
 ]
 WEAK = [
-    Kind("weak_id", r"(?<![A-Za-z0-9])(?:ASIA|AIDA|AROA|AGPA|GOOG)[A-Z0-9]{12,60}(?![A-Za-z0-9])", IDENTIFIER, False, hint=r"ASIA|AIDA|AROA|AGPA|GOOG"),
+    Kind("weak_id", r"(?<![A-Za-z0-9])(?:ASIA|AIDA|AROA|AGPA|GOOG)[A-Z0-9]{12,}(?![A-Za-z0-9])", IDENTIFIER, False, hint=r"ASIA|AIDA|AROA|AGPA|GOOG"),
     Kind("user", r"""(?<![A-Za-z0-9])(?i:user(?:name)?|login|account(?:_id)?|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)""", IDENTIFIER, False, 1, 3, r"(?i:user|login|account|client)"),
-    Kind("weak_secret", r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{20,128}={0,2}(?![A-Za-z0-9+/=])", SECRET, False, hint=r"[A-Za-z0-9+/]{20}"),
+    Kind("weak_secret", r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/=])", SECRET, False, hint=r"[A-Za-z0-9+/]{20}"),
     Kind("weak_hex", r"(?<![0-9A-Za-z])[0-9a-f]{16,23}(?![0-9A-Za-z])", SECRET, False, hint=r"[0-9a-f]{16}"),
     Kind("endpoint", r"(?i:https?|jdbc:[a-z]+|mongodb|postgres(?:ql)?|mysql|redis|amqps?|s3)://[A-Za-z0-9.:@_-]+", ENDPOINT, False, hint=r"://"),
 ]
@@ -73,15 +73,17 @@ def linked(spans: DataFrame, keys: list[str], scope: int = SCOPE) -> DataFrame:
     """The weak spans with complementary parts no more than ``scope`` code points away.
 
     An identifier needs a secret, a secret an identifier, an endpoint both.  Parts meet by an interval join inside scopes: every
-    part lies in one cell of ``scope`` code points by its start and asks its own cell and the two around it.  A cell holds at
-    most ``scope`` starts of a kind, and what comes out is one row a part and complementary role, not its pairs.
+    part lies in each cell of ``scope`` code points that it covers, and a weak part asks each cell that holds a code point of
+    a part in reach: one that ends at ``start - scope`` has its last code point before that.  So no length loses a pair.  A
+    cell holds at most ``scope`` parts of a kind, and what comes out is one row a part and complementary role, not its pairs.
     """
     roles = F.array(*[F.lit(k.part) for k in KINDS])
     weak = F.array(*[F.lit(not k.base) for k in KINDS])
-    parts = spans.withColumn("role", F.element_at(roles, F.col("kind") + 1)).withColumn("cell", F.floor(F.col("start") / scope))
+    parts = spans.withColumn("role", F.element_at(roles, F.col("kind") + 1))
+    cells = lambda first, last: F.explode(F.sequence(F.floor(first / scope), F.floor(last / scope)))
     asks = parts.where(F.element_at(weak, F.col("kind") + 1))
-    asks = asks.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    others = parts.where(F.col("role") != ENDPOINT).select(*keys, "cell", F.col("role").alias("other"), F.col("start").alias("s"), F.col("end").alias("e"))
+    asks = asks.withColumn("cell", cells(F.col("start") - scope - 1, F.col("end") + scope))
+    others = parts.where(F.col("role") != ENDPOINT).select(*keys, cells(F.col("start"), F.col("end") - 1).alias("cell"), F.col("role").alias("other"), F.col("start").alias("s"), F.col("end").alias("e"))
     met = asks.join(others, [*keys, "cell"]).where((F.col("role") != F.col("other")) & (F.col("s") - F.col("end") <= scope) & (F.col("start") - F.col("e") <= scope))
     roles_met = met.groupBy(*keys, "kind", "start", "end", "role").agg(F.count_distinct("other").alias("n"))
     return roles_met.where((F.col("role") != ENDPOINT) | (F.col("n") == 2)).select(*keys, "kind", "start", "end")

@@ -324,6 +324,31 @@ def test_weak_parts_need_partners(spark):
     assert got == {1: {"user", "weak_secret"}, 2: set(), 3: set(), 4: {"user", "weak_secret", "endpoint"}, 5: set(), 6: {"endpoint", "assign", "access"}, 7: {"user", "assign"}}
 
 
+def test_weak_parts_meet_at_every_offset_and_length(spark):
+    names, scope = [k.name for k in secrets_linked.KINDS], secrets_linked.SCOPE
+    identifier, secret = "ASIA0123456789ABCDEF", "aB3dE6gH9jK2mN5pQ8sT1vW4"
+    gap = lambda n: "-" * n
+    cases = [f"{gap(at)} {x}{gap(n)}{y}" for at in range(0, 2 * scope) for x, y in ((identifier, secret), (secret, identifier)) for n in (scope - 15, scope, scope + 1)]
+    cases += [f"{gap(at)} {x} {y}" for at in range(0, scope, 17) for long in ("token=" + "k" * 600, secret * 30) for x, y in ((long, "user=alice"), ("user=alice", long))]
+    cases += [f"{gap(at)} https://db.example.com/{'-' * 200} user={'a' * 700} {gap(30)} {secret * 6}" for at in range(0, scope, 31)]
+    table = spark.createDataFrame(list(enumerate(cases)), "key long, text string").repartition(8)
+    spans = secrets_linked.matches_of(table, ["key"], "text").cache()
+    by_key = {}
+    for r in spans.collect():
+        by_key.setdefault(r.key, []).append((r.kind, r.start, r.end))
+    want = set()
+    for key, found in by_key.items():
+        for kind, start, end in found:
+            k = secrets_linked.KINDS[kind]
+            roles = {secrets_linked.KINDS[o].part for o, s, e in found if s - end <= scope and start - e <= scope} - {k.part, "endpoint"}
+            if not k.base and len(roles) == (2 if k.part == "endpoint" else 1):
+                want.add((key, kind, start, end))
+    got = secrets_linked.linked(spans, ["key"]).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert {names[kind] for _, kind, _, _ in want} == {"weak_id", "weak_secret", "user", "endpoint"}
+    assert max(e - s for _, k, s, e in want if names[k] == "weak_secret") == 720
+
+
 def test_masking(docs):
     out = secrets_linked.mask_documents(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
