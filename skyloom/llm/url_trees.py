@@ -15,8 +15,6 @@ from skyloom.llm.common import kept, lower_ascii
 
 #: Rows the trees are fitted on at most: those of smallest hash, so the choice doesn't depend on the order of rows.
 FIT_ROWS = 20_000
-#: Suffixes whose statistics are kept, the most frequent first: the rest share the overall rate.
-SUFFIXES = 4096
 #: Labelled rows that the overall rate counts for in a suffix's rate.
 PRIOR_ROWS = 20.0
 FEATURES = [
@@ -95,11 +93,11 @@ def lexical(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def suffix_rates(labelled: DataFrame, suffix: str, name: str) -> DataFrame:
-    """``(suffix, rate, hits, n)`` of the most frequent suffixes over all labelled rows, drawn towards the overall rate."""
+    """``(suffix, rate, hits, n)`` of every suffix over all labelled rows, drawn towards the overall rate."""
     by = labelled.groupBy(suffix).agg(F.count("*").alias("n"), F.sum("label").alias("hits"))
     whole = labelled.agg(F.avg("label").alias("overall"))
     rate = (F.col("hits") + PRIOR_ROWS * F.col("overall")) / (F.col("n") + PRIOR_ROWS)
-    return by.orderBy(F.desc("n"), suffix).limit(SUFFIXES).crossJoin(whole).select(suffix, rate.alias(name), F.col("hits").alias(f"{name}_hits"), F.col("n").alias(f"{name}_n"))
+    return by.crossJoin(F.broadcast(whole)).select(suffix, rate.alias(name), F.col("hits").alias(f"{name}_hits"), F.col("n").alias(f"{name}_n"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], url: str = "url", fit_rows: int = FIT_ROWS, rounds: int = 20, depth: int = 4) -> DataFrame:
@@ -127,7 +125,7 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", fit_rows: int =
 
     def rated(df: DataFrame, own: bool) -> DataFrame:
         for r, s, n in zip(rates, ("suffix1", "suffix2"), ("f_rate1", "f_rate2"), strict=True):
-            df = df.join(F.broadcast(r), s, "left")  # at most SUFFIXES rows
+            df = df.join(r, s, "left")  # as many rows as suffixes
             value = F.col(n)
             if own:
                 value = (F.col(f"{n}_hits") - F.col("label") + PRIOR_ROWS * overall) / (F.col(f"{n}_n") - 1 + PRIOR_ROWS)

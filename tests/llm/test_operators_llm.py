@@ -383,6 +383,15 @@ def test_url_verdicts(spark):
     assert url_trees.judge(table.where("false"), rules).count() == 0
 
 
+def test_every_suffix_has_its_rate(spark):
+    rows = [(f"s{i}.com", float(i % 2)) for i in range(5000)] + [("s1.com", 1.0)] * 9
+    got = {r.suffix2: r for r in url_trees.suffix_rates(spark.createDataFrame(rows, "suffix2 string, label double"), "suffix2", "f").collect()}
+    overall = (2500 + 9) / 5009
+    assert len(got) == 5000 and got["s1.com"].f_n == 10
+    assert all(r.f == pytest.approx((r.f_hits + 20 * overall) / (r.f_n + 20)) for r in got.values())
+    assert all(got[f"s{i}.com"].f_hits == i % 2 for i in range(2, 5000))
+
+
 def test_trees_tell_urls_apart(spark):
     rows = [(f"http://{'shop' if i % 2 else 'a9x7'}{i}.site.org/{'fr/' if i % 3 else 'x/'}{'' if i % 2 else '11/22/33?p=1&q=2'}",) for i in range(600)]
     rules = [url_trees.Rule("block", f"a9x7{i}.site.org", "/fr/") for i in range(0, 600, 2)] + [url_trees.Rule("allow", "org", "/fr/")]
