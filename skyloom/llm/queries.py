@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import cross_entropy, decontaminate, fill_middle, line_dedup, packing, resampling, secrets_linked, simhash_cover, toxicity, url_trees, votes, warc
+from skyloom.llm import cross_entropy, decontaminate, fill_middle, line_dedup, packing, resampling, secrets_linked, simhash_cover, toxicity, turn_repair, url_trees, votes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,53 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS
        sha256(text) AS restored_sha256
 FROM f
 """
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    found, turns = turn_repair.repair(turn_repair.damage(conversations))
+    hashed = turn_repair.digests(turns).withColumnRenamed("conv", "conv_id")
+    every = conversations.select("conv_id").distinct()
+    both = every.alias("c").join(found.alias("f"), turn_repair.same(["conv_id"], "c", "f"), "left").join(hashed.alias("h"), turn_repair.same(["conv_id"], "c", "h"), "left")
+    counts = [F.coalesce(f"f.{c}", F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return both.select("c.conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+ORACLES["op11_conversation_repair"] = r"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS k FROM conversations),
+dam AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM src WHERE k <> 0),
+r AS (SELECT conv_id, turn, role, text, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, role[1:1] AS ini,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM dam),
+f AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                     WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+      CASE WHEN i > 1 AND lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS illegal FROM r),
+g AS (SELECT *, fault IN ('blank', 'duplicate') IS TRUE AS x, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS t FROM f),
+w AS (
+  SELECT DISTINCT conv_id, n + 1 AS i, {'c': 0, 'a': ''} AS q0, {'c': 4, 'a': 'II'} AS qs, {'c': 2, 'a': 'I'} AS qu, {'c': 0, 'a': ''} AS qa FROM g
+  UNION ALL
+  SELECT conv_id, i, list_min([b0, {'c': qu.c + 2, 'a': 'I' || qu.a}]), list_min([bs, {'c': qu.c + 2, 'a': 'I' || qu.a}]), qu, qa FROM (
+    SELECT conv_id, i, b0, bs, list_min([bu, {'c': ba.c + 2, 'a': 'I' || ba.a}]) AS qu, list_min([ba, {'c': bu.c + 2, 'a': 'I' || bu.a}]) AS qa FROM (
+      SELECT g.conv_id, g.i,
+        list_min([{'c': q0.c + 3, 'a': 'D' || q0.a}, CASE WHEN NOT x THEN {'c': qu.c + 2 + t, 'a': 'R' || qu.a} END,
+                  CASE WHEN NOT x AND ini = 's' THEN {'c': qs.c + t, 'a': 'K' || qs.a} WHEN NOT x AND ini = 'u' THEN {'c': qu.c + t, 'a': 'K' || qu.a} END]) AS b0,
+        list_min([{'c': qs.c + 3, 'a': 'D' || qs.a}, CASE WHEN NOT x THEN {'c': qu.c + 2 + t, 'a': 'R' || qu.a} END, CASE WHEN NOT x AND ini = 'u' THEN {'c': qu.c + t, 'a': 'K' || qu.a} END]) AS bs,
+        list_min([{'c': qu.c + 3, 'a': 'D' || qu.a}, CASE WHEN NOT x THEN {'c': qa.c + 2 + t, 'a': 'R' || qa.a} END, CASE WHEN NOT x AND ini = 'a' THEN {'c': qa.c + t, 'a': 'K' || qa.a} END]) AS bu,
+        list_min([{'c': qa.c + 3, 'a': 'D' || qa.a}, CASE WHEN NOT x THEN {'c': qu.c + 2 + t, 'a': 'R' || qu.a} END, CASE WHEN NOT x AND ini = 'u' THEN {'c': qu.c + t, 'a': 'K' || qu.a} END]) AS ba
+      FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i - 1))),
+best AS (SELECT conv_id, q0.c AS cost, q0.a AS audit FROM w WHERE i = 1),
+l AS (SELECT conv_id, unnest(string_split(audit, '')) AS e, generate_subscripts(string_split(audit, ''), 1) AS p FROM best),
+m AS (SELECT *, count(*) FILTER (WHERE e <> 'I') OVER u AS i, count(*) FILTER (WHERE e <> 'D') OVER u AS j, count(*) FILTER (WHERE e <> 'D') OVER (PARTITION BY conv_id) AS k
+      FROM l WINDOW u AS (PARTITION BY conv_id ORDER BY p)),
+said AS (SELECT m.conv_id, sha256(coalesce(string_agg(CASE WHEN e = 'K' THEN role WHEN (k - j) % 2 = 0 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)
+      FILTER (WHERE e <> 'D'), '')) AS h FROM m JOIN g ON m.conv_id IS NOT DISTINCT FROM g.conv_id AND greatest(m.i, 1) = g.i GROUP BY m.conv_id),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+      count(*) FILTER (WHERE fault = 'truncated') AS truncated, sum(illegal)::BIGINT AS illegal FROM g GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON c.conv_id IS NOT DISTINCT FROM n.conv_id
+LEFT JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN said ON c.conv_id IS NOT DISTINCT FROM said.conv_id
+"""
