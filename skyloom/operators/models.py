@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from skyloom.functions.safe import corr, div
-from skyloom.functions.chunked import CHUNK, islands, rolling, scan
+from skyloom.functions.chunked import CHUNK, islands, previous, rolling, row_index, scan
 from skyloom.functions.lineage import cut, share
 from skyloom.functions.probability import chi2_sf, f_sf
 from skyloom.functions.quantiles import exact_quantiles
@@ -107,46 +107,112 @@ def common_mode(curves: DataFrame, keys: Sequence[str]) -> DataFrame:
     return regress_out(obj, [*keys, "curve"], F.col("comp"), F.lit(0.0)).select(*keys, "curve", "frame", "clean", "share")
 
 
-def rate_steps(track: DataFrame, keys: Sequence[str], sigma: float, least: int = 4, chunk: int = CHUNK) -> DataFrame:
-    """A47. A track as few straight pieces as its noise allows: rounds of binary splits over every piece of every track at
-    once.  Running sums, made once, give both sides' residuals at every date of a piece; a piece is split at its best date
-    where that saves over 4 log(2N) sigma^2, until no piece is."""
+class StartsAlive:
+    """Starts that the last piece of a track may still have: each with the least cost up to it and sums from it on.
+
+    A start that costs more than the whole of an ended partition can't win behind it, for pieces cost no less joined than apart; it
+    goes once a piece of ``least`` points fits behind that end.
+    """
+
+    def __init__(self, least: int, penalty: float):
+        self.least, self.penalty, self.n = least, penalty, 0
+        self.at = np.zeros(0, np.int64)  # points before the start
+        self.cost = np.zeros(0)
+        self.goes = np.zeros(0, np.int64)  # the point at which a beaten start goes
+        self.sums = np.zeros((9, 0))  # n, t, x, y, tt, tx, ty, xx, yy about the start's own first point
+        self.origin = np.zeros((3, 0))
+        self.best = 0.0
+
+    def point(self, t: float, x: float, y: float) -> int:
+        """Takes the next point; points before the best last piece that ends here, -1 where none can end."""
+        if np.isfinite(self.best):
+            self.at = np.append(self.at, self.n)
+            self.cost = np.append(self.cost, self.best)
+            self.goes = np.append(self.goes, np.iinfo(np.int64).max)
+            self.sums = np.concatenate([self.sums, np.zeros((9, 1))], axis=1)
+            self.origin = np.concatenate([self.origin, [[t], [x], [y]]], axis=1)
+        self.n += 1
+        u, v, w = t - self.origin[0], x - self.origin[1], y - self.origin[2]
+        self.sums += np.stack([np.ones_like(u), u, v, w, u * u, u * v, u * w, v * v, w * w])
+        n, st, sx, sy, tt, tx, ty, xx, yy = self.sums
+        tt = tt - st * st / n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left = sum(np.maximum(zz - z * z / n - np.where(tt > 0, (tz - st * z / n) ** 2 / tt, 0.0), 0.0) for z, tz, zz in ((sx, tx, xx), (sy, ty, yy)))
+        total = np.where(n >= self.least, self.cost + left, np.inf)
+        if not len(total) or not np.isfinite(total.min()):
+            self.best = np.inf
+            return -1
+        won = int(np.argmin(total))
+        self.best = float(total[won]) + self.penalty
+        from_ = int(self.at[won])
+        beaten = (total > self.best) & np.isfinite(total)
+        self.goes = np.where(beaten, np.minimum(self.goes, self.n + self.least), self.goes)
+        stay = self.goes > self.n
+        self.at, self.cost, self.goes = self.at[stay], self.cost[stay], self.goes[stay]
+        self.sums, self.origin = self.sums[:, stay], self.origin[:, stay]
+        return from_
+
+
+def _last_pieces(keys: list[str], sigma: float, least: int):
+    def run(batches):
+        state, before = None, None
+        for batch in batches:
+            froms = []
+            columns = [batch[k] for k in keys]
+            for key, n, t, x, y in zip(zip(*columns, strict=True), batch["_N"], batch["t_s"], batch["x"], batch["y"], strict=True):
+                if state is None or key != before:
+                    state, before = StartsAlive(least, 4 * math.log(2 * n) * sigma * sigma), key
+                froms.append(state.point(t, x, y))
+            yield batch.assign(_from=np.array(froms, np.int64))
+
+    return run
+
+
+def _traced(keys: list[str]):
+    def run(batches):
+        before, start = None, 0
+        for batch in batches:
+            pieces = []
+            columns = [batch[k] for k in keys]
+            for key, i, from_ in zip(zip(*columns, strict=True), batch["_i"], batch["_from"], strict=True):
+                if key != before or i <= start:  # the track's last point, or the one before the piece just traced
+                    before, start = key, from_
+                pieces.append(start)
+            yield batch.assign(_from=np.array(pieces, np.int64))
+
+    return run
+
+
+def rate_steps(track: DataFrame, keys: Sequence[str], sigma: float, least: int = 4) -> DataFrame:
+    """A47. A track as few straight pieces as its noise allows, each of ``least`` points or more: of all partitions that of the
+    least sum of squared residuals over both axes and 4 log(2N) sigma^2 a piece.
+
+    The points of a track stream in order through one task, which holds only the starts that can still win, whatever the track's length;
+    a second stream, from the end, follows the winners back.  Lines, errors and the jump between two lines (carried to the time
+    between them, with its error) are sums over the pieces.  Tracks of under 2 ``least`` points have none.
+    """
     keys = list(keys)
-    m = track.groupBy(*keys).agg(F.avg("t_s").alias("_mt"), F.avg("x").alias("_mx"), F.avg("y").alias("_my"), F.count(F.lit(1)).alias("_N"))
-    d = track.join(m, keys).select(*keys, "frame", "_N", (F.col("t_s") - F.col("_mt")).alias("t"), (F.col("x") - F.col("_mx")).alias("x"), (F.col("y") - F.col("_my")).alias("y"))
-    q = {"n": F.lit(1.0), "t": F.col("t"), "x": F.col("x"), "y": F.col("y"), "tt": F.col("t") * F.col("t"), "tx": F.col("t") * F.col("x"), "ty": F.col("t") * F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y")}
-    c = share(scan(d, keys, "frame", {f"s_{k}": ("sum", v) for k, v in q.items()}, chunk=chunk).select(*keys, "frame", "_N", F.struct(*[F.col(f"s_{k}").alias(k) for k in q]).alias("s")))
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in q])
-    ends = c.groupBy(*keys, "_N").agg(F.max_by("s", "frame").alias("hi"), F.min("frame").alias("f0"), F.max("frame").alias("f1"))
-    pieces = cut(ends.select(*keys, "_N", "f0", "f1", zero.alias("lo"), "hi", F.lit(True).alias("open")))
-
-    def sse(a: Column, b: Column) -> Column:
-        v = {k: b[k] - a[k] for k in q}
-        tt = v["tt"] - v["t"] * v["t"] / v["n"]
-        out = F.lit(0.0)
-        for z in ("x", "y"):
-            zz, tz = v[z + z] - v[z] * v[z] / v["n"], v["t" + z] - v["t"] * v[z] / v["n"]
-            out = out + F.greatest(zz - F.when(tt > 0, tz * tz / tt).otherwise(0.0), F.lit(0.0))
-        return out
-
-    while not (live := pieces.where("open")).isEmpty():
-        # a piece's dates are its own frames; pieces of a track are met through the track's key and frame range
-        j = live.withColumnRenamed("_N", "N").join(c.drop("_N"), keys).where((F.col("frame") >= F.col("f0")) & (F.col("frame") < F.col("f1")))
-        nl, nr = F.col("s.n") - F.col("lo.n"), F.col("hi.n") - F.col("s.n")
-        gain = sse(F.col("lo"), F.col("hi")) - sse(F.col("lo"), F.col("s")) - sse(F.col("s"), F.col("hi"))
-        j = j.where((nl >= least) & (nr >= least)).withColumn("gain", gain)
-        b = j.groupBy(*keys, "f0", "N").agg(F.max_by(F.struct("frame", "s"), F.struct("gain", -F.col("frame"))).alias("b"), F.max("gain").alias("gain"))
-        b = b.where(F.col("gain") > 4 * F.log(2.0 * F.col("N")) * sigma * sigma).select(*keys, "f0", "b")
-        nxt = live.join(b, [*keys, "f0"], "left")
-        left = nxt.where("b is not null").select(*keys, "_N", "f0", F.col("b.frame").alias("f1"), "lo", F.col("b.s").alias("hi"), F.lit(True).alias("open"))
-        right = nxt.where("b is not null").select(*keys, "_N", (F.col("b.frame") + 1).alias("f0"), "f1", F.col("b.s").alias("lo"), "hi", F.lit(True).alias("open"))
-        done = nxt.where("b is null").select(*keys, "_N", "f0", "f1", "lo", "hi", F.lit(False).alias("open"))
-        pieces = cut(pieces.where("not open").unionByName(left).unionByName(right).unionByName(done))
-    v = {k: F.col(f"hi.{k}") - F.col(f"lo.{k}") for k in q}
-    tt = v["tt"] - v["t"] * v["t"] / v["n"]
-    slope = lambda z: (v["t" + z] - v["t"] * v[z] / v["n"]) / tt
-    own = F.when(v["n"] > 2, F.sqrt(sse(F.col("lo"), F.col("hi")) / (2 * (v["n"] - 2)))).otherwise(F.lit(0.0))
-    return pieces.select(*keys, "f0", "f1", v["n"].cast("long").alias("n"), slope("x").alias("vx"), slope("y").alias("vy"), (F.greatest(F.lit(sigma), own) / F.sqrt(tt)).alias("err"))
+    n = track.groupBy(*keys).agg(F.count(F.lit(1)).alias("_N")).where(F.col("_N") >= 2 * least)
+    d = track.select(*keys, "frame", *[F.col(c).cast("double").alias(c) for c in ("t_s", "x", "y")]).join(n, keys)
+    schema = d.schema.add("_from", "long")
+    d = d.repartition(*keys).sortWithinPartitions(*keys, "frame").mapInPandas(_last_pieces(keys, sigma, least), schema)
+    d = row_index(share(d), keys, "frame", out="_i")
+    back = d.repartition(*keys).sortWithinPartitions(*keys, F.desc("_i"))
+    d = back.mapInPandas(_traced(keys), back.schema)
+    r = lambda name, z: getattr(F, f"regr_{name}")(z, "t_s")
+    rss = sum((F.greatest(r("syy", z) - F.when(r("sxx", z) > 0, r("sxy", z) * r("sxy", z) / r("sxx", z)).otherwise(0.0), F.lit(0.0)) for z in ("x", "y")), F.lit(0.0))
+    g = d.groupBy(*keys, "_from").agg(
+        F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min("t_s").alias("_t0"), F.max("t_s").alias("_t1"), F.avg("t_s").alias("_mt"), r("sxx", "x").alias("_tt"),
+        F.count(F.lit(1)).alias("n"), r("slope", "x").alias("vx"), r("intercept", "x").alias("_x0"), r("slope", "y").alias("vy"), r("intercept", "y").alias("_y0"), rss.alias("_rss"),
+    )
+    own = F.when(F.col("n") > 2, F.sqrt(F.col("_rss") / (2 * (F.col("n") - 2)))).otherwise(F.lit(0.0))
+    g = g.withColumn("_noise", F.greatest(F.lit(float(sigma)), own)).withColumn("err", F.col("_noise") / F.sqrt("_tt"))
+    line = F.struct("_t1", "_mt", "_tt", "n", "_noise", "vx", "_x0", "vy", "_y0")
+    g = previous(g, keys, "f0", {"_p": line})
+    tb = (F.col("_p._t1") + F.col("_t0")) / 2
+    gap = F.hypot(F.col("_x0") + F.col("vx") * tb - F.col("_p._x0") - F.col("_p.vx") * tb, F.col("_y0") + F.col("vy") * tb - F.col("_p._y0") - F.col("_p.vy") * tb)
+    var = lambda p: F.pow(F.col(f"{p}_noise"), 2) * (1 / F.col(f"{p}n") + F.pow(tb - F.col(f"{p}_mt"), 2) / F.col(f"{p}_tt"))
+    return g.select(*keys, "f0", "f1", "n", "vx", "vy", "err", gap.alias("jump"), (gap / F.sqrt(2 * (var("") + var("_p.")))).alias("jump_sigma"))
 
 
 def size_steps(sizes: DataFrame, keys: Sequence[str], hold: int = 8, ratio: float = 1.2, chunk: int = CHUNK) -> DataFrame:

@@ -13,7 +13,7 @@ from skyloom.functions.safe import div
 from skyloom.functions import draws as dr
 from skyloom.functions.chunked import CHUNK, previous, rolling, scan
 from skyloom.functions.joins import near_pairs
-from skyloom.functions.lineage import share
+from skyloom.functions.lineage import cut, share
 from skyloom.functions.quantiles import exact_quantiles, robust_scale
 
 G0 = 9.80665
@@ -54,6 +54,57 @@ def explain_lines(lines: DataFrame, families: Sequence[tuple[str, float, float,
     return j.join(ok, ["video_id", "prio"]).groupBy("video_id", "line_id").agg(F.min_by(F.struct("family", "k"), "prio").alias("b")).select("video_id", "line_id", "b.family", F.col("b.k").cast("int").alias("k"))
 
 
+# What makes each kind of family.  ``lo`` and ``hi`` bound the fundamental, ``k`` the harmonic, ``rel`` and ``tol`` (Hz) how far a
+# member may lie off; a family has ``least`` harmonics, ``low_n`` of them up to the ``low``-th, and its first is no higher than ``first``.
+_KIND = ("prio", "family", "lo", "hi", "k", "rel", "tol", "least", "low", "low_n", "first")
+FAMILY_KINDS = [
+    *[(0, f"{codec} {rate}", rate / size, rate / size, 64, 0.0, 0.3, 3, 8, 2, 64) for codec, size in (("AAC", 1024), ("MP3", 1152)) for rate in (48000, 44100, 32000, 24000, 22050, 16000)],
+    (1, "bus", 393.0, 407.0, 10, 0.0005, 0.0, 2, 10, 2, 10),
+    (2, "mains 50", 49.5, 50.5, 40, 0.0005, 0.0, 2, 12, 2, 6),
+    (2, "mains 60", 59.4, 60.6, 40, 0.0005, 0.0, 2, 12, 2, 6),
+    (3, "series", 15.0, 500.0, 16, 0.003, 0.0, 3, 6, 3, 2),
+]
+
+
+def line_families(lines: DataFrame, kinds: Sequence[tuple] = FAMILY_KINDS) -> DataFrame:
+    """J19. The families of steady tones, found from the tones (``video_id, line_id, hz, strength``): one row a line that one explains,
+    with ``family``, its fundamental ``f0`` and the harmonic ``k``.
+
+    Every line votes for each fundamental it may be a harmonic of, in two grids of the logarithm of frequency, half a cell apart and as
+    wide as a kind's members may scatter; a known fundamental is a cell of its own.  Then in rounds, all videos at once: of the
+    cells that make a family, the first kind's with most harmonics (then strength, then the higher fundamental) takes its
+    lines, until none makes one.  Votes are a few rows a line, and their sums are made before the shuffle.
+    """
+    kind = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(_KIND, row, strict=True)], F.lit(i).alias("id")) for i, row in enumerate(kinds)])
+    v = lines.where(F.col("hz") > 0).select("video_id", "line_id", "hz", "strength", F.explode(kind).alias("f")).select("video_id", "line_id", "hz", "strength", "f.*")
+    ks = lambda a, b: F.when(b >= a, F.sequence(a, b))
+    given = F.array(F.rint(F.col("hz") / F.col("lo")).cast("long"))
+    ranged = ks(F.greatest(F.ceil(F.col("hz") / F.col("hi")), F.lit(1).cast("long")), F.least(F.floor(F.col("hz") / F.col("lo")), F.col("k").cast("long")))
+    v = v.withColumn("h", F.explode(F.when(F.col("rel") == 0, given).otherwise(ranged)))
+    v = v.where((F.col("h") >= 1) & (F.col("h") <= F.col("k")) & ((F.col("rel") > 0) | (F.abs(F.col("hz") - F.col("h") * F.col("lo")) <= F.col("tol"))))
+    half = F.log(F.col("hz") / F.col("h")) / F.col("rel")  # cells are two of these wide
+    cells = F.when(F.col("rel") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array(2 * F.floor(half / 2), 2 * F.floor((half + 1) / 2) - 1))
+    v = cut(v.select("video_id", "line_id", "hz", "strength", "prio", "family", "id", "least", "low", "low_n", "first", "h", F.explode(cells).alias("cell")))
+    found = None
+    cell = ["video_id", "id", "cell"]
+    while True:
+        low = F.when(F.col("h") <= F.col("low"), F.col("h"))
+        g = v.groupBy(*cell, "prio", "family", "least", "low_n", "first").agg(
+            F.count_distinct("h").alias("n"), F.count_distinct(low).alias("lows"), F.min("h").alias("h0"), F.sum("strength").alias("s"), (F.sum(F.col("h") * F.col("hz")) / F.sum(F.col("h") * F.col("h"))).alias("f0"),
+        )
+        g = g.where((F.col("n") >= F.col("least")) & (F.col("lows") >= F.col("low_n")) & (F.col("h0") <= F.col("first")))
+        best = g.groupBy("video_id").agg(F.max(F.struct((-F.col("prio")).alias("p"), "n", F.round("s", 6).alias("s"), F.round("f0", 6).alias("f0"), "id", "cell", "family")).alias("b"))
+        best = best.select("video_id", "b.id", "b.cell", "b.family", "b.f0")
+        # a line that is two harmonics of one cell counts as the lower
+        took = v.drop("family").join(best, cell).groupBy("video_id", "line_id", "family", "f0").agg(F.min("h").cast("int").alias("k"))
+        took = cut(took)
+        if took.isEmpty():
+            break
+        found = took if found is None else found.unionByName(took)
+        v = cut(v.join(took.select("video_id", "line_id"), ["video_id", "line_id"], "left_anti"))
+    return took if found is None else found
+
+
 # ---- windows ----------------------------------------------------------------------------------------------------------
 def clock_ticks(ticks: DataFrame, fps: float, keys: Sequence[str], tol: float = 0.12) -> DataFrame:
     """W18. Is a box's run of ticks a clock: gaps steady at the frame rate; the ticks early or late by over 1.5 frames."""

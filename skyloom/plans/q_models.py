@@ -47,9 +47,32 @@ def _(t):
     return rnd(d.groupBy("video_id", "curve").agg(F.count(F.lit(1)).alias("frames"), F.first("share").alias("share")), "share")
 
 
-@query("rate_steps")
+_LINE = "regr_slope(x,t) AS vx, regr_intercept(x,t) AS x0, regr_slope(y,t) AS vy, regr_intercept(y,t) AS y0, regr_sxx(x,t) AS tt"
+
+
+@query(
+    "rate_steps",
+    f"""WITH RECURSIVE {TIMED_SQL}, p AS (SELECT video_id, object_id, frame, t_s AS t, x, y, row_number() OVER k AS i, count(*) OVER (PARTITION BY video_id, object_id) AS nn FROM timed WINDOW k AS (PARTITION BY video_id, object_id ORDER BY frame)),
+q AS MATERIALIZED (SELECT * FROM p WHERE nn >= 8),
+c AS (SELECT a.object_id, a.i - 1 AS i, b.i AS j, count(*) AS n, {{0}} AS cost FROM q a JOIN q b ON a.object_id=b.object_id AND b.i >= a.i + 3 JOIN q m ON m.object_id=a.object_id AND m.i BETWEEN a.i AND b.i GROUP BY ALL),
+l AS MATERIALIZED (SELECT object_id, j, list(struct_pack(i := i, c := cost) ORDER BY i) AS ways FROM c GROUP BY ALL),
+f AS (SELECT object_id, nn, 0 AS j, [0.0::DOUBLE] AS best, [(-1)::BIGINT] AS prev FROM (SELECT DISTINCT object_id, nn FROM q) UNION ALL
+  SELECT object_id, nn, j, list_append(best, coalesce(w.c + 4*ln(2*nn)*144.0, 1e300::DOUBLE)), list_append(prev, coalesce(w.i, -1)) FROM (
+    SELECT f.object_id, nn, f.j + 1 AS j, best, prev, list_min(list_transform(ways, lambda s: struct_pack(c := best[s.i + 1] + s.c, i := s.i))) AS w FROM f LEFT JOIN l ON l.object_id=f.object_id AND l.j=f.j + 1 WHERE f.j < nn)),
+e AS MATERIALIZED (SELECT object_id, prev, nn FROM f WHERE j = nn),
+b AS (SELECT object_id, prev, prev[nn + 1] AS a, nn AS z FROM e UNION ALL SELECT object_id, prev, prev[a + 1], a FROM b WHERE a > 0),
+g AS (SELECT q.video_id, object_id, min(frame) AS f0, max(frame) AS f1, min(t) AS t0, max(t) AS t1, avg(t) AS mt, count(*) AS n, {_LINE},
+  sqrt((greatest(regr_syy(x,t)-pow(regr_sxy(x,t),2)/regr_sxx(x,t),0) + greatest(regr_syy(y,t)-pow(regr_sxy(y,t),2)/regr_sxx(y,t),0))/(2*(count(*)-2))) AS own FROM q JOIN b USING (object_id) WHERE q.i > b.a AND q.i <= b.z GROUP BY q.video_id, object_id, b.a),
+h AS (SELECT *, greatest(12.0, own) AS noise, (lag(t1) OVER w + t0)/2 AS tb, lag(struct_pack(vx, x0, vy, y0, mt, tt, n, noise := greatest(12.0, own))) OVER w AS o FROM g WINDOW w AS (PARTITION BY object_id ORDER BY f0)),
+k AS (SELECT *, sqrt(pow(x0+vx*tb-o.x0-o.vx*tb,2)+pow(y0+vy*tb-o.y0-o.vy*tb,2)) AS jump FROM h)
+SELECT video_id, object_id, f0, f1, n, round(vx,5) AS vx, round(vy,5) AS vy, round(noise/sqrt(tt),5) AS err, round(jump,5) AS jump,
+  round(jump/sqrt(2*(noise*noise*(1.0/n+pow(tb-mt,2)/tt)+o.noise*o.noise*(1.0/o.n+pow(tb-o.mt,2)/o.tt))),5) AS jump_sigma FROM k""".replace(
+        "{0}",
+        "+".join(f"greatest(regr_syy(m.{z},m.t)-pow(regr_sxy(m.{z},m.t),2)/regr_sxx(m.{z},m.t),0)" for z in "xy"),
+    ),
+)
 def _(t):
-    return rnd(mo.rate_steps(timed(t), KEY, 12.0), "vx", "vy", "err", n=5)
+    return rnd(mo.rate_steps(timed(t), KEY, 12.0), "vx", "vy", "err", "jump", "jump_sigma", n=5)
 
 
 @query(

@@ -41,6 +41,30 @@ def _(t):
     return re_.explain_lines(d, [("bus", 40.0, 0.3, 1), ("mains", 50.0, 0.3, 2), ("rotor", 7.0, 0.2, 3)])
 
 
+_KINDS = ",".join(str((i, *row)) for i, row in enumerate(re_.FAMILY_KINDS))
+
+
+def _families_sql(rounds: int) -> str:
+    """Votes once, then one round of choosing and taking after another."""
+    r = lambda i: f"""
+g{i} AS MATERIALIZED (SELECT video_id, id, cell, prio, family, count(DISTINCT h) AS n, round(sum(strength),6) AS s, round(sum(h*hz)/sum(h*h),6) AS f0 FROM v{i} GROUP BY video_id, id, cell, prio, family, least, low_n, "first"
+  HAVING count(DISTINCT h) >= least AND count(DISTINCT h) FILTER (h <= any_low) >= low_n AND min(h) <= "first"),
+b{i} AS MATERIALIZED (SELECT video_id, max(struct_pack(p := -prio, n := n, s := s, f0 := f0, id := id, cell := cell, family := family)) AS b FROM g{i} GROUP BY ALL),
+t{i} AS MATERIALIZED (SELECT video_id, line_id, b.family AS family, b.f0 AS f0, min(h) AS k FROM v{i} v JOIN b{i} USING (video_id) WHERE v.id=b.id AND v.cell=b.cell GROUP BY ALL),
+v{i + 1} AS MATERIALIZED (SELECT * FROM v{i} WHERE NOT EXISTS (FROM t{i} t WHERE t.video_id=v{i}.video_id AND t.line_id=v{i}.line_id))""".replace("any_low", "low")
+    return f"""WITH kinds AS (SELECT * FROM (VALUES {_KINDS}) f(id,prio,family,lo,hi,kmax,rel,tol,least,low,low_n,"first")),
+h AS (SELECT user_id AS video_id, event_id AS line_id, value AS hz, 1.0+event_id%7 AS strength, kinds.*, unnest(CASE WHEN rel=0 THEN [CAST(round_even(value/lo,0) AS BIGINT)] ELSE range(greatest(CAST(ceil(value/hi) AS BIGINT),1), least(CAST(floor(value/lo) AS BIGINT),kmax)+1) END) AS h FROM events, kinds WHERE value > 0),
+u AS (SELECT *, ln(hz/h)/nullif(rel,0) AS half FROM h WHERE h BETWEEN 1 AND kmax AND (rel > 0 OR abs(hz-h*lo) <= tol)),
+v0 AS MATERIALIZED (SELECT video_id, line_id, hz, strength, prio, family, id, least, low, low_n, "first", h, unnest(CASE WHEN rel=0 THEN [0] ELSE [2*CAST(floor(half/2) AS BIGINT), 2*CAST(floor((half+1)/2) AS BIGINT)-1] END) AS cell FROM u),
+{",".join(r(i) for i in range(rounds))} {" UNION ALL ".join(f"SELECT video_id, line_id, family, round(f0,5) AS f0, CAST(k AS INT) AS k FROM t{i}" for i in range(rounds))}"""
+
+
+@query("line_families", _families_sql(24))
+def _(t):
+    d = t.events.select(F.col("user_id").alias("video_id"), F.col("event_id").alias("line_id"), F.col("value").alias("hz"), (1.0 + F.col("event_id") % 7).alias("strength"))
+    return rnd(re_.line_families(d), "f0", n=5)
+
+
 @query(
     "clock_ticks",
     """WITH d AS (SELECT DISTINCT user_id AS video_id, CAST(floor(epoch(ts)/86400) AS BIGINT) AS frame FROM events), g AS (SELECT *, frame - lag(frame) OVER (PARTITION BY video_id ORDER BY frame) AS gap FROM d),

@@ -4,6 +4,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,3 +294,62 @@ def test_places_number_the_whole_order(spark):
 
     d = rank_rows(spark.range(5000).select((F.col("id") * 37 % 5000).alias("k")), [F.col("k").desc()])
     assert d.where(F.col("place") != 5000 - F.col("k")).count() == 0 and d.count() == 5000
+
+
+def _plain_partition(t, x, y, sigma, least):
+    """Every partition's cost by the plain programme over all starts."""
+    n = len(t)
+    pen = 4 * math.log(2 * n) * sigma * sigma
+
+    def sse(i, j):
+        return sum(float(((v[i:j] - np.polyval(np.polyfit(t[i:j], v[i:j], 1), t[i:j])) ** 2).sum()) for v in (x, y))
+
+    best, prev = [0.0] + [math.inf] * n, [0] * (n + 1)
+    for j in range(least, n + 1):
+        for i in range(0, j - least + 1):
+            if best[i] + sse(i, j) + pen < best[j] - 1e-9:
+                best[j], prev[j] = best[i] + sse(i, j) + pen, i
+    cuts, j = [], n
+    while j:
+        cuts.append((prev[j], j))
+        j = prev[j]
+    return cuts[::-1]
+
+
+def test_rate_steps_are_the_best_partition(spark):
+    from skyloom.operators.models import StartsAlive, rate_steps
+
+    rng = np.random.default_rng(5)
+    rows, want = [], set()
+    for k in range(6):
+        n = 90
+        t = np.arange(n) / 30
+        x = np.cumsum(np.repeat(rng.normal(0, 2, 6), 15)) + rng.normal(0, 0.5, n)
+        y = rng.normal(0, 0.5, n)
+        if k == 0:  # a bump: either break alone gains little, both together pay
+            x = np.where((np.arange(n) >= 40) & (np.arange(n) < 50), 4.0, 0.0) + rng.normal(0, 0.3, n)
+        rows += [(1, k, i + 1, float(t[i]), float(x[i]), float(y[i])) for i in range(n)]
+        want |= {(k, a + 1, b) for a, b in _plain_partition(t, x, y, 0.5, 4)}
+    rows += [(1, 99, i, i / 30, 0.0, 0.0) for i in range(7)]  # too short
+    df = spark.createDataFrame(rows, "video_id long, object_id long, frame long, t_s double, x double, y double").repartition(5)
+    got = rate_steps(df, ["video_id", "object_id"], 0.5).collect()
+    assert {(r.object_id, r.f0, r.f1) for r in got} == want
+    assert len([1 for r in got if r.object_id == 0]) == 3
+    # starts that are still held don't grow with the track
+    alive = StartsAlive(4, 4 * math.log(2e4) * 0.25)
+    sizes = []
+    for i in range(4000):
+        alive.point(i / 30, float((i % 50) * (1 if i // 50 % 2 else -1)) + rng.normal(0, 0.5), rng.normal(0, 0.5))
+        sizes.append(len(alive.at))
+    assert max(sizes[2000:]) <= max(sizes[:2000]) * 1.5 < 400
+
+
+def test_line_families_are_found(spark):
+    from skyloom.operators.readings import line_families
+
+    tones = [*(46.875 * k for k in (1, 2, 3, 5)), *(400.2 * k for k in (1, 2)), *(50.01 * k for k in (1, 2, 3)), *(68.9 * k for k in (1, 2, 3, 4)), 811.3]
+    d = spark.createDataFrame([(1, i, hz, 10.0) for i, hz in enumerate(tones)] + [(2, 0, 50.0, 1.0)], "video_id long, line_id long, hz double, strength double")
+    got = {r.line_id: (r.family, round(r.f0, 2), r.k) for r in line_families(d).collect()}
+    assert [got[i][0] for i in range(13)] == ["AAC 48000"] * 4 + ["bus"] * 2 + ["mains 50"] * 3 + ["series"] * 4
+    assert 13 not in got and [got[i][2] for i in range(9, 13)] == [1, 2, 3, 4] and got[9][1] == 68.9
+    assert line_families(d.where("video_id = 2")).count() == 0
