@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -428,3 +430,47 @@ def uniformity(ps: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
     le = lambda x: (F.sum(F.when(F.col("_p") <= x, F.col("_k")).otherwise(0)) / F.first("_n")).alias(f"le_{int(round(x * 100)):02d}")
     g = j.groupBy(*keys).agg(F.first("_n").alias("n"), *[le(x) for x in (0.05, 0.10, 0.20, 0.50)], F.max(F.abs(F.col("_c") / F.col("_n") - F.col("_p"))).alias("ks"))
     return g.withColumn("ks_p", kolmogorov_sf(F.col("ks"), F.col("n")))
+
+
+def model_confidence(losses: DataFrame, keys: Sequence[str], block: int, draws: int = 500, alpha: float = 0.1, seed: int = 0) -> DataFrame:
+    """A48. The models whose losses can't be told from the best: keys, model, mean ``loss``, its ``p`` and whether it is ``kept``.
+
+    ``losses``: model, idx (1..T, the same origins for every model) and loss.  Each draw takes floor(T / block) moving blocks of the
+    origins, hashed; a block's sum is the difference of two running sums, so a draw costs its blocks, not its origins, and is summed
+    before the elimination: then a group is one row a draw and model.  There the model furthest above the mean of those left goes while
+    more than one is, with the largest share of draws so far that reach its distance as p; the last has 1.
+    """
+    keys = list(keys)
+    run = scan(losses, [*keys, "model"], "idx", {"_sum": ("sum", F.col("loss"))}, chunk=65536).select(*keys, "model", "idx", "_sum")
+    run = share(run.unionByName(losses.select(*keys, "model").distinct().select(*keys, "model", F.lit(0).cast(run.schema["idx"].dataType).alias("idx"), F.lit(0.0).alias("_sum"))))
+    n = run.groupBy(*keys, "model").agg(F.max("idx").alias("_n"), F.max_by("_sum", "idx").alias("_all"))
+    n = share(n.where(F.col("_n") >= block))
+    b = n.groupBy(*keys).agg(F.max("_n").alias("_n")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    b = b.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_n") / block) - 1)))
+    b = b.withColumn("_s", F.floor(dr.uniform(seed, *[F.col(k) for k in keys], F.col("draw"), F.col("_j")) * (F.col("_n") - block + 1)))
+    b = b.groupBy(*keys, "_n", "_s").agg(F.collect_list("draw").alias("_draws"))  # a start's draws: ``draws`` blocks spread over the starts
+    ends = run.select(*keys, "model", F.col("idx").alias("_to"), F.col("_sum").alias("_hi"))
+    b = b.withColumn("_to", F.col("_s") + block).join(ends, [*keys, "_to"]).join(run.select(*keys, "model", F.col("idx").alias("_s"), F.col("_sum").alias("_lo")), [*keys, "model", "_s"])
+    drawn = b.select(*keys, "model", "_n", (F.col("_hi") - F.col("_lo")).alias("_v"), F.explode("_draws").alias("draw")).groupBy(*keys, "model", "draw", "_n").agg(F.sum("_v").alias("_v"))
+    drawn = drawn.select(*keys, "model", "draw", (F.col("_v") / (F.floor(F.col("_n") / block) * block)).alias("mean"))
+    means = n.select(*keys, "model", F.lit(0).alias("draw"), (F.col("_all") / F.col("_n")).alias("mean"))
+    fields = ", ".join(f"`{k}` {losses.schema[k].dataType.simpleString()}" for k in [*keys, "model"])
+    return drawn.unionByName(means).groupBy(*keys).applyInPandas(_eliminated(keys, alpha), f"{fields}, loss double, p double, kept boolean")
+
+
+def _eliminated(keys: list[str], alpha: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        wide = group.pivot(index="draw", columns="model", values="mean").sort_index().sort_index(axis=1)
+        mean, drawn, names = wide.loc[0].to_numpy(), wide.drop(index=0).to_numpy(), list(wide.columns)
+        left, p, top = list(range(len(names))), np.ones(len(names)), 0.0
+        while len(left) > 1:
+            own = mean[left] - mean[left].mean()
+            off = drawn[:, left] - drawn[:, left].mean(axis=1, keepdims=True) - own
+            sd = np.sqrt(np.maximum((off * off).mean(axis=0), 1e-300))
+            worst = int(np.argmax(own / sd))
+            top = max(top, float(((off / sd).max(axis=1) >= (own / sd)[worst]).mean()))
+            p[left.pop(worst)] = top
+        first = {k: group[k].iloc[0] for k in keys}
+        return pd.DataFrame({**first, "model": names, "loss": mean, "p": p, "kept": p >= alpha})
+
+    return run

@@ -353,3 +353,36 @@ def test_line_families_are_found(spark):
     assert [got[i][0] for i in range(13)] == ["AAC 48000"] * 4 + ["bus"] * 2 + ["mains 50"] * 3 + ["series"] * 4
     assert 13 not in got and [got[i][2] for i in range(9, 13)] == [1, 2, 3, 4] and got[9][1] == 68.9
     assert line_families(d.where("video_id = 2")).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [8, 50, 100_000])
+def test_pointer_updates_over_chunks(spark, chunk):
+    from skyloom.operators.pointers import pointer_updates
+
+    rng = random.Random(chunk)
+    rows, want = [], []
+    for key in range(5):
+        v, last = 0.0, None
+        for i in range(400):
+            v += rng.choice([0.0, 0.0, 0.1, -0.1, 0.3, rng.gauss(0, 1)]) * (key > 0)
+            if rng.random() < 0.2:
+                continue
+            seen = None if rng.random() < 0.05 else float("nan") if rng.random() < 0.05 else v
+            rows.append((key, i, seen))
+            if seen is not None and not math.isnan(seen) and (last is None or abs(seen - last) >= 0.5):
+                want.append((key, i, seen))
+                last = seen
+    d = spark.createDataFrame(rows, "video_id long, frame long, theta double").repartition(4)
+    got = sorted(tuple(r) for r in pointer_updates(d, ["video_id"], "frame", "theta", 1.0, chunk=chunk).collect())
+    assert got == sorted(want)
+
+
+def test_model_confidence_tells_the_worse_apart(spark):
+    from skyloom.operators.stats import model_confidence
+
+    rng = random.Random(2)
+    rows = [(k, m, i + 1, rng.expovariate(1) + (2.0 if m == "c" else 0.0)) for k in (1, 2) for m in "abc" for i in range(80)]
+    rows += [(3, m, 1, 1.0) for m in "ab"]  # shorter than a block
+    got = {(r.video_id, r.model): (r.p, r.kept) for r in model_confidence(spark.createDataFrame(rows, "video_id long, model string, idx long, loss double"), ["video_id"], 4, 200).collect()}
+    assert set(k for k, _ in got) == {1, 2}
+    assert all(not got[k, "c"][1] and got[k, "a"][1] + got[k, "b"][1] >= 1 and max(got[k, m][0] for m in "ab") == 1.0 for k in (1, 2))
