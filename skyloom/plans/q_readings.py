@@ -56,13 +56,13 @@ v{i + 1} AS MATERIALIZED (SELECT * FROM v{i} WHERE NOT EXISTS (FROM t{i} t WHERE
 h AS (SELECT user_id AS video_id, event_id AS line_id, value AS hz, 1.0+event_id%7 AS strength, kinds.*, unnest(CASE WHEN rel=0 THEN [CAST(round_even(value/lo,0) AS BIGINT)] ELSE range(greatest(CAST(ceil(value/hi) AS BIGINT),1), least(CAST(floor(value/lo) AS BIGINT),kmax)+1) END) AS h FROM events, kinds WHERE value > 0),
 u AS (SELECT *, ln(hz/h)/nullif(rel,0) AS half FROM h WHERE h BETWEEN 1 AND kmax AND (rel > 0 OR abs(hz-h*lo) <= tol)),
 v0 AS MATERIALIZED (SELECT video_id, line_id, hz, strength, prio, family, id, least, low, low_n, "first", h, unnest(CASE WHEN rel=0 THEN [0] ELSE [2*CAST(floor(half/2) AS BIGINT), 2*CAST(floor((half+1)/2) AS BIGINT)-1] END) AS cell FROM u),
-{",".join(r(i) for i in range(rounds))} {" UNION ALL ".join(f"SELECT video_id, line_id, family, round(f0,5) AS f0, CAST(k AS INT) AS k FROM t{i}" for i in range(rounds))}"""
+{",".join(r(i) for i in range(rounds))} {" UNION ALL ".join(f"SELECT video_id, line_id, family, round(f0,3) AS f0, CAST(k AS INT) AS k FROM t{i}" for i in range(rounds))}"""
 
 
 @query("line_families", _families_sql(24))
 def _(t):
     d = t.events.select(F.col("user_id").alias("video_id"), F.col("event_id").alias("line_id"), F.col("value").alias("hz"), (1.0 + F.col("event_id") % 7).alias("strength"))
-    return rnd(re_.line_families(d), "f0", n=5)
+    return rnd(re_.line_families(d), "f0", n=3)
 
 
 @query(
