@@ -49,7 +49,7 @@ def extend_chains(peaks: DataFrame, vmax: float, tol: float = 6.0, max_skip: int
         step = on.withColumn("gap", F.explode(F.sequence(F.lit(1), F.lit(max_skip + 1)))).withColumn("frame", F.col("last") + F.col("gap"))
         j = step.join(peaks, ["video_id", "polarity", "frame"])
         dx, dy = F.col("x") - (F.col("lx") + F.col("vx") * F.col("gap")), F.col("y") - (F.col("ly") + F.col("vy") * F.col("gap"))
-        j = j.withColumn("_off", off_path(dx, dy, F.col("vx"), F.col("vy"), F.col("gap"), tol + 8.0 * F.col("gap") / (F.col("last") - F.col("n0"))))
+        j = j.withColumn("_off", misfit(dx, dy, F.col("vx"), F.col("vy"), F.col("gap"), tol + 8.0 * F.col("gap") / (F.col("last") - F.col("n0"))))
         j = j.where(F.col("_off") <= 1.0)
         hit = j.groupBy("video_id", "chain").agg(F.min_by(F.struct("polarity", "n0", "x0", "y0", "frame", "peak_id", "x", "y", "amp", "size"), F.struct("gap", "_off", "peak_id")).alias("h"))
         hit = cut(hit.select("video_id", "chain", "h.*"))
@@ -71,13 +71,21 @@ def _all(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def off_path(dx: Column, dy: Column, vx: Column, vy: Column, steps: Column, tol: Column) -> Column:
-    """How far a point is from where a thing at (vx, vy) should be, as a share of what is allowed: 15 % of the way along
-    it and 3 % across it, over ``tol``."""
-    s = F.hypot(vx, vy)
-    along, across = (dx * vx + dy * vy) / s, (dy * vx - dx * vy) / s
-    g = F.greatest(F.abs(along) / (tol + 0.15 * s * steps), F.abs(across) / (tol + 0.03 * s * steps))
-    return F.when(s < 1e-6, F.hypot(dx, dy) / tol).otherwise(g)
+#: A thing's pace is this uncertain along its way, and its heading across it, as shares of the way gone.
+PACE, HEADING = 0.15, 0.03
+
+
+def misfit(dx: Column, dy: Column, vx: Column, vy: Column, steps: Column, sigma: Column) -> Column:
+    """A prediction error in standard deviations of the prediction: sqrt(e' C^-1 e).
+
+    The place has variance sigma^2 each way; pace and heading add those of the way gone, so C = a I + b v v' with
+    a = sigma^2 + (HEADING steps |v|)^2 and b = (PACE^2 - HEADING^2) steps^2, whose inverse has a closed form (a rank-one update).
+    The gate is an ellipse along the way, and a circle for a thing at rest, without a case of its own."""
+    vv = vx * vx + vy * vy
+    a = sigma * sigma + HEADING * HEADING * steps * steps * vv
+    b = (PACE * PACE - HEADING * HEADING) * steps * steps
+    ev = dx * vx + dy * vy
+    return F.sqrt(F.greatest(dx * dx + dy * dy - b * ev * ev / (a + b * vv), F.lit(0.0)) / a)
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:

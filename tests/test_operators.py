@@ -386,3 +386,35 @@ def test_model_confidence_tells_the_worse_apart(spark):
     got = {(r.video_id, r.model): (r.p, r.kept) for r in model_confidence(spark.createDataFrame(rows, "video_id long, model string, idx long, loss double"), ["video_id"], 4, 200).collect()}
     assert set(k for k, _ in got) == {1, 2}
     assert all(not got[k, "c"][1] and got[k, "a"][1] + got[k, "b"][1] >= 1 and max(got[k, m][0] for m in "ab") == 1.0 for k in (1, 2))
+
+
+def test_misfit_is_the_predictions_own_distance(spark):
+    from skyloom.operators.links import HEADING, PACE, misfit
+
+    rng = np.random.default_rng(1)
+    rows = [tuple(map(float, (*rng.normal(0, 20, 2), *rng.normal(0, 40, 2) * (i % 5 > 0), rng.integers(1, 4), rng.uniform(2, 12)))) for i in range(50)]
+    d = spark.createDataFrame(rows, "dx double, dy double, vx double, vy double, steps double, s double")
+    got = [r[0] for r in d.select(misfit(*[F.col(c) for c in d.columns])).collect()]
+    for (dx, dy, vx, vy, steps, s), g in zip(rows, got):
+        way = steps * math.hypot(vx, vy)
+        u = np.array([vx, vy]) / (math.hypot(vx, vy) or 1)
+        c = (s * s + (HEADING * way) ** 2) * np.eye(2) + (PACE**2 - HEADING**2) * way**2 * np.outer(u, u)
+        e = np.array([dx, dy])
+        assert abs(g - math.sqrt(e @ np.linalg.solve(c, e))) < 1e-9
+
+
+def test_streams_in_order(spark, tmp_path):
+    import datetime as dt
+
+    from skyloom.streaming import jobs
+    from skyloom.streaming import ordered as od
+
+    at = lambda s: dt.datetime.fromtimestamp(1_700_000_000 + s, dt.timezone.utc)
+    slices = [[(1, 1, 1.0, 10), (1, 2, 2.0, 20), (1, 3, 3.0, 30)], [(1, 3, 3.5, 30), (1, 1, 9.0, 10), (1, 4, 4.0, 60)], [(1, 2, 8.0, 20), (1, 9, 9.0, 100)]]
+    for rows in slices:
+        d = spark.createDataFrame([(v, 0, f, x, 0.0, at(s)) for v, f, x, s in rows], "video_id long, object_id long, frame long, x double, y double, ts timestamp")
+        d.write.mode("append").parquet(f"{tmp_path}/in")
+        out = od.settled_points(spark.readStream.schema(d.schema).parquet(f"{tmp_path}/in"), "15 seconds")
+        got = jobs.run_available(out, f"{tmp_path}/out", f"{tmp_path}/check")
+    # frame 3 is replaced while it waits, 1 and 2 come too late for that, 9 still waits
+    assert sorted((r.frame, r.x, r.late) for r in got.collect()) == [(1, 1.0, False), (1, 9.0, True), (2, 2.0, False), (2, 8.0, True), (3, 3.5, False), (4, 4.0, False)]
