@@ -32,16 +32,20 @@ def _tokens(path: str, texts: pd.Series) -> list[np.ndarray]:
     return [bpe.encode_to_numpy(t, disallowed_special=()) for t in texts]
 
 
+def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Equal rows of a batch as one, with their number, before anything is dealt out: so many rows of one document stay few."""
+    for batch in batches:
+        yield batch.groupby(["id", "known", "text"], sort=False, as_index=False).size().rename(columns={"size": "copies"})
+
+
 def _counted(path: str):
     def run(key: tuple, docs: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
         target = (docs["id"].isin(set(labels["id"])) & docs["known"]).to_numpy()
         pairs = [pairs_of(t) for t in _tokens(path, docs["text"])]
-        none = np.zeros(0, np.uint32)
-        pair, background = np.unique(np.concatenate([none, *pairs]), return_counts=True)
-        some, n = np.unique(np.concatenate([none, *[p for p, t in zip(pairs, target, strict=True) if t]]), return_counts=True)
-        mine = np.zeros(len(pair), np.int64)
-        mine[np.searchsorted(pair, some)] = n
-        return pd.DataFrame({"block": np.full(len(pair), key[0]), "pair": pair.astype(np.int64), "target": mine, "background": background})
+        sizes, copies = [len(p) for p in pairs], docs["copies"].to_numpy()
+        pair, at = np.unique(np.concatenate([np.zeros(0, np.uint32), *pairs]), return_inverse=True)
+        count = lambda weight: np.bincount(at, np.repeat(weight, sizes), len(pair)).astype(np.int64)
+        return pd.DataFrame({"block": np.full(len(pair), key[0]), "pair": pair.astype(np.int64), "target": count(copies * target), "background": count(copies)})
 
     return run
 
@@ -51,11 +55,11 @@ def _scored(path: str):
         losses = losses.sort_values("pair")
         known, t, b = losses["pair"].to_numpy(), losses["target_loss"].to_numpy(), losses["background_loss"].to_numpy()
         out = []
-        for id, known_id, ids in zip(docs["id"], docs["known"], _tokens(path, docs["text"]), strict=True):
+        for id, known_id, copies, ids in zip(docs["id"], docs["known"], docs["copies"], _tokens(path, docs["text"]), strict=True):
             at = np.searchsorted(known, pairs_of(ids).astype(np.int64))
             n = len(ids)
-            out.append((id, known_id, n, float(t[at].sum() / n) if n else 0.0, float(b[at].sum() / n) if n else 0.0))
-        return pd.DataFrame(out, columns=["id", "known", "tokens", "target_loss", "background_loss"])
+            out.append((id, known_id, copies, n, float(t[at].sum() / n) if n else 0.0, float(b[at].sum() / n) if n else 0.0))
+        return pd.DataFrame(out, columns=["id", "known", "copies", "tokens", "target_loss", "background_loss"])
 
     return run
 
@@ -83,7 +87,7 @@ def score(docs: DataFrame, labels: DataFrame, tokenizer: str, id: str = "doc_id"
 
     The target model counts the token pairs of documents labelled 1, the background model those of all documents; both are bigram models
     over the tokenizer's one vocabulary.  Documents are dealt to blocks by a hash of id and text, one for every
-    ``block_bytes`` of text.  A block sends its different pairs with their counts, never its tokens; the sums over all blocks are the
+    ``block_bytes`` of text; equal rows are told once a batch, with their number.  A block sends its different pairs with their counts, never its tokens; the sums over all blocks are the
     models, and a block gets back the losses of its own pairs.  No model is sent whole to any task.  Labels go to the ``SPREAD``
     blocks that their id's texts may be in.  Null and empty texts have no token and losses of 0; null ids are
     background; repeated rows are scored (and counted) each; an empty table gives no rows; other columns are not read.
@@ -95,7 +99,8 @@ def score(docs: DataFrame, labels: DataFrame, tokenizer: str, id: str = "doc_id"
     blocks = max(1, -(-int(size) // block_bytes))
     block = lambda part: F.pmod(F.xxhash64(F.col("id"), part), F.lit(blocks)).alias("block")
     own = F.when(~F.col("known"), F.xxhash64("text")).otherwise(F.pmod(F.xxhash64("text"), F.lit(SPREAD)))
-    dealt = rows.select(block(own), "id", "known", "text").groupBy("block")
+    few = rows.mapInPandas(_alike, "id long, known boolean, text string, copies long")
+    dealt = few.select(block(own), "id", "known", "text", "copies").groupBy("block")
     chosen = labels.where(F.col(label) == 1).select(F.col(id).cast("long").alias("id")).where("id is not null").distinct()
     chosen = chosen.select("id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SPREAD)])).alias("part"))
     marked = chosen.select(block(F.col("part")), "id").groupBy("block")
@@ -105,6 +110,7 @@ def score(docs: DataFrame, labels: DataFrame, tokenizer: str, id: str = "doc_id"
     size_of = encoder(tokenizer).n_vocab
     losses = losses_of(losses_of(model, "target", size_of), "background", size_of).select("pair", "target_loss", "background_loss")
     asked = counts.select("block", "pair").join(losses, "pair").groupBy("block")
-    out = dealt.cogroup(asked).applyInPandas(_scored(tokenizer), "id long, known boolean, tokens long, target_loss double, background_loss double")
+    out = dealt.cogroup(asked).applyInPandas(_scored(tokenizer), "id long, known boolean, copies long, tokens long, target_loss double, background_loss double")
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     difference = (F.col("target_loss") - F.col("background_loss")).alias("difference")
     return out.select(F.when(F.col("known"), F.col("id")).alias(id), "tokens", "target_loss", "background_loss", difference)

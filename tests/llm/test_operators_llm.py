@@ -551,6 +551,12 @@ def test_cross_entropy(docs, labels, empty):
     got = cross_entropy.score(docs, labels, TOKENIZER, block_bytes=50_000).collect()
     assert sorted(str((r.doc_id, r.tokens, round(r.target_loss, 6) + 0.0, round(r.background_loss, 6) + 0.0)) for r in got) == want
     assert cross_entropy.score(empty, labels, TOKENIZER).count() == 0
+    # a document that holds most rows goes out as a few, and counts and comes back as often as it stands there
+    hot = docs.unionByName(docs.where("doc_id = 9").crossJoin(docs.sparkSession.range(300)).drop("id").repartition(2))
+    few = hot.selectExpr("coalesce(doc_id, 0) AS id", "doc_id IS NOT NULL AS known", "coalesce(text, '') AS text").mapInPandas(cross_entropy._alike, "id long, known boolean, text string, copies long")
+    assert few.count() < hot.count() - 250
+    back = cross_entropy.score(hot, labels, TOKENIZER)
+    assert back.where("doc_id = 9").count() == hot.where("doc_id = 9").count() > 300 and back.count() == hot.count()
 
 
 # the pipeline
