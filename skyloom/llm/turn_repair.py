@@ -269,9 +269,9 @@ def same(keys: list[str], a: str, b: str) -> Column:
 
 
 def rows_of(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """``conv, turn, role, text, digest``; a null role or text is one space."""
+    """``conv, turn, role, text, digest`` (the first half of its SHA-256); a null role or text is one space."""
     rows = turns.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(role, F.lit(" ")).alias("role"), F.coalesce(text, F.lit(" ")).alias("text"))
-    return rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    return rows.withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
 
 
 def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
