@@ -326,7 +326,7 @@ def shrink_to_rung(step_ln: Column, err: Column, rung_ln: Column, rung_err: Colu
 # ---- thresholds, splits, rates ---------------------------------------------------------------------------------------
 def set_floor(negatives: DataFrame, floors: Sequence[float], alpha: float = 0.01, draws: int = 200, seed: int = 0, step: float = 0.005) -> DataFrame:
     """A61. The smallest amplitude floor at which at most ``alpha`` of the negatives are named, its median over clip
-    resamples rounded up to ``step``.  ``negatives``: clip, score (null where never named)."""
+    resamples rounded up to ``step``; null where none does.  ``negatives``: clip, score (null where never named)."""
     grid = F.explode(F.array(*[F.lit(float(f)) for f in floors])).alias("floor")
     t = negatives.select("clip", "score", grid).groupBy("clip", "floor").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("score") >= F.col("floor"), F.lit(False)).cast("long")).alias("k")
@@ -337,7 +337,8 @@ def set_floor(negatives: DataFrame, floors: Sequence[float], alpha: float = 0.01
     ok = b.groupBy("draw").agg(F.coalesce(F.min(F.when(F.col("k") <= alpha * F.col("n"), F.col("floor"))), F.lit(float("inf"))).alias("f"))
     med = ok.agg(F.percentile("f", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("draws"))
     exact = t.groupBy("floor").agg(F.sum("k").alias("k"), F.sum("n").alias("n")).where(F.col("k") <= alpha * F.col("n")).agg(F.min("floor").alias("whole"))
-    return med.crossJoin(exact).select("whole", "median", (F.ceil(F.col("median") / step - 1e-9) * step).alias("floor"), "draws")
+    finite = F.when(F.col("median") < float("inf"), F.col("median"))  # where half of the draws have none, neither has this
+    return med.crossJoin(exact).select("whole", finite.alias("median"), (F.ceil(finite / step - 1e-9) * step).alias("floor"), "draws")
 
 
 def overfit_probability(cells: DataFrame, blocks: int = 16, weight: float = 11.0) -> DataFrame:

@@ -86,10 +86,29 @@ def _(t):
     return rnd(d, "k_min", "k_max")
 
 
-@query("horizon_bounds")
+def _reach(a: str, h: str, k: float) -> str:
+    rp = f"(6371000.0/(1-{k}))"
+    down = f"({rp}+{h})*sin(acos({rp}/({rp}+{h}))+{a})"
+    left = f"(pow({down},2)-(2*{rp}*{h}+{h}*{h}))"
+    return f"CASE WHEN {a} > 1e-12 AND {left} >= 0 THEN round({down}-sqrt({left}),2) ELSE 'inf'::DOUBLE END"
+
+
+def _clears(a: str, h: str, k: float) -> str:
+    rp = f"(6371000.0/(1-{k}))"
+    up = f"(-acos({rp}/({rp}+{h}))-{a})"
+    return f"CASE WHEN {a} >= -1e-12 THEN '-inf'::DOUBLE WHEN {up} >= 0 THEN round({h},2) ELSE round(({rp}+{h})*cos({up})-{rp},2) END"
+
+
+@query(
+    "horizon_bounds",
+    f"""WITH d AS (SELECT o_orderkey, o_custkey%200/100.0-0.5 AS delta_deg, o_totalprice/100 AS h FROM orders),
+e AS (SELECT *, radians(delta_deg) AS told, radians(delta_deg-0.02-abs(delta_deg-0.02)*0.05) AS flat, radians(delta_deg+0.02+abs(delta_deg+0.02)*0.05) AS steep, greatest(h-10,0) AS lo, greatest(h,0) AS mid, h+10 AS hi FROM d)
+SELECT o_orderkey, round(delta_deg,9) AS delta_deg, 0.02 AS delta_err_deg, h AS h_m, 10.0 AS h_err_m, 0.05 AS k_share, delta_deg > 0 AS below, CASE WHEN delta_deg > 0 THEN {_reach("flat", "hi", 0.25)} END AS range_max_m, CASE WHEN delta_deg > 0 THEN {_reach("told", "mid", 0.13)} END AS range_nominal_m,
+  CASE WHEN delta_deg <= 0 THEN {_clears("steep", "lo", 0.0)} END AS height_min_m, CASE WHEN delta_deg <= 0 THEN {_clears("told", "mid", 0.13)} END AS height_nominal_m, 'pass' AS outcome FROM e""",
+)
 def _(t):
     d = t.orders.select("o_orderkey", (F.col("o_custkey") % 200 / 100.0 - 0.5).alias("delta_deg"), F.lit(0.02).alias("delta_err_deg"), (F.col("o_totalprice") / 100).alias("h_m"), F.lit(10.0).alias("h_err_m"), F.lit(0.05).alias("k_share"))
-    return rnd(ge.horizon_bounds(d), "range_max_m", "range_nominal_m", "height_min_m", "height_nominal_m", n=2)
+    return rnd(rnd(ge.horizon_bounds(d), "range_max_m", "range_nominal_m", "height_min_m", "height_nominal_m", n=2), "delta_deg", n=9)
 
 
 @query(

@@ -418,3 +418,11 @@ def test_streams_in_order(spark, tmp_path):
         got = jobs.run_available(out, f"{tmp_path}/out", f"{tmp_path}/check")
     # frame 3 is replaced while it waits, 1 and 2 come too late for that, 9 still waits
     assert sorted((r.frame, r.x, r.late) for r in got.collect()) == [(1, 1.0, False), (1, 9.0, True), (2, 2.0, False), (2, 8.0, True), (3, 3.5, False), (4, 4.0, False)]
+
+
+def test_set_floor_where_none_qualifies(spark):
+    from skyloom.operators.stats import set_floor
+
+    d = spark.createDataFrame([(f"c{i % 5}", 10.0) for i in range(40)], "clip string, score double")
+    r = set_floor(d, [1.0, 2.0], alpha=0.1, draws=20).collect()
+    assert [(x.whole, x.median, x.floor, x.draws) for x in r] == [(None, None, None, 20)]
