@@ -86,3 +86,20 @@ def _(t):
     a, b = e.agg(F.percentile_approx(F.unix_micros("ts"), F.array(F.lit(0.33), F.lit(0.67)))).first()[0]
     e = e.withColumn("slice", F.when(F.unix_micros("ts") <= a, 1).when(F.unix_micros("ts") <= b, 2).otherwise(3))
     return arrive(t, e, "units", lambda s: od.unit_states(s, 43200, delay="1 hour"))
+
+
+@query(
+    "linked_tracks",
+    f"""WITH RECURSIVE {TRACK_SQL}, {delivered_sql("track", "frame", ["video_id", "object_id", "frame"], "x+1000 AS x", 40)},
+fl AS MATERIALIZED (SELECT video_id, frame, row_number() OVER (PARTITION BY video_id ORDER BY frame) AS i, list(struct_pack(s := object_id, x := x, y := y) ORDER BY object_id) AS spots FROM ok GROUP BY video_id, frame),
+w AS (SELECT video_id, 0::BIGINT AS i, NULL::BIGINT AS last, NULL::BIGINT AS frame, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy FROM (SELECT DISTINCT video_id FROM fl) UNION ALL
+  SELECT video_id, i, CASE WHEN wait OR hit THEN f ELSE last END, CASE WHEN wait OR hit THEN f END, CASE WHEN wait THEN first.x WHEN hit THEN near.x ELSE x END, CASE WHEN wait THEN first.y WHEN hit THEN near.y ELSE y END,
+    CASE WHEN wait OR NOT hit THEN vx WHEN gap <= 3 THEN (vx+(near.x-x)/gap)/2 ELSE (near.x-x)/gap END, CASE WHEN wait OR NOT hit THEN vy WHEN gap <= 3 THEN (vy+(near.y-y)/gap)/2 ELSE (near.y-y)/gap END
+  FROM (SELECT *, coalesce(near.m <= 25+12*gap, false) AS hit FROM (SELECT w.video_id, fl.i, fl.frame AS f, w.last, w.x, w.y, w.vx, w.vy, fl.frame-w.last AS gap, w.last IS NULL OR fl.frame-w.last > 40 AS wait, spots[-1] AS first,
+      list_min(list_transform(spots, lambda c: struct_pack(m := sqrt(pow(c.x-w.x-(fl.frame-w.last)*w.vx,2)+pow(c.y-w.y-(fl.frame-w.last)*w.vy,2)), s := c.s, x := c.x, y := c.y))) AS near FROM w JOIN fl ON fl.video_id=w.video_id AND fl.i=w.i+1)))
+SELECT video_id, frame, round(x,6) AS x, round(y,6) AS y, false AS late FROM w WHERE frame IS NOT NULL UNION ALL SELECT video_id, frame, round(x,6), round(y,6), true FROM dl WHERE late""",
+)
+def _(t):
+    d = deliveries(t.track.select(*KEY, "frame", "x", "y"), "frame", [*KEY, "frame"], 3600, {"x": F.col("x") + 1000})
+    d = d.withColumns({"slot": F.col("object_id"), "response": F.col("object_id").cast("double")})
+    return rnd(arrive(t, d, "linked", lambda s: od.linked_tracks(s, delay="40 hours")), "x", "y")
