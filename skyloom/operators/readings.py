@@ -42,6 +42,33 @@ def shaft_candidates(tones: DataFrame, airframes: DataFrame, blades: Sequence[in
     return j.groupBy("tone_id", "blades", "rpm").agg(F.count(F.when(hit, 1)).alias("airframes"), F.min(F.when(hit, F.col("airframe"))).alias("first"))
 
 
+#: Cylinders, and turns of the shaft in which each fires once.
+ENGINES = [(n, turns) for turns in (2, 1) for n in (3, 4, 6, 8)]
+#: Hz from a shaft's order within which a peak is that order's.
+ORDER_TOL = 0.75
+
+
+def engine_speeds(tones: DataFrame, engines: Sequence[tuple[int, int]] = ENGINES) -> DataFrame:
+    """P18. The engines whose firing a fundamental may be: cylinders, turns a cycle and the speed (rpm) at which they fire so often."""
+    e = F.explode(F.array(*[F.struct(F.lit(n).alias("cylinders"), F.lit(t).alias("turns")) for n, t in engines])).alias("e")
+    return tones.select("tone_id", "hz", e).select("tone_id", "e.*", (60 * F.col("hz") * F.col("e.turns") / F.col("e.cylinders")).alias("rpm"))
+
+
+def shaft_orders(peaks: DataFrame, shafts: DataFrame, orders: int = 24) -> DataFrame:
+    """P18. How loud each order of a shaft is: the strongest peak near it in each window (nought where none is), averaged over the windows.
+
+    ``peaks``: video_id, window, hz, excess_db; ``shafts``: video_id, rpm.  An order meets only peaks in the cells of its tolerance; each
+    window's strongest is a partial maximum."""
+    o = shafts.select("video_id", "rpm", F.explode(F.sequence(F.lit(1), F.lit(orders))).alias("order")).withColumn("_hz", F.col("order") * F.col("rpm") / 60)
+    o = o.withColumn("_c", F.explode(F.sequence(F.floor((F.col("_hz") - ORDER_TOL) / (2 * ORDER_TOL)), F.floor((F.col("_hz") + ORDER_TOL) / (2 * ORDER_TOL)))))
+    p = peaks.select("video_id", "window", "hz", "excess_db", F.floor(F.col("hz") / (2 * ORDER_TOL)).alias("_c"))
+    near = p.join(o, ["video_id", "_c"]).where(F.abs(F.col("hz") - F.col("_hz")) <= ORDER_TOL)
+    best = near.groupBy("video_id", "rpm", "order", "window").agg(F.max("excess_db").alias("_x")).groupBy("video_id", "rpm", "order").agg(F.sum("_x").alias("_x"))
+    n = peaks.groupBy("video_id").agg(F.count_distinct("window").alias("windows"))
+    every = o.select("video_id", "rpm", "order").distinct().join(n, "video_id")
+    return every.join(best, ["video_id", "rpm", "order"], "left").select("video_id", "rpm", "order", "windows", (F.coalesce("_x", F.lit(0.0)) / F.col("windows")).alias("excess_db"))
+
+
 def explain_lines(lines: DataFrame, families: Sequence[tuple[str, float, float, int]], harmonics: int = 40) -> DataFrame:
     """J19. Steady tones given to the first family that holds them: (name, fundamental Hz, tolerance Hz, least members).
     A family counts only with its least members, multiples up to the ``harmonics``-th; the families are a short list in order."""

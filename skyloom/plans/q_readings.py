@@ -31,6 +31,27 @@ def _(t):
     return rnd(re_.shaft_candidates(tones, a), "rpm")
 
 
+@query(
+    "engine_speeds",
+    f"SELECT event_id AS tone_id, n AS cylinders, t AS turns, round(60*value*t/n,6) AS rpm FROM events, (VALUES {','.join(map(str, re_.ENGINES))}) e(n,t)",
+)
+def _(t):
+    return rnd(re_.engine_speeds(t.events.select(F.col("event_id").alias("tone_id"), F.col("value").alias("hz"))), "rpm")
+
+
+@query(
+    "shaft_orders",
+    """WITH p AS (SELECT user_id AS video_id, event_id%16 AS w, value AS hz, 5.0+event_id%11 AS db FROM events), s AS (SELECT DISTINCT user_id AS video_id, 200.0+user_id%9*50 AS rpm FROM events),
+o AS (SELECT *, k*rpm/60 AS f FROM s, range(1,25) r(k)), b AS (SELECT o.video_id, rpm, k, w, max(db) AS x FROM o JOIN p ON p.video_id=o.video_id AND abs(hz-f) <= 0.75 GROUP BY ALL),
+n AS (SELECT video_id, count(DISTINCT w) AS windows FROM p GROUP BY ALL)
+SELECT o.video_id, o.rpm, CAST(o.k AS INT) AS "order", windows, round(coalesce(sum(x),0)/windows,6) AS excess_db FROM o JOIN n ON n.video_id=o.video_id LEFT JOIN b ON b.video_id=o.video_id AND b.k=o.k GROUP BY o.video_id, o.rpm, o.k, windows""",
+)
+def _(t):
+    p = t.events.select(F.col("user_id").alias("video_id"), (F.col("event_id") % 16).alias("window"), F.col("value").alias("hz"), (5.0 + F.col("event_id") % 11).alias("excess_db"))
+    s = t.events.select(F.col("user_id").alias("video_id"), (200.0 + F.col("user_id") % 9 * 50).alias("rpm")).distinct()
+    return rnd(re_.shaft_orders(p, s), "excess_db")
+
+
 @query(
     "explain_lines",
     """WITH f AS (SELECT * FROM (VALUES (0,'bus',40.0,0.3,1),(1,'mains',50.0,0.3,2),(2,'rotor',7.0,0.2,3)) v(prio,family,f0,tol,least)), j AS (SELECT user_id AS video_id, event_id AS line_id, prio, family, least, round_even(value/f0,0) AS k FROM events, f WHERE round_even(value/f0,0) BETWEEN 1 AND 40 AND abs(value-round_even(value/f0,0)*f0) <= tol),

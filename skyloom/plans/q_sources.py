@@ -173,6 +173,16 @@ def _(t):
     return rd.expand_interval_specs(t.orders.select("o_orderkey", spec.alias("spec")))
 
 
+@query(
+    "expand_row_specs",
+    "SELECT o_orderkey, unnest([0,1,2]) AS pos, unnest([o_custkey,0,NULL]) AS first, unnest([o_custkey+95,40,NULL]) AS last, unnest([o_orderkey%7+1,1,NULL]) AS frame0, unnest([o_orderkey%7+165,NULL,NULL]) AS frame1 FROM orders",
+)
+def _(t):
+    c, k = F.col("o_custkey"), F.col("o_orderkey") % 7
+    spec = F.concat_ws(":", c, c + 95, k + 1, k + 165)
+    return rd.expand_row_specs(t.orders.select("o_orderkey", F.concat(spec, F.lit(", 0:40,7:x")).alias("spec")))
+
+
 @query("write_corpus", "SELECT o_orderstatus AS release, count(*) AS n, count(CASE WHEN object IS NOT NULL THEN 1 END) AS objects FROM (SELECT o_orderstatus, l_linenumber AS object FROM orders LEFT JOIN lineitem ON o_orderkey=l_orderkey) GROUP BY ALL")
 def _(t):
     v = t.orders.select(F.col("o_orderkey").alias("video_id"), F.col("o_orderstatus").alias("release"))

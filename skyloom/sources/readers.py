@@ -195,3 +195,13 @@ def expand_interval_specs(specs: DataFrame, text: str = "spec") -> DataFrame:
     rx = r"^\s*(\d+)(?:-(\d+))?:(.*)$"
     d = d.select(*[c for c in d.columns if c != "_p"], F.regexp_extract("_p", rx, 1).try_cast("long").alias("first"), F.regexp_extract("_p", rx, 2).try_cast("long").alias("last"), F.trim(F.regexp_extract("_p", rx, 3)).alias("value"))
     return d.withColumn("kind", F.when(F.col("last").isNotNull(), "interval").otherwise("event")).withColumn("last", F.coalesce("last", "first")).withColumn("number", F.col("value").try_cast("double"))
+
+
+def expand_row_specs(specs: DataFrame, text: str = "spec") -> DataFrame:
+    """S16. ``985:1080:1:165,0:40`` to rows of picture lines ``first``, ``last`` and frames ``frame0``, ``frame1``; a part without frames
+    holds from the first on, without end.  Parts that aren't two to four numbers have ``first`` null."""
+    d = specs.select(*[c for c in specs.columns if c != text], F.posexplode(F.split(text, ",")).alias("pos", "_p"))
+    d = d.withColumn("_n", F.split(F.trim("_p"), ":"))
+    ok = F.size("_n").between(2, 4) & F.forall("_n", lambda v: v.try_cast("long").isNotNull())
+    at = lambda i: F.when(ok, F.get("_n", F.lit(i)).try_cast("long"))
+    return d.select(*[c for c in d.columns if c not in ("_p", "_n")], at(0).alias("first"), at(1).alias("last"), F.when(ok, F.coalesce(at(2), F.lit(1))).alias("frame0"), at(3).alias("frame1"))
