@@ -4,6 +4,7 @@ import math
 import random
 import statistics
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -426,3 +427,10 @@ def test_set_floor_where_none_qualifies(spark):
     d = spark.createDataFrame([(f"c{i % 5}", 10.0) for i in range(40)], "clip string, score double")
     r = set_floor(d, [1.0, 2.0], alpha=0.1, draws=20).collect()
     assert [(x.whole, x.median, x.floor, x.draws) for x in r] == [(None, None, None, 20)]
+
+
+def test_least_unlike_ties(spark):
+    d = [(1, c, 0.5, s) for c, s in (("8", 0.67449075947659531), ("1", 0.6744907594765952), ("9", 0.7), ("2", 0.8))] + [(1, "0", 0.4, 0.1), (2, "3", None, None)]
+    for part in (d, d[::-1]):
+        got = rk.least_unlike(spark.createDataFrame(part, "object_id long, class string, p double, score double").repartition(3))
+        assert rows(got, "object_id", "p", "class", "with_power") == [(1, 0.5, "1", 5), (2, None, None, 0)]
