@@ -434,3 +434,14 @@ def test_least_unlike_ties(spark):
     for part in (d, d[::-1]):
         got = rk.least_unlike(spark.createDataFrame(part, "object_id long, class string, p double, score double").repartition(3))
         assert rows(got, "object_id", "p", "class", "with_power") == [(1, 0.5, "1", 5), (2, None, None, 0)]
+
+
+def test_rounding_as_sql(spark):
+    from skyloom.plans.q_windows import rnd
+
+    vs = [67.085, 77.08499999999999, 1.005, 2.5, -2.5, -0.001, 1e300, float("inf"), 12.3449999, None]
+    con = duckdb.connect()
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(vs)], "i long, v double")
+    for n in (0, 2, 6):
+        want = [con.execute(f"SELECT round(CAST(? AS DOUBLE), {n})", [v]).fetchone()[0] for v in vs]
+        assert [r.v for r in rnd(d, "v", n=n).orderBy("i").collect()] == want
