@@ -123,12 +123,16 @@ def blocks_as_pairs(blocks: DataFrame, k: int) -> DataFrame:
 
 
 def read_pointer(spark: SparkSession, path, pixel_aspect: float = 1.0) -> DataFrame:
-    """S7. North-pointer readings; unsolved frames dropped, the angle and radius rescaled by the pixels' shape."""
+    """S7. North-pointer readings; unsolved frames dropped, the angle and radius rescaled by the pixels' shape.  A pointer of no
+    length has the angle of its signed zeros (0, or 180 either way), as C's ``atan2`` has it."""
     d = read_aliased(spark, path, FRAME, {"frame": FRAME, "t_s": ("t_s",), "r_px": ("r_px", "r"), "theta_deg": ("theta_deg", "theta")})
     r, a = number("r_px"), F.radians(number("theta_deg"))
     d = d.where(r.isNotNull() & a.isNotNull())
     x, y = r * F.sin(a) * pixel_aspect, r * F.cos(a)
-    return d.select("file", number("frame").cast("long").alias("frame"), number("t_s").alias("t_s"), F.hypot(x, y).alias("r"), F.degrees(F.atan2(x, y)).alias("theta"))
+    # Spark's atan2 takes -0.0 for 0.0
+    back = F.when(F.cos(a) < 0, F.when(F.sin(a) < 0, -180.0).otherwise(180.0)).otherwise(0.0)
+    theta = F.when(r == 0, back).otherwise(F.degrees(F.atan2(x, y)))
+    return d.select("file", number("frame").cast("long").alias("frame"), number("t_s").alias("t_s"), F.hypot(x, y).alias("r"), theta.alias("theta"))
 
 
 def read_curves(wide: DataFrame, ids: Sequence[str] = ("frame",)) -> DataFrame:

@@ -445,3 +445,11 @@ def test_rounding_as_sql(spark):
     for n in (0, 2, 6):
         want = [con.execute(f"SELECT round(CAST(? AS DOUBLE), {n})", [v]).fetchone()[0] for v in vs]
         assert [r.v for r in rnd(d, "v", n=n).orderBy("i").collect()] == want
+
+
+def test_pointer_of_no_length(spark, tmp_path):
+    from skyloom.sources.readers import read_pointer
+
+    (tmp_path / "p.csv").write_text("frame,r_px,theta_deg\n1,0,120\n2,0,250\n3,0,30\n4,2,90\n")
+    got = rows(read_pointer(spark, str(tmp_path / "p.csv")), "frame", "theta")
+    assert [t for _, t in got] == pytest.approx([180.0, -180.0, 0.0, 90.0])
