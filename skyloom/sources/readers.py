@@ -88,8 +88,9 @@ def read_winds(docs: DataFrame, text: str = "value") -> DataFrame:
     level.  Pressure levels stand at their geopotential height, or by the hypsometric equation from the nearest level
     that has one; height levels stand over the document's ground; a level without a wind is left out that hour."""
     schema = "latitude double, longitude double, elevation double, hourly map<string, array<string>>"
-    d = docs.withColumn("_j", F.from_json(text, schema)).withColumn("_id", F.xxhash64(text))
     ids = [c for c in docs.columns if c != text]
+    # rows of equal text and other columns are one document; of equal text alone, two
+    d = docs.withColumn("_j", F.from_json(text, schema)).withColumn("_id", F.xxhash64(text, *[F.to_json(F.struct(*ids))] if ids else []))
     k = d.select(*ids, "_id", "_j.elevation", F.col("_j.hourly")["time"].alias("_time"), F.explode("_j.hourly").alias("key", "vals")).where(F.col("key") != "time")
     k = k.select(*ids, "_id", "elevation", "_time", F.regexp_extract("key", r"^(.*)_(\d+)(hPa|m)$", 1).alias("what"), F.regexp_extract("key", r"^(.*)_(\d+)(hPa|m)$", 2).try_cast("int").alias("lev"),
                  F.regexp_extract("key", r"^(.*)_(\d+)(hPa|m)$", 3).alias("unit"), F.posexplode("vals").alias("hour", "val")).where(F.col("lev").isNotNull())

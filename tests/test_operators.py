@@ -453,3 +453,11 @@ def test_pointer_of_no_length(spark, tmp_path):
     (tmp_path / "p.csv").write_text("frame,r_px,theta_deg\n1,0,120\n2,0,250\n3,0,30\n4,2,90\n")
     got = rows(read_pointer(spark, str(tmp_path / "p.csv")), "frame", "theta")
     assert [t for _, t in got] == pytest.approx([180.0, -180.0, 0.0, 90.0])
+
+
+def test_winds_of_equal_documents(spark):
+    from skyloom.sources.readers import read_winds
+
+    text = '{"elevation": 0, "hourly": {"time": ["t0"], "wind_speed_900hPa": [10], "wind_direction_900hPa": [90], "geopotential_height_900hPa": [1000], "wind_speed_850hPa": [12], "wind_direction_850hPa": [90]}}'
+    w = read_winds(spark.createDataFrame([(1, text), (2, text), (None, text)], "id long, value string"))
+    assert [(r["id"], r["count"]) for r in w.groupBy("id").count().orderBy("id").collect()] == [(None, 2), (1, 2), (2, 2)]
