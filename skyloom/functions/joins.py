@@ -34,7 +34,8 @@ def interval_join(
     for c in left:
         cond = cond & c
     cond = cond & (F.col(f"a.{at}") >= F.col(f"b.{first}")) & (F.col(f"a.{at}") <= F.col(f"b.{last}"))
-    j = a.alias("a").join(b.alias("b"), cond, how)
+    # the planner does not count the copies a bucket, and would send them through the driver
+    j = a.alias("a").join(b.hint("merge").alias("b"), cond, how)
     extra = [c for c in intervals.columns if c not in keys]
     return j.select(*[F.col(f"a.{c}") for c in points.columns], *[F.col(f"b.{c}") for c in extra])
 
@@ -89,7 +90,8 @@ def near_pairs(
         "_cy", F.floor(F.col(f"{y}_2") / dist) + F.col("_o.j")
     )
     a2 = a.withColumn("_cx", cell(x)).withColumn("_cy", cell(y))
-    j = a2.join(b2.drop("_o"), [*keys, "_cx", "_cy"])
+    # the planner counts the exploded side as one copy and would send all nine through the driver
+    j = a2.join(b2.drop("_o").hint("merge"), [*keys, "_cx", "_cy"])
     d = F.hypot(F.col(x) - F.col(f"{x}_2"), F.col(y) - F.col(f"{y}_2"))
     return j.where(d <= dist).drop("_cx", "_cy")
 

@@ -47,7 +47,7 @@ def extend_chains(peaks: DataFrame, vmax: float, tol: float = 6.0, max_skip: int
     parts = [pts]
     while not on.isEmpty():
         step = on.withColumn("gap", F.explode(F.sequence(F.lit(1), F.lit(max_skip + 1)))).withColumn("frame", F.col("last") + F.col("gap"))
-        j = step.join(peaks, ["video_id", "polarity", "frame"])
+        j = step.hint("merge").join(peaks, ["video_id", "polarity", "frame"])
         dx, dy = F.col("x") - (F.col("lx") + F.col("vx") * F.col("gap")), F.col("y") - (F.col("ly") + F.col("vy") * F.col("gap"))
         j = j.withColumn("_off", misfit(dx, dy, F.col("vx"), F.col("vy"), F.col("gap"), tol + 8.0 * F.col("gap") / (F.col("last") - F.col("n0"))))
         j = j.where(F.col("_off") <= 1.0)
@@ -61,7 +61,7 @@ def extend_chains(peaks: DataFrame, vmax: float, tol: float = 6.0, max_skip: int
     pts = share(_all(parts))
     g = pts.groupBy("video_id", "chain").agg(F.count(F.lit(1)).alias("n"), F.max("amp").alias("_a1"), F.min("amp").alias("_a0"), F.max("size").alias("_s1"), F.min("size").alias("_s0"))
     ok = (F.col("n") >= 6) | ((F.col("_a1") <= 2.0 * F.col("_a0")) & (F.col("_s1") <= 1.6 * F.col("_s0")))
-    return pts.join(g.where((F.col("n") >= 3) & ok).select("video_id", "chain", "n"), ["video_id", "chain"])
+    return pts.hint("merge").join(g.where((F.col("n") >= 3) & ok).select("video_id", "chain", "n"), ["video_id", "chain"])
 
 
 def _all(parts: Sequence[DataFrame]) -> DataFrame:

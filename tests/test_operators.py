@@ -461,3 +461,16 @@ def test_winds_of_equal_documents(spark):
     text = '{"elevation": 0, "hourly": {"time": ["t0"], "wind_speed_900hPa": [10], "wind_direction_900hPa": [90], "geopotential_height_900hPa": [1000], "wind_speed_850hPa": [12], "wind_direction_850hPa": [90]}}'
     w = read_winds(spark.createDataFrame([(1, text), (2, text), (None, text)], "id long, value string"))
     assert [(r["id"], r["count"]) for r in w.groupBy("id").count().orderBy("id").collect()] == [(None, 2), (1, 2), (2, 2)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_sides_stay_off_the_driver(spark):
+    p = spark.range(40).select((F.col("id") % 2).alias("k"), (F.col("id") * 1.0).alias("x"), F.lit(0.0).alias("y"))
+    pairs = near_pairs(p, p, ["k"], "x", "y", 2.0)
+    assert "Broadcast" not in plan_of(pairs) and pairs.count() == 40 + 2 * 38
+    i = spark.range(3).select((F.col("id") % 2).alias("k"), (F.col("id") * 10).alias("a"), (F.col("id") * 10 + 4000).alias("b"))
+    met = interval_join(spark.range(40).select((F.col("id") % 2).alias("k"), F.col("id").alias("at")), i, ["k"], "at", "a", "b")
+    assert "Broadcast" not in plan_of(met) and met.count() == 20 + 15 + 10
