@@ -95,10 +95,10 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = share(e)
     lab = cut(nodes.select("video_id", "id", F.col("id").alias("root")))
     while True:
-        near = e.join(lab.select("video_id", F.col("id").alias("b"), F.col("root").alias("_r")), ["video_id", "b"]).groupBy("video_id", F.col("a").alias("id")).agg(F.min("_r").alias("_r"))
-        up = lab.join(near, ["video_id", "id"], "left").select("video_id", "id", "root", F.least("root", F.coalesce("_r", "root")).alias("new"))
+        near = e.hint("merge").join(lab.select("video_id", F.col("id").alias("b"), F.col("root").alias("_r")), ["video_id", "b"]).groupBy("video_id", F.col("a").alias("id")).agg(F.min("_r").alias("_r"))
+        up = lab.hint("merge").join(near, ["video_id", "id"], "left").select("video_id", "id", "root", F.least("root", F.coalesce("_r", "root")).alias("new"))
         jump = lab.select("video_id", F.col("id").alias("new"), F.col("root").alias("_j"))
-        up = cut(up.join(jump, ["video_id", "new"], "left").select("video_id", "id", "root", F.least("new", F.coalesce("_j", "new")).alias("new")))
+        up = cut(up.hint("merge").join(jump, ["video_id", "new"], "left").select("video_id", "id", "root", F.least("new", F.coalesce("_j", "new")).alias("new")))
         done = up.where(F.col("new") != F.col("root")).isEmpty()
         lab = up.select("video_id", "id", F.col("new").alias("root"))
         if done:
@@ -112,20 +112,20 @@ def join_pieces(points: DataFrame, gap: int = 30, tol: float = 30.0) -> DataFram
     ends = share(p.groupBy("video_id", "chain").agg(
         F.count(F.lit(1)).alias("n"), F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min_by(F.struct("x", "y"), "frame").alias("a"), F.max_by(F.struct("x", "y"), "frame").alias("b")))
     # chains meet only on a peak they both hold
-    o = p.select("video_id", "peak_id", F.col("chain").alias("a")).join(p.select("video_id", "peak_id", F.col("chain").alias("b")), ["video_id", "peak_id"]).where(F.col("a") < F.col("b"))
+    o = p.select("video_id", "peak_id", F.col("chain").alias("a")).hint("merge").join(p.select("video_id", "peak_id", F.col("chain").alias("b")), ["video_id", "peak_id"]).where(F.col("a") < F.col("b"))
     o = o.groupBy("video_id", "a", "b").agg(F.count(F.lit(1)).alias("k"))
     size = lambda s: ends.select("video_id", F.col("chain").alias(s), F.col("n").alias(f"n_{s}"))
-    o = o.join(size("a"), ["video_id", "a"]).join(size("b"), ["video_id", "b"]).where(F.col("k") > 0.5 * F.least("n_a", "n_b"))
+    o = o.hint("merge").join(size("a"), ["video_id", "a"]).hint("merge").join(size("b"), ["video_id", "b"]).where(F.col("k") > 0.5 * F.least("n_a", "n_b"))
     prio = ends.select("video_id", F.col("chain").alias("id"), F.struct(-F.col("n"), F.col("f0"), F.col("chain")).alias("prio"))
     kept = share(greedy_keep(prio, o).where(F.col("state") == "kept").select("video_id", F.col("id").alias("chain")))
-    e = share(ends.join(kept, ["video_id", "chain"]))
+    e = share(ends.hint("merge").join(kept, ["video_id", "chain"]))
     # the gap's frames bucket the later pieces, so that only pieces starting soon after an end meet it
     a = e.select("video_id", F.col("chain").alias("ca"), "f1", F.col("b").alias("pa"), ((F.col("b.x") - F.col("a.x")) / (F.col("f1") - F.col("f0"))).alias("vx"), ((F.col("b.y") - F.col("a.y")) / (F.col("f1") - F.col("f0"))).alias("vy"))
     a = a.withColumn("_k", F.explode(F.sequence(F.floor((F.col("f1") + 1) / gap), F.floor((F.col("f1") + gap) / gap))))
     b = e.select("video_id", F.col("chain").alias("cb"), F.col("f0").alias("start"), F.col("a").alias("pb"), F.floor(F.col("f0") / gap).alias("_k"))
     dt = F.col("start") - F.col("f1")
     near = F.hypot(F.col("pa.x") + F.col("vx") * dt - F.col("pb.x"), F.col("pa.y") + F.col("vy") * dt - F.col("pb.y")) <= tol
-    link = a.join(b, ["video_id", "_k"]).where(dt.between(1, gap) & near).select("video_id", F.col("ca").alias("a"), F.col("cb").alias("b"))
+    link = a.hint("merge").join(b, ["video_id", "_k"]).where(dt.between(1, gap) & near).select("video_id", F.col("ca").alias("a"), F.col("cb").alias("b"))
     return connected(e.select("video_id", F.col("chain").alias("id")), link).select("video_id", F.col("id").alias("chain"), F.col("root").alias("thing"))
 
 

@@ -159,18 +159,19 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Which nodes a first-come fold keeps: in order of ``prio`` (equal ones by id), a node is dropped when
     it matches one already kept.  Each round settles every node whose better matches are all settled; the rounds are as
     many as the longest chain of matches.  Columns: video_id, id, prio; edges video_id, a, b (either order)."""
-    e = edges.select("video_id", F.col("a"), F.col("b"))
+    # every side grows with the data, and rounds of broadcasts would pile up on the driver: all joins are by sorting
+    e = edges.select("video_id", F.col("a"), F.col("b")).hint("merge")
     pr = nodes.select("video_id", "id", "prio")
-    e = e.join(pr.select("video_id", F.col("id").alias("a"), F.struct("prio", "id").alias("pa")), ["video_id", "a"]).join(
+    e = e.join(pr.select("video_id", F.col("id").alias("a"), F.struct("prio", "id").alias("pa")), ["video_id", "a"]).hint("merge").join(
         pr.select("video_id", F.col("id").alias("b"), F.struct("prio", "id").alias("pb")), ["video_id", "b"]
     )
     e = share(e.select("video_id", F.when(F.col("pa") < F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("hi"),
                        F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("lo")).distinct())
-    state = cut(pr.join(e.select("video_id", F.col("lo").alias("id")).distinct(), ["video_id", "id"], "left_anti").select(
+    state = cut(pr.hint("merge").join(e.select("video_id", F.col("lo").alias("id")).distinct(), ["video_id", "id"], "left_anti").select(
         "video_id", "id", F.lit("kept").alias("state")))
     todo = cut(e)
     while not todo.isEmpty():
-        j = todo.join(state.select("video_id", F.col("id").alias("hi"), "state"), ["video_id", "hi"], "left")
+        j = todo.hint("merge").join(state.select("video_id", F.col("id").alias("hi"), "state"), ["video_id", "hi"], "left")
         per = j.groupBy("video_id", "lo").agg(
             F.bool_or(F.col("state") == "kept").alias("k"), F.bool_and(F.coalesce(F.col("state") == "dropped", F.lit(False))).alias("d")
         )
@@ -178,8 +179,8 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             "video_id", F.col("lo").alias("id"), F.when(F.coalesce("k", F.lit(False)), "dropped").otherwise("kept").alias("state")
         )
         state = cut(state.unionByName(new))
-        todo = cut(todo.join(state.select("video_id", F.col("id").alias("lo")), ["video_id", "lo"], "left_anti"))
-    return pr.join(state, ["video_id", "id"])
+        todo = cut(todo.hint("merge").join(state.select("video_id", F.col("id").alias("lo")), ["video_id", "lo"], "left_anti"))
+    return pr.hint("merge").join(state, ["video_id", "id"])
 
 
 def same_track(tracks: DataFrame, prio: DataFrame, near_px: float = 2.0, frames: int = 10) -> DataFrame:
