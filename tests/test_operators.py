@@ -474,3 +474,11 @@ def test_exploded_sides_stay_off_the_driver(spark):
     i = spark.range(3).select((F.col("id") % 2).alias("k"), (F.col("id") * 10).alias("a"), (F.col("id") * 10 + 4000).alias("b"))
     met = interval_join(spark.range(40).select((F.col("id") % 2).alias("k"), F.col("id").alias("at")), i, ["k"], "at", "a", "b")
     assert "Broadcast" not in plan_of(met) and met.count() == 20 + 15 + 10
+
+
+def test_block_bootstrap_stays_off_the_driver(spark):
+    from skyloom.operators.readings import block_bootstrap
+
+    d = spark.range(1, 41).select(F.lit(1).alias("k"), F.col("id").alias("idx"), F.col("id").cast("double").alias("t_s"), F.sin("id").alias("r"))
+    b = block_bootstrap(d, ["k"], 8, 20)
+    assert "Broadcast" not in plan_of(b) and [r.draws for r in b.collect()] == [20]
