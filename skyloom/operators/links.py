@@ -135,11 +135,11 @@ def merge_windows(props: DataFrame, points: DataFrame, shared: int = 5, apart: f
     later window's point kept.  ``props``: video_id, prop_id, window, dark, seen; ``points``: video_id, prop_id, frame, x, y.
 
     A median under ``apart`` needs half the shared frames near: only proposals near each other on a frame are compared."""
-    p = share(points.join(props.select("video_id", "prop_id", "dark"), ["video_id", "prop_id"]).select("video_id", "prop_id", "dark", "frame", "x", "y"))
+    p = share(points.hint("merge").join(props.select("video_id", "prop_id", "dark"), ["video_id", "prop_id"]).select("video_id", "prop_id", "dark", "frame", "x", "y"))
     near = near_pairs(p, p, ["video_id", "frame", "dark"], "x", "y", apart).where(F.col("prop_id") < F.col("prop_id_2"))
     cand = share(near.select("video_id", F.col("prop_id").alias("a"), F.col("prop_id_2").alias("b")).distinct())
     q = lambda s: p.select("video_id", F.col("prop_id").alias(s), "frame", F.struct("x", "y").alias(f"p{s}"))
-    both = cand.join(q("a"), ["video_id", "a"]).join(q("b"), ["video_id", "b", "frame"])
+    both = cand.hint("merge").join(q("a"), ["video_id", "a"]).hint("merge").join(q("b"), ["video_id", "b", "frame"])
     d = F.hypot(F.col("pa.x") - F.col("pb.x"), F.col("pa.y") - F.col("pb.y"))
     # a pair's shared frames are at most the overlap of two windows
     e = both.groupBy("video_id", "a", "b").agg(F.count(F.lit(1)).alias("k"), F.percentile(d, F.lit(0.5)).alias("m")).where((F.col("k") >= shared) & (F.col("m") < apart))
@@ -148,11 +148,11 @@ def merge_windows(props: DataFrame, points: DataFrame, shared: int = 5, apart: f
     st = share(greedy_keep(prio, e))
     lead = st.where(F.col("state") == "kept").select("video_id", F.col("id").alias("k"), F.col("prio").alias("kp"))
     ab = e.unionByName(e.select("video_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    follow = ab.join(lead, (ab["video_id"] == lead["video_id"]) & (ab["b"] == lead["k"])).select(ab["video_id"], ab["a"].alias("prop_id"), "k", "kp")
+    follow = ab.hint("merge").join(lead, (ab["video_id"] == lead["video_id"]) & (ab["b"] == lead["k"])).select(ab["video_id"], ab["a"].alias("prop_id"), "k", "kp")
     to = follow.groupBy("video_id", "prop_id").agg(F.min_by("k", "kp").alias("object_id"))
-    m = st.select("video_id", F.col("id").alias("prop_id"), "state").join(to, ["video_id", "prop_id"], "left")
+    m = st.select("video_id", F.col("id").alias("prop_id"), "state").hint("merge").join(to, ["video_id", "prop_id"], "left")
     m = share(m.select("video_id", "prop_id", F.when(F.col("state") == "kept", F.col("prop_id")).otherwise(F.col("object_id")).alias("object_id")))
-    t = points.join(m, ["video_id", "prop_id"]).join(props.select("video_id", "prop_id", "window"), ["video_id", "prop_id"])
+    t = points.hint("merge").join(m, ["video_id", "prop_id"]).hint("merge").join(props.select("video_id", "prop_id", "window"), ["video_id", "prop_id"])
     t = t.groupBy("video_id", "object_id", "frame").agg(F.max_by(F.struct("x", "y"), F.struct("window", "prop_id")).alias("p")).select("video_id", "object_id", "frame", "p.x", "p.y")
     return m, t
 
