@@ -451,7 +451,9 @@ def model_confidence(losses: DataFrame, keys: Sequence[str], block: int, draws:
     b = b.withColumn("_s", F.floor(dr.uniform(seed, *[F.col(k) for k in keys], F.col("draw"), F.col("_j")) * (F.col("_n") - block + 1)))
     b = b.groupBy(*keys, "_n", "_s").agg(F.collect_list("draw").alias("_draws"))  # a start's draws: ``draws`` blocks spread over the starts
     ends = run.select(*keys, "model", F.col("idx").alias("_to"), F.col("_sum").alias("_hi"))
-    b = b.withColumn("_to", F.col("_s") + block).join(ends, [*keys, "_to"]).join(run.select(*keys, "model", F.col("idx").alias("_s"), F.col("_sum").alias("_lo")), [*keys, "model", "_s"])
+    # the planner takes a key's blocks for one row: neither join may send a side through the driver
+    b = b.withColumn("_to", F.col("_s") + block).hint("merge").join(ends, [*keys, "_to"])
+    b = b.hint("merge").join(run.select(*keys, "model", F.col("idx").alias("_s"), F.col("_sum").alias("_lo")), [*keys, "model", "_s"])
     drawn = b.select(*keys, "model", "_n", (F.col("_hi") - F.col("_lo")).alias("_v"), F.explode("_draws").alias("draw")).groupBy(*keys, "model", "draw", "_n").agg(F.sum("_v").alias("_v"))
     drawn = drawn.select(*keys, "model", "draw", (F.col("_v") / (F.floor(F.col("_n") / block) * block)).alias("mean"))
     means = n.select(*keys, "model", F.lit(0).alias("draw"), (F.col("_all") / F.col("_n")).alias("mean"))

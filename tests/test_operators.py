@@ -482,3 +482,10 @@ def test_block_bootstrap_stays_off_the_driver(spark):
     d = spark.range(1, 41).select(F.lit(1).alias("k"), F.col("id").alias("idx"), F.col("id").cast("double").alias("t_s"), F.sin("id").alias("r"))
     b = block_bootstrap(d, ["k"], 8, 20)
     assert "Broadcast" not in plan_of(b) and [r.draws for r in b.collect()] == [20]
+
+
+def test_model_confidence_stays_off_the_driver(spark):
+    d = spark.range(1, 41).select(F.lit(1).alias("k"), F.col("id").alias("idx"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model"))
+    d = d.withColumn("loss", F.when(F.col("model") == "a", 1.0).otherwise(F.lit(2.0) + F.col("idx") % 2))
+    m = st.model_confidence(d, ["k"], 8, 20)
+    assert "Broadcast" not in plan_of(m) and rows(m, "model", "kept") == [("a", True), ("b", False)]
