@@ -18,6 +18,7 @@ from skyloom.operators import links as li
 from skyloom.operators import rank as rk
 from skyloom.operators import stats as st
 from skyloom.operators import tracks as tr
+from skyloom.operators import winds as wi
 from skyloom.operators import windows as wn
 from skyloom.streaming.jobs import link_step
 
@@ -489,3 +490,19 @@ def test_model_confidence_stays_off_the_driver(spark):
     d = d.withColumn("loss", F.when(F.col("model") == "a", 1.0).otherwise(F.lit(2.0) + F.col("idx") % 2))
     m = st.model_confidence(d, ["k"], 8, 20)
     assert "Broadcast" not in plan_of(m) and rows(m, "model", "kept") == [("a", True), ("b", False)]
+
+
+def test_winds_are_looked_up_once_a_place(spark):
+    p = spark.range(6).select(F.col("id").alias("case_id"), F.lit(3600).alias("t_s"), F.expr("CASE WHEN id = 5 THEN NULL ELSE 150D + 100 * (id % 2) END").alias("height_m"),
+                              F.lit(10.0).alias("ground_m"), (F.col("id") * 4.0).alias("ve"), F.lit(1.0).alias("vn"), F.lit(0.5).alias("velocity_err"))
+    w = spark.range(24).selectExpr("concat('s', id % 3) AS source", "'model' AS kind", "CAST(id % 2 * 3600 AS INT) AS t_s", "100D * (id % 4) AS z_m", "1D + id AS u", "2D - id AS v", "0D AS ground_m")
+    assert wi.winds_at(p, w).count() == 3 * 6  # two heights and the unknown one, whatever the number of cases
+    by_case = wi.wind_at_height(p, w)
+    assert by_case.count() == 6 * 6
+    none = F.lit(None).cast("double")
+    a = wi.drift_wind_test(p, by_case.withColumn("err_m_s", none))
+    b = wi.drift_wind_test(p, wi.winds_at(p, w).withColumn("err_m_s", none), wi.PLACE)
+    assert rows(a, *a.columns) == rows(b, *b.columns) and a.count() == 6
+    a = wi.wind_test_sensitivity(p, by_case.withColumn("err_m_s", none), [0, 20], [0, 90])
+    b = wi.wind_test_sensitivity(p, wi.winds_at(p, w).withColumn("err_m_s", none), [0, 20], [0, 90], wi.PLACE)
+    assert rows(a, *a.columns) == rows(b, *b.columns) and {r.n for r in a.collect()} == {12}
