@@ -335,12 +335,21 @@ def class_envelope(rows: DataFrame) -> DataFrame:
 def against_classes(bounds: DataFrame, members: DataFrame, strongest_wind: float = 113.0) -> DataFrame:
     """J20. A lower bound in body lengths a second against each class: within its range or under it (allowed: nothing is
     excluded for being slow), over it but reachable with a tail wind (the least over its members of per_s x length less
-    top speed), or outside even the strongest wind.  The class table is a short dimension."""
+    top speed), or outside even the strongest wind.  The class table is a short dimension.
+
+    Of members of one length only the fastest can give the least, and of those left only one that is faster than every shorter
+    one (for bounds of nought or more) or than every longer one (for bounds below)."""
     cls = class_envelope(members)
-    j = bounds.crossJoin(F.broadcast(cls))
-    m = members.where(F.col("speed_max_m_s").isNotNull() & F.col("length_m").isNotNull()).groupBy("class").agg(F.collect_list(F.struct("length_m", "speed_max_m_s")).alias("_m"))
-    j = j.join(F.broadcast(m), "class", "left")
-    wind = F.array_min(F.transform("_m", lambda v: F.col("per_s") * v["length_m"] - v["speed_max_m_s"]))
+    fastest = members.where(F.col("speed_max_m_s").isNotNull() & F.col("length_m").isNotNull()).groupBy("class", "length_m").agg(F.max("speed_max_m_s").alias("speed_max_m_s"))
+    m = fastest.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("length_m", "speed_max_m_s"))).alias("_m"))
+    # members from the shorter (longer) end that beat all before them
+    beat = lambda ms: F.aggregate(
+        ms, F.array().cast("array<struct<length_m:double,speed_max_m_s:double>>"),
+        lambda acc, v: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["speed_max_m_s"] >= v["speed_max_m_s"]), acc).otherwise(F.concat(acc, F.array(v))))
+    m = m.select("class", beat(F.col("_m")).alias("_up"), beat(F.reverse("_m")).alias("_down"))
+    j = bounds.crossJoin(F.broadcast(cls.join(m, "class", "left")))
+    least = lambda ms: F.array_min(F.transform(ms, lambda v: F.col("per_s") * v["length_m"] - v["speed_max_m_s"]))
+    wind = F.when(F.col("per_s") >= 0, least("_up")).otherwise(least("_down"))
     j = j.withColumn("wind_m_s", F.when(F.col("per_s") > F.col("hi"), F.greatest(wind, F.lit(0.0))))
     return j.withColumn("answer", F.when(F.col("per_s") <= F.col("hi"), F.when(F.col("per_s") >= F.col("lo"), "within").otherwise("slower, allowed")).when(F.col("wind_m_s") <= strongest_wind, "with a wind").otherwise("outside")).select(
         *bounds.columns, "class", "answer", "wind_m_s")

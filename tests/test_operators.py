@@ -506,3 +506,17 @@ def test_winds_are_looked_up_once_a_place(spark):
     a = wi.wind_test_sensitivity(p, by_case.withColumn("err_m_s", none), [0, 20], [0, 90])
     b = wi.wind_test_sensitivity(p, wi.winds_at(p, w).withColumn("err_m_s", none), [0, 20], [0, 90], wi.PLACE)
     assert rows(a, *a.columns) == rows(b, *b.columns) and {r.n for r in a.collect()} == {12}
+
+
+def test_against_classes_keeps_few_members(spark):
+    rng = random.Random(3)
+    m = [(c, rng.randrange(1, 40) / 4, rng.uniform(1, 3), rng.uniform(3, 90)) for c in "ab" for _ in range(300)]
+    b = [(i, v) for i, v in enumerate([-20.0, -1.5, 0.0, 0.3, 5.0, 12.0, 400.0])]
+    members = spark.createDataFrame(m, "class string, length_m double, speed_min_m_s double, speed_max_m_s double").withColumn("load_limit_g", F.lit(1.0))
+    got = ge.against_classes(spark.createDataFrame(b, "event_id int, per_s double"), members)
+    for r in got.collect():
+        hi = max(v / n for c, n, _, v in m if c == r["class"])
+        least = max(min(r.per_s * n - v for c, n, _, v in m if c == r["class"]), 0.0)
+        assert r.wind_m_s == (least if r.per_s > hi else None)
+    # of one length only the fastest is kept: the planner sees it before the members are gathered
+    assert "length_m" in next(x for x in plan_of(got).splitlines() if "max(speed_max_m_s" in x and "keys=[class" in x and "length_m" in x.split("functions")[0])
