@@ -50,18 +50,39 @@ def last_update(v: np.ndarray, at: int, least: float, known: dict[int, int]) ->
     return known[at]
 
 
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows in order of ``keys``, handed on in whole groups, with the place at which each begins; what is held back is the last group."""
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        new = np.zeros(len(rows), bool)
+        for k in keys:
+            before = rows[k].shift()
+            new |= ((rows[k] != before) & ~(rows[k].isna() & before.isna())).to_numpy(bool)
+        new[0] = True
+        starts = np.flatnonzero(new)
+        held = rows.iloc[starts[-1] :].reset_index(drop=True)
+        if len(starts) > 1:
+            yield rows.iloc[: starts[-1]], starts[:-1]
+    if held is not None:
+        yield held, np.zeros(1, int)
+
+
 def _summary(keys: list[str], least: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_at")
-        v = group["_v"].to_numpy(float)
-        known: dict[int, int] = {}
-        high, low = entries(v)
-        out = {k: [group[k].iloc[0]] for k in [*keys, "_c"]}
-        for name, places in (("up", high), ("down", low)):
-            out[f"_{name}"] = [v[places].tolist()]
-            out[f"_{name}_at"] = [places.tolist()]
-            out[f"_{name}_last"] = [[float(v[last_update(v, int(i), least, known)]) for i in places]]
-        return pd.DataFrame(out)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in _groups(batches, [*keys, "_c"]):
+            values = rows["_v"].to_numpy(float)
+            out = rows[[*keys, "_c"]].iloc[starts].reset_index(drop=True)
+            told: dict[str, list[list]] = {f"_{n}{m}": [] for n in ("up", "down") for m in ("", "_at", "_last")}
+            for v in np.split(values, starts[1:]):
+                known: dict[int, int] = {}
+                for name, places in zip(("up", "down"), entries(v), strict=True):
+                    told[f"_{name}"].append(v[places].tolist())
+                    told[f"_{name}_at"].append(places.tolist())
+                    told[f"_{name}_last"].append([float(v[last_update(v, int(i), least, known)]) for i in places])
+            yield out.assign(**told)
 
     return run
 
@@ -95,16 +116,18 @@ def _handed_on(keys: list[str], least: float):
 
 
 def _marked(keys: list[str], least: float):
-    def run(group: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_at").reset_index(drop=True)
-        v = group["_v"].to_numpy(float)
-        last = before["_last"].iloc[0]
-        at = 0 if pd.isna(last) else first_moved(v, 0, last, least)
-        places = []
-        while at < len(v):
-            places.append(at)
-            at = first_moved(v, at + 1, v[at], least)
-        return group.iloc[places]
+    """Each chunk's updates; its first row tells, in ``_v``, the last update before it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in _groups(batches, [*keys, "_c"]):
+            values = rows["_v"].to_numpy(float)
+            places: list[int] = []
+            for start, v in zip(starts, np.split(values, starts[1:]), strict=True):
+                at = 1 if np.isnan(v[0]) else first_moved(v, 1, v[0], least)
+                while at < len(v):
+                    places.append(int(start) + at)
+                    at = first_moved(v, at + 1, v[at], least)
+            yield rows.iloc[places][[*keys, "_c", "_at", "_v"]]
 
     return run
 
@@ -128,11 +151,14 @@ def pointer_updates(readings: DataFrame, keys: Sequence[str], at: str, value: st
     d = share(d.withColumn("_at", F.col(at)).withColumn("_c", F.floor(F.col(at) / chunk)))
     types = [d.schema[k] for k in [*keys, "_c"]]
     schema = _schema(types, {"_up": "array<double>", "_up_last": "array<double>", "_up_at": "array<bigint>", "_down": "array<double>", "_down_last": "array<double>", "_down_at": "array<bigint>"})
-    told = d.groupBy(*keys, "_c").applyInPandas(_summary(keys, least), schema)
+    d = d.select(*keys, "_c", "_at", "_v")
+    told = d.repartition(*keys, "_c").sortWithinPartitions(*keys, "_c", "_at").mapInPandas(_summary(keys, least), schema)
     told = told.repartition(*keys).sortWithinPartitions(*keys, "_c").mapInPandas(_handed_on(keys, least), _schema(types, {"_last": "double"}))
-    both = d.select(*keys, "_c", "_at", "_v").groupBy(*keys, "_c").cogroup(told.groupBy(*keys, "_c"))
+    first = told.select(*keys, "_c", F.lit(None).cast(d.schema["_at"].dataType).alias("_at"), F.col("_last").alias("_v"))
+    both = first.withColumn("_s", F.lit(0)).unionByName(d.withColumn("_s", F.lit(1)))
+    both = both.repartition(*keys, "_c").sortWithinPartitions(*keys, "_c", "_s", "_at").drop("_s")
     out = _schema([*types, d.schema["_at"]], {"_v": "double"})
-    marked = both.applyInPandas(_marked(keys, least), out)
+    marked = both.mapInPandas(_marked(keys, least), out)
     return marked.select(*keys, F.col("_at").alias(at), F.col("_v").alias(value))
 
 

@@ -520,3 +520,16 @@ def test_against_classes_keeps_few_members(spark):
         assert r.wind_m_s == (least if r.per_s > hi else None)
     # of one length only the fastest is kept: the planner sees it before the members are gathered
     assert "length_m" in next(x for x in plan_of(got).splitlines() if "max(speed_max_m_s" in x and "keys=[class" in x and "length_m" in x.split("functions")[0])
+
+
+def test_pointer_chunks_share_batches(spark):
+    import pandas as pd
+
+    from skyloom.operators.pointers import _groups, pointer_updates
+
+    d = pd.DataFrame({"k": [None, None, 1.0, 1.0, 1.0, 2.0, 2.0], "v": range(7)})
+    for cut in range(1, 7):
+        got = [g["v"].tolist() for r, s in _groups(iter([d.iloc[:cut], d.iloc[:0], d.iloc[cut:].reset_index(drop=True)]), ["k"]) for g in (r.iloc[a:b] for a, b in zip(s, [*s[1:], len(r)]))]
+        assert got == [[0, 1], [2, 3, 4], [5, 6]], cut
+    u = pointer_updates(spark.range(90).select(F.lit(1).alias("k"), F.col("id").alias("n"), (F.col("id") % 7 * 1.0).alias("v")), ["k"], "n", "v", 1.0, chunk=8)
+    assert "GroupsInPandas" not in plan_of(u) and u.count() == 90  # no call of Python a chunk
