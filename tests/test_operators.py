@@ -533,3 +533,20 @@ def test_pointer_chunks_share_batches(spark):
         assert got == [[0, 1], [2, 3, 4], [5, 6]], cut
     u = pointer_updates(spark.range(90).select(F.lit(1).alias("k"), F.col("id").alias("n"), (F.col("id") % 7 * 1.0).alias("v")), ["k"], "n", "v", 1.0, chunk=8)
     assert "GroupsInPandas" not in plan_of(u) and u.count() == 90  # no call of Python a chunk
+
+
+def test_shaft_candidates_share_rows(spark):
+    from skyloom.operators.readings import shaft_candidates
+
+    rng = random.Random(5)
+    tones = [(i, rng.choice([10.0, 11.0, 50.0, 0.5, None])) for i in range(60)]
+    frames = [(i, rng.choice([2, 3, 9]), rng.choice([9.9, 10.1, 11.1, 50.5, 49.0])) for i in range(80)]
+    got = shaft_candidates(spark.createDataFrame(tones, "tone_id int, hz double"), spark.createDataFrame(frames, "airframe int, blades int, blade_pass_hz double"), [2, 3])
+    for r in got.collect():
+        hz = tones[r.tone_id][1]
+        near = [a for a, b, bp in frames if hz is not None and b == r.blades and abs(hz / bp - 1) <= 0.015]
+        assert (r.airframes, r["first"]) == (len(near), min(near, default=None))
+    assert got.count() == 120
+    # airframes of one blade-pass and tones of one frequency meet as one row
+    plan = plan_of(got)
+    assert "keys=[blades" in plan and "functions=[count(1), min(airframe" in plan
