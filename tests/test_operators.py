@@ -550,3 +550,21 @@ def test_shaft_candidates_share_rows(spark):
     # airframes of one blade-pass and tones of one frequency meet as one row
     plan = plan_of(got)
     assert "keys=[blades" in plan and "functions=[count(1), min(airframe" in plan
+
+
+def test_pixels_around_meet_in_tiles(spark):
+    from skyloom.operators import readings as re_
+
+    rng = random.Random(6)
+    pts = [("v", o, f, rng.uniform(-9, 9), rng.uniform(-9, 9)) for o in range(2) for f in range(4)]
+    pix = [("v", f, y, x, float(rng.randrange(9))) for f in range(4) for y in range(-12, 13) for x in range(-12, 13) if rng.random() < 0.6]
+    p = spark.createDataFrame(pts, "video_id string, object_id int, frame long, x double, y double")
+    q = spark.createDataFrame(pix, "video_id string, frame long, y long, x long, v double")
+    up = lambda c: int(math.copysign(math.floor(abs(c) + 0.5), c))
+    want = sorted((o, f, x - up(cx), y - up(cy), v) for _, o, f, cx, cy in pts for _, g, y, x, v in pix if f == g and max(abs(x - up(cx)), abs(y - up(cy))) <= 4)
+    assert rows(re_.pixels_around(p, q, 4), "object_id", "frame", "dx", "dy", "v") == want
+    for r in re_.aperture_photometry(p, q, 2.0, (2.5, 4.0)).collect():
+        near = [(math.hypot(i, j), v) for o, f, i, j, v in want if (o, f) == (r.object_id, r.frame)]
+        disc, back = [v for d, v in near if d <= 2], statistics.median(v for d, v in near if 2.5 <= d <= 4)
+        assert (r.pixels, r.background, r.brightness) == (len(disc), back, sum(disc) - len(disc) * back)
+    assert re_.object_stack(p, q, 2).agg(F.sum("frames")).first()[0] == sum(max(abs(i), abs(j)) <= 2 for _, _, i, j, _ in want)
