@@ -5,8 +5,11 @@ Every function takes long tables keyed by ``keys`` and works on bounded chunks o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -208,24 +211,36 @@ def repeated_median_line(
     """W12. Siegel's line over the readings within ``reach`` frames of each: the median over readings of the median
     slope to every other; readings further than ``tol`` from it are dropped.
 
-    The window of a reading is bounded, so the slopes are taken inside it with array functions."""
-    d = rolling(pts, keys, frame, reach, reach, {"_w": F.collect_list(F.struct(F.col(frame).alias("t"), F.col(y).alias("y")))}, chunk)
-    med = lambda a: F.when(
-        F.size(a) > 0,
-        (F.array_sort(a)[F.floor((F.size(a) - 1) / 2).cast("int")] + F.array_sort(a)[F.floor(F.size(a) / 2).cast("int")]) / 2,
-    )
-    slopes = F.transform(
-        "_w",
-        lambda p: med(
-            F.transform(F.filter("_w", lambda q: q["t"] != p["t"]), lambda q: (q["y"] - p["y"]) / (q["t"] - p["t"]))
-        ),
-    )
-    d = d.withColumn("_s", med(F.filter(slopes, lambda v: v.isNotNull())))
-    d = d.withColumn("_i", med(F.transform("_w", lambda p: p["y"] - F.col("_s") * p["t"])))
-    miss = F.col(y) - (F.col("_s") * F.col(frame) + F.col("_i"))
-    return d.withColumn("slope", F.col("_s")).withColumn("miss", miss).withColumn(
+    The window of a reading is bounded, so the slopes are taken inside it, for the windows of an Arrow batch together; unknown
+    readings count in no median."""
+    seen = rolling(pts, keys, frame, reach, reach, {"_w": F.collect_list(F.struct(F.col(frame).cast("double").alias("t"), F.col(y).cast("double").alias("y")))}, chunk)
+    d = seen.withColumn("_l", F.pandas_udf(_siegel, "slope double, base double")(F.col("_w.t"), F.col("_w.y")))
+    miss = F.col(y) - (F.col("_l.slope") * F.col(frame) + F.col("_l.base"))
+    return d.withColumn("slope", F.col("_l.slope")).withColumn("miss", miss).withColumn(
         "kept", F.coalesce(F.abs(F.col("miss")) <= tol, F.lit(True))
-    ).drop("_w", "_s", "_i")
+    ).drop("_w", "_l")
+
+
+def medians(a: np.ndarray) -> np.ndarray:
+    """Medians along the last axis without NaN; NaN where nothing else is."""
+    s, n = np.sort(a, -1), (~np.isnan(a)).sum(-1)[..., None]  # NaN is sorted last
+    at = lambda i: np.take_along_axis(s, np.clip(i, 0, a.shape[-1] - 1), -1)[..., 0]
+    return (at((n - 1) // 2) + at(n // 2)) / 2
+
+
+def _siegel(ts: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    """Slope and base of the repeated median line of each window."""
+    out = np.full((len(ts), 2), np.nan)
+    size = ts.map(len).to_numpy()
+    for n in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == n)
+        for part in np.array_split(rows, math.ceil(len(rows) * n * n / 2_000_000)):
+            t, v = (np.array([c.iloc[i] for i in part], float) for c in (ts, ys))
+            dt = t[:, None, :] - t[:, :, None]
+            dt[dt == 0] = np.nan
+            slope = medians(medians((v[:, None, :] - v[:, :, None]) / dt))
+            out[part, 0], out[part, 1] = slope, medians(v - slope[:, None] * t)
+    return pd.DataFrame(out, columns=["slope", "base"])
 
 
 def stretches(points: DataFrame, keys: Sequence[str], gap: int, frame: str = "frame", chunk: int = CHUNK) -> DataFrame:

@@ -568,3 +568,21 @@ def test_pixels_around_meet_in_tiles(spark):
         disc, back = [v for d, v in near if d <= 2], statistics.median(v for d, v in near if 2.5 <= d <= 4)
         assert (r.pixels, r.background, r.brightness) == (len(disc), back, sum(disc) - len(disc) * back)
     assert re_.object_stack(p, q, 2).agg(F.sum("frames")).first()[0] == sum(max(abs(i), abs(j)) <= 2 for _, _, i, j, _ in want)
+
+
+def test_repeated_median_line_takes_batches(spark):
+    rng = random.Random(8)
+    data = [(k, f, None if rng.random() < 0.1 else rng.uniform(0, 50)) for k in range(2) for f in sorted(rng.sample(range(200), 60))] + [(2, 5, 1.0)]
+    d = spark.createDataFrame(data, "k int, frame long, y double").repartition(3)
+    got = wn.repeated_median_line(d, ["k"], "frame", "y", reach=20, tol=9.0, chunk=50)
+    assert "ArrowEvalPython" in plan_of(got)
+    mid = lambda a: statistics.median(a) if a else None
+    for r in got.collect():
+        w = [(f, y) for k, f, y in data if k == r.k and abs(f - r.frame) <= 20 and y is not None]
+        slope = mid([s for s in (mid([(b - y) / (g - f) for g, b in w if g != f]) for f, y in w) if s is not None])
+        assert (r.slope is None) == (slope is None) and (slope is None or abs(r.slope - slope) < 1e-12)
+        if slope is None or r.y is None:
+            assert r.kept and r.miss is None
+        else:
+            miss = r.y - (slope * r.frame + mid([y - slope * f for f, y in w]))
+            assert abs(r.miss - miss) < 1e-9 and r.kept == (abs(miss) <= 9.0)
