@@ -6,6 +6,7 @@ import statistics
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -422,6 +423,88 @@ def test_streams_in_order(spark, tmp_path):
     assert sorted((r.frame, r.x, r.late) for r in got.collect()) == [(1, 1.0, False), (1, 9.0, True), (2, 2.0, False), (2, 8.0, True), (3, 3.5, False), (4, 4.0, False)]
 
 
+class _Kept:
+    """State of one bucket in memory, with a count of the calls."""
+
+    def __init__(self):
+        self.calls, self.at, self.timers = 0, {}, set()
+
+    def getMapState(self, name, *_):
+        return _Named(self, name)
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class _Named:
+    def __init__(self, kept, name):
+        self.kept, self.name = kept, name
+
+    def _do(self, f):
+        self.kept.calls += 1
+        return f(self.kept.at)
+
+    containsKey = lambda self, k: self._do(lambda d: (self.name, k) in d)
+    getValue = lambda self, k: self._do(lambda d: d[self.name, k])
+    updateValue = lambda self, k, v: self._do(lambda d: d.__setitem__((self.name, k), v))
+    removeKey = lambda self, k: self._do(lambda d: d.pop((self.name, k)))
+    exists = lambda self: self._do(lambda d: (self.name,) in d)
+    get = lambda self: self._do(lambda d: d[(self.name,)])
+    update = lambda self, v: self._do(lambda d: d.__setitem__((self.name,), v))
+    clear = lambda self: self._do(lambda d: d.pop((self.name,)))
+
+
+class _Now:
+    def __init__(self, at, expiry=None):
+        self.at, self.expiry = at, expiry
+
+    getCurrentWatermarkInMs = lambda self: self.at
+    getExpiryTimeInMs = lambda self: self.expiry
+
+
+def _through(processor, batches):
+    """What a processor tells of batches (rows, watermark before, after), and the calls it made."""
+    kept, out = _Kept(), []
+    processor.init(kept)
+    for rows, before, after in batches:
+        out += list(processor.handleInputRows((0,), iter([rows]), _Now(before)))
+        while due := sorted(t for t in kept.timers if t <= after):
+            kept.timers.discard(due[0])
+            out += list(processor.handleExpiredTimer((0,), _Now(after), _Now(after, due[0])))
+    return [tuple(r) for d in out for r in d.itertuples(index=False)], kept.calls
+
+
+def test_streams_call_state_by_bucket():
+    """500 keys of 20 times share a bucket: state is called by spans of time, not by rows."""
+    from skyloom.streaming import ordered as od
+
+    d = pd.DataFrame([(k, f * 10, f, 0, [float(k), float(f)]) for k in range(500) for f in range(1, 21)], columns=["k0", "at", "frame", "slot", "v"])
+    again = d[(d.frame == 15) | (d.frame == 2)].assign(v=lambda x: [[-1.0, -1.0]] * len(x))
+    last = lambda carried, frame, rows: ([float(frame)], [[frame, *(carried or [0.0]), rows[0][1][0]]])
+    told, calls = _through(od.InOrder(last, ["bigint"], 100), [(d, -1, 55), (again, 55, 200)])
+    want = [(k, f, [float(f - 1), -1.0 if f == 15 else float(k)], False) for k in range(500) for f in range(1, 21)]
+    assert sorted(t for t in told if not t[3]) == want
+    assert sorted(t for t in told if t[3]) == [(k, 2, [-1.0, -1.0], True) for k in range(500)]
+    assert calls < 100
+
+
+def test_unit_states_call_state_by_bucket():
+    from skyloom.streaming import ordered as od
+
+    rows = lambda at, state: pd.DataFrame({"unit_id": range(500), "at": at, "state": state})
+    told, calls = _through(od.Heartbeats(100, "running", "bigint"), [(rows(10, "running"), -1, 50), (rows(5, "done"), 50, 60), (rows(70, "done").head(200), 60, 500)])
+    want = [(u, 10, "running", False) for u in range(500)] + [(u, 5, "done", True) for u in range(500)] + [(u, 70, "done", False) for u in range(200)]
+    assert sorted(told) == sorted(want + [(u, 110, "stalled", False) for u in range(200, 500)])
+    assert calls < 50
+
+
 def test_set_floor_where_none_qualifies(spark):
     from skyloom.operators.stats import set_floor
 
