@@ -423,6 +423,55 @@ def test_streams_in_order(spark, tmp_path):
     assert sorted((r.frame, r.x, r.late) for r in got.collect()) == [(1, 1.0, False), (1, 9.0, True), (2, 2.0, False), (2, 8.0, True), (3, 3.5, False), (4, 4.0, False)]
 
 
+def _conformal_plain(x, bag):
+    """One object against its bag, member by member: p, n, score, axis, z, axis_p."""
+    both = np.vstack([bag, x])
+    med = np.median(both, axis=0)
+    mad = 1.4826 * np.median(np.abs(both - med), axis=0)
+    sd = both.std(axis=0)
+    scale = np.where(mad > 0, mad, np.where(sd > 0, sd, 1.0))
+    z, far = (x - med) / scale, np.abs(bag - med) / scale
+    j, n = int(np.abs(z).argmax()), len(bag)
+    return ((far.max(axis=1) >= abs(z[j]) - 1e-12).sum() + 1) / (n + 1), n, abs(z[j]), j, z[j], ((far[:, j] >= abs(z[j]) - 1e-12).sum() + 1) / (n + 1)
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "mostly one value", "large videos"])
+@pytest.mark.parametrize("leave_own", [False, True])
+def test_conformal_orders_agree_with_every_pair(kind, leave_own):
+    rng = np.random.default_rng(len(kind))
+    n, axes = 401, ["a", "b", "c"]
+    v = rng.normal(size=(n, 3)) * [1, 50, 0.01]
+    if kind == "ties":
+        v = np.round(v)
+    if kind == "mostly one value":
+        v[rng.random((n, 3)) < 0.7] = 0.25
+    v[rng.random(n) < 0.2, 2] = np.nan
+    video = np.arange(n) // (150 if kind == "large videos" else 7)
+    d = pd.DataFrame(v, columns=axes).assign(object_id=np.arange(n), video_id=video)
+    mem = d[d.object_id % 3 > 0]
+    got = rk._ranked(axes, 19, leave_own)(("k",), d, mem.add_prefix("_m_")).set_index("object_id")
+    for i, r in d.iterrows():
+        left = mem[mem.video_id != r.video_id] if leave_own else mem
+        use = [a for a in axes if not np.isnan(r[a])]
+        p, k, score, j, z, alone = _conformal_plain(r[use].to_numpy(float), left[use].dropna().to_numpy())
+        g = got.loc[i]
+        assert (g.n, g.p, g.axis_p, g.axis) == (k, p, alone, use[j]), i
+        assert math.isclose(g.score, score, rel_tol=1e-9) and math.isclose(g.z, z, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_conformal_measures_few_pairs(monkeypatch):
+    """Of 4,000 objects against 4,000 members, only members near an object's score are measured anew."""
+    seen, plain = [], rk._at_or_over
+
+    def counted(far, low, high, exact, **kw):
+        return plain(far, low, high, lambda o, m: (seen.append(len(m)), exact(o, m))[1], **kw)
+
+    monkeypatch.setattr(rk, "_at_or_over", counted)
+    v = np.random.default_rng(5).normal(size=(4000, 4))
+    rk._scores(v, v, np.arange(4000)[:, None])
+    assert sum(seen) < 4000 * 4000 / 20
+
+
 class _Kept:
     """State of one bucket in memory, with a count of the calls."""
 
