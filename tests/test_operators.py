@@ -459,6 +459,17 @@ def test_conformal_orders_agree_with_every_pair(kind, leave_own):
         assert math.isclose(g.score, score, rel_tol=1e-9) and math.isclose(g.z, z, rel_tol=1e-9, abs_tol=1e-12)
 
 
+def test_conformal_joined_without_pairs(spark, monkeypatch):
+    """The joins give what the tasks that hold a class give, and objects are not paired with members."""
+    rng = np.random.default_rng(3)
+    at = lambda v: None if rng.random() < 0.2 else float(v)
+    rows_ = [(i, i // 5, f"c{i % 2}", i % 3 % 2, at(rng.normal()), round(float(rng.normal()), 1)) for i in range(300)]
+    d = spark.createDataFrame(rows_, "object_id long, video_id long, class string, stratum int, a double, b double")
+    monkeypatch.setattr(rk, "_conformal_joined", None)
+    got, want = (rows(f(d, d, ["a", "b"]), "object_id", "class", "p", "n", "axis", "axis_p") for f in (rk.conformal_joined, rk.conformal_pvalue))
+    assert got == want and len(got) == 600
+
+
 def test_conformal_measures_few_pairs(monkeypatch):
     """Of 4,000 objects against 4,000 members, only members near an object's score are measured anew."""
     seen, plain = [], rk._at_or_over
