@@ -53,11 +53,14 @@ class Follower:
 def link_step(state: tuple | None, cands: pd.DataFrame, max_gap: int = 40, gate: tuple[float, float] = (25.0, 12.0)):
     """One video's candidates, frame by frame, through a ``Follower``: the new state and the points taken."""
     own, taken = Follower(state, max_gap, gate), []
-    for frame, group in cands.groupby("frame", sort=True):
-        if not own.passed(int(frame)):
-            spot = own.see(int(frame), group[["x", "y"]].to_numpy(float), group["response"].to_numpy(float))
+    rows = cands.sort_values("frame", kind="stable")
+    spots, strength = rows[["x", "y"]].to_numpy(float), rows["response"].to_numpy(float)
+    frames, starts = np.unique(rows["frame"].to_numpy(), return_index=True)
+    for frame, a, b in zip(frames.tolist(), starts, [*starts[1:], len(rows)], strict=True):
+        if not own.passed(frame):
+            spot = own.see(frame, spots[a:b], strength[a:b])
             if spot is not None:
-                taken.append((int(frame), float(spot[0]), float(spot[1])))
+                taken.append((frame, float(spot[0]), float(spot[1])))
     return own.state, taken
 
 

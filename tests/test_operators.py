@@ -541,6 +541,20 @@ def _through(processor, batches):
     return [tuple(r) for d in out for r in d.itertuples(index=False)], kept.calls
 
 
+def test_link_step_makes_no_frame_a_table(monkeypatch):
+    from skyloom.streaming import jobs
+
+    rng = np.random.default_rng(1)
+    d = pd.DataFrame({"frame": rng.integers(0, 300, 2000), "x": rng.normal(0, 40, 2000), "y": rng.normal(0, 40, 2000), "response": rng.random(2000)})
+    own, want = jobs.Follower(), []
+    for f in sorted(set(d.frame)):
+        g = d[d.frame == f]
+        spot = own.see(int(f), g[["x", "y"]].to_numpy(), g.response.to_numpy())
+        want += [] if spot is None else [(int(f), *map(float, spot))]
+    monkeypatch.setattr(pd.DataFrame, "groupby", None)
+    assert jobs.link_step(None, d) == (own.state, want)
+
+
 def test_streams_call_state_by_bucket():
     """500 keys of 20 times share a bucket: state is called by spans of time, not by rows."""
     from skyloom.streaming import ordered as od
