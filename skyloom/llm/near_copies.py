@@ -1,4 +1,5 @@
-"""Near copies by exact likeness of word shingles: prefixes find the candidates, leaders and bit counts cut them down, whole sets judge them."""
+"""Near copies by exact likeness of word shingles: SimHash fingerprints link most of them, prefixes find the candidates still apart, leaders and bit
+counts cut these down, whole sets judge all."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from skyloom.llm.common import components, kept
+from skyloom.llm.simhash_cover import near_edges, vote
 
 WORDS = 5
 #: Likeness of two sets from which they are near, as a fraction: common over all shingles.
@@ -30,6 +32,8 @@ LEADERS, ROUNDS, MORE = 4, 2, 8
 TOGETHER = 500
 #: Bits that tell the parity of the shingles in each of as many classes.
 BITS = 1024
+#: Bits that the fingerprints of candidates may differ in; candidates further apart come from prefixes.
+RADIUS = 3
 #: Bytes of a text that are hashed together.
 SPAN = 1 << 17
 BASE = 0xD6E8FEB86659FD93
@@ -108,7 +112,7 @@ def _marked(words: int, cells: int):
     size = cells // BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "key", "node", "block", "counts"]
+        names = ["id", "key", "node", "fp", "block", "counts"]
         counts, parts, waiting, kinds = np.zeros(cells, np.uint32), [], 0, None
 
         def count() -> None:
@@ -116,23 +120,24 @@ def _marked(words: int, cells: int):
             parts.clear()
 
         for batch in batches:
-            ids, keys, nodes = batch.column("id"), batch.column("key"), []
+            ids, keys, nodes, fps = batch.column("id"), batch.column("key"), [], []
             kinds = ids.type, keys.type
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), words)
                 nodes.append(node_of(s))
+                fps.append(vote(s))
                 parts.append(s)
                 waiting += len(s)
                 if waiting >= COUNTED:
                     count()
                     waiting = 0
             n = len(nodes)
-            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if kinds:
             if parts:
                 count()
             told = [zlib.compress(counts[i * size : (i + 1) * size].astype("<u4").tobytes(), 1) for i in range(BLOCKS)]
-            none = [pa.nulls(BLOCKS, kinds[0]), pa.nulls(BLOCKS, kinds[1]), pa.nulls(BLOCKS, pa.int64())]
+            none = [pa.nulls(BLOCKS, kinds[0]), pa.nulls(BLOCKS, kinds[1]), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(BLOCKS), pa.int32()), pa.array(told, pa.binary())], names)
 
     return run
@@ -215,11 +220,21 @@ def _few_bits(a: str, b: str) -> str:
     return f"{p + q} * ({differ}) <= {q - p} * ({a}.size + {b}.size)"
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of ``nodes`` (``node``, ``fp``) whose chains connect all with fingerprints within ``RADIUS`` bits; equal ones are one fingerprint."""
+    first = kept(nodes.groupBy("fp").agg(F.min("node").alias("head")), "fingerprints")
+    equal = nodes.join(first, "fp").where("node != head").select(F.col("node").alias("x"), F.col("head").alias("y"))
+    x, y = (first.select(F.col("fp").alias(f), F.col("head").alias(n)) for f, n in (("a", "x"), ("b", "y")))
+    near = near_edges(first.select("fp"), RADIUS).join(x, "a").join(y, "b").select("x", "y")
+    return equal.unionByName(near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def groups(rows: DataFrame, words: int = WORDS, cells: int = CELLS, leaders: int = LEADERS) -> DataFrame:
     """Of ``rows`` with ``id`` and ``text``: ``key`` (of the text) and ``least`` of every group's document of the smallest id.
 
-    Texts of equal shingle sets are one node; nodes of likeness 4/5 or more are linked, and chains of links are a group.  No link is
-    lost: any two near sets share a shingle among each one's first fifth in a common order.  That order goes by how often the whole
+    Texts of equal shingle sets are one node; nodes of likeness 4/5 or more are linked, and chains of links are a group.  SimHash
+    fingerprints of the sets within ``RADIUS`` bits, met through covering masks, are the first candidates; those of other groups
+    that this leaves come from prefixes, so that no link is lost: any two near sets share a shingle among each one's first fifth in a common order.  That order goes by how often the whole
     table has a shingle, told by ``cells`` counters of constant size, so passages that many documents share come last.  Nodes that share
     one of these are a bucket.  Its first ``leaders`` members, in one order of all nodes, meet all others: a few rows a member.
     Only buckets that this leaves in several groups go on, and there only members outside of the bucket's largest group: in another round they
@@ -239,10 +254,10 @@ def groups(rows: DataFrame, words: int = WORDS, cells: int = CELLS, leaders: int
 def _groups(rows: DataFrame, words: int, cells: int, leaders: int) -> DataFrame:
     rows = rows.withColumn("key", text_key(F.col("text")))
     spark = rows.sparkSession
-    told = StructType([rows.schema["id"]]).add("key", "binary").add("node", "long").add("block", "integer").add("counts", "binary")
+    told = StructType([rows.schema["id"]]).add("key", "binary").add("node", "long").add("fp", "long").add("block", "integer").add("counts", "binary")
     told["id"].nullable = True
     told = kept(rows.select("id", "key", "text").mapInArrow(_marked(words, cells), told), "marked")
-    nodes = told.where("block is null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("least"), "key")).alias("first"))
+    nodes = told.where("block is null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("least"), "key")).alias("first"), F.min("fp").alias("fp"))
     nodes = kept(nodes, "nodes")
     summed = told.where("block is not null").select("block", "counts").repartition(BLOCKS, "block").mapInPandas(_summed, "block int, ranks binary")
     ranks = dict(summed.toPandas().itertuples(index=False))  # one byte a cell
@@ -268,11 +283,16 @@ def _groups(rows: DataFrame, words: int, cells: int, leaders: int) -> DataFrame:
         both = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return kept(both.mapInPandas(_judged(words), "a long, b long"), "links")
 
+    links = judged(kept(fingerprint_pairs(nodes.select("node", "fp")), "pairs"))
+    roots = components(links)
+    of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"of_{n}"))
+
     # a leader that leads in this bucket may not lead in that of the first common shingle, so places aren't asked for here
     ends = [F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")]
     after = "(xxhash64(x.node), x.node) > (xxhash64(y.node), y.node)"
     stars = kept(live.alias("x").join(heads.alias("y"), "token").where(after).where(_alike("x", "y")).select(*ends).distinct(), "pairs")
-    links = judged(stars)
+    new = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b")
+    links = kept(links.unionByName(judged(new)), "links")
     roots = components(links)
 
     def apart(least: int) -> DataFrame:

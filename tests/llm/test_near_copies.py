@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from test_operators_llm import plain_shingles, plain_stays, rows_of
+from test_operators_llm import plain_shingles, plain_stays, roots_of, rows_of
 
 from skyloom.llm import near_copies
 
@@ -61,3 +61,17 @@ def test_shingles_and_bits():
         for b in sets[4:9]:
             bits = sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(near_copies.parities(a), near_copies.parities(b)))
             assert bits <= len(np.setxor1d(a, b))
+
+
+def test_fingerprints_give_the_first_candidates(spark, family, monkeypatch):
+    from skyloom.llm.simhash_cover import _signed, vote
+
+    nodes = {near_copies.node_of(s): vote(s) for s in (near_copies.shingle_set(t) for _, t in family)}
+    table = spark.createDataFrame([(n, _signed(f)) for n, f in nodes.items()], "node long, fp long")
+    pairs = [(r.a, r.b) for r in near_copies.fingerprint_pairs(table).collect()]
+    near = [(x, y) for x in nodes for y in nodes if x > y and (nodes[x] ^ nodes[y]).bit_count() <= 3]
+    assert near and roots_of(nodes, pairs) == roots_of(nodes, near)
+    asked = []
+    monkeypatch.setattr(near_copies, "fingerprint_pairs", lambda t: asked.append(t.columns) or table.selectExpr("node a", "node b").limit(0))
+    found = near_copies.groups(spark.createDataFrame(family, "id long, text string")).collect()
+    assert asked == [["node", "fp"]] and sorted((r.least is None, r.least or 0) for r in found) == plain_stays(family)
