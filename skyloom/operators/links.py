@@ -13,17 +13,16 @@ from skyloom.operators.tracks import greedy_keep
 
 
 def pair_chain_seeds(peaks: DataFrame, vmax: float, reach: int = 3) -> DataFrame:
-    """J5. Same-polarity peaks up to ``reach`` frames apart, within ``vmax`` px a frame: each gap is an equi-join on the
-    later frame and a grid cell as large as the gap allows.  ``peaks``: video_id, frame, peak_id, polarity, x, y, amp,
-    size (a frame and polarity hold at most its ten strongest, T4)."""
-    keep = ["video_id", "frame", "polarity", "peak_id", "x", "y", "amp", "size"]
-    p = peaks.select(*keep)
-    out = None
-    for dt in range(1, reach + 1):
-        a = p.withColumn("frame", F.col("frame") + dt)
-        j = near_pairs(a, p, ["video_id", "frame", "polarity"], "x", "y", vmax * dt).withColumn("dt", F.lit(dt))
-        out = j if out is None else out.unionByName(j)
-    return out
+    """J5. Same-polarity peaks up to ``reach`` frames apart, within ``vmax`` px a frame: one equi-join on the later frame, to
+    which every peak is copied once a gap.  ``peaks``: video_id, frame, peak_id, polarity, x, y, amp, size (a frame and
+    polarity hold at most its ten strongest, T4, so cells of place would only make more copies)."""
+    keys, rest = ["video_id", "frame", "polarity"], ["peak_id", "x", "y", "amp", "size"]
+    p = share(peaks.select(*keys, *rest))
+    a = p.withColumn("dt", F.explode(F.array(*[F.lit(dt) for dt in range(1, reach + 1)]))).withColumn("frame", F.col("frame") + F.col("dt"))
+    # the planner counts the copies as one and would send all through the driver
+    j = a.join(p.select(*keys, *[F.col(c).alias(f"{c}_2") for c in rest]).hint("merge"), keys)
+    near = F.hypot(F.col("x") - F.col("x_2"), F.col("y") - F.col("y_2")) <= F.lit(float(vmax)) * F.col("dt")
+    return j.where(near).select(*keys, *rest, *[f"{c}_2" for c in rest], "dt")
 
 
 def extend_chains(peaks: DataFrame, vmax: float, tol: float = 6.0, max_skip: int = 2) -> DataFrame:
