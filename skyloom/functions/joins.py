@@ -96,5 +96,11 @@ def near_pairs(
     return j.where(d <= dist).drop("_cx", "_cy")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` over the session's shuffle partitions, 200 at least, which adaptive execution leaves apart: it
+    joins partitions by their packed size, and ordered numbers pack so well that one task would then hold gigabytes."""
+    return df.repartition(max(200, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def null_if_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from skyloom.functions.joins import dealt
 from skyloom.functions.lineage import scratch
 from skyloom.operators import stats as st
 from skyloom.plans.corpus import CURVES_SQL, FRAMES_SQL, TRACK_SQL
@@ -185,8 +186,8 @@ def _(t):
 
 @query("write_corpus", "SELECT o_orderstatus AS release, count(*) AS n, count(CASE WHEN object IS NOT NULL THEN 1 END) AS objects FROM (SELECT o_orderstatus, l_linenumber AS object FROM orders LEFT JOIN lineitem ON o_orderkey=l_orderkey) GROUP BY ALL")
 def _(t):
-    v = t.orders.select(F.col("o_orderkey").alias("video_id"), F.col("o_orderstatus").alias("release"))
-    o = t.lineitem.select(F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").alias("object")).join(v, "video_id")
+    v = dealt(t.orders.select(F.col("o_orderkey").alias("video_id"), F.col("o_orderstatus").alias("release")), "video_id")
+    o = dealt(t.lineitem.select(F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").alias("object")), "video_id").join(v, "video_id")
     p = place(t, "corpus")
     wr.write_corpus(wr.corpus_rows(o, v), p)
     return t.spark.read.parquet(p).groupBy("release").agg(F.count(F.lit(1)).alias("n"), F.count("object").alias("objects"))

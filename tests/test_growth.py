@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from skyloom.functions.joins import dealt
 from skyloom.operators import links
 
 
@@ -17,3 +20,8 @@ def test_seeds_of_all_gaps_meet_in_one_join(spark):
     want = [(a[0], a[2], b[2], b[1] - a[1]) for a in rows for b in rows if a[0] == b[0] and a[3] == b[3] and 1 <= b[1] - a[1] <= 3 and ((a[4] - b[4]) ** 2 + (a[5] - b[5]) ** 2) ** 0.5 <= 20 * (b[1] - a[1])]
     assert sorted((r.video_id, r.peak_id, r.peak_id_2, r.dt) for r in seeds.collect()) == sorted(want)
     assert plan(seeds).count("Join ") == 1
+
+
+def test_dealt_rows_stay_apart(spark):
+    df = dealt(spark.range(5000).withColumnRenamed("id", "k"), "k").join(dealt(spark.range(5000).withColumnRenamed("id", "k"), "k"), "k")
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 150 and df.count() == 5000
