@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from skyloom.functions.joins import dealt
-from skyloom.operators import links
+from skyloom.operators import links, readings
 
 
 def plan(df):
@@ -25,3 +25,22 @@ def test_seeds_of_all_gaps_meet_in_one_join(spark):
 def test_dealt_rows_stay_apart(spark):
     df = dealt(spark.range(5000).withColumnRenamed("id", "k"), "k").join(dealt(spark.range(5000).withColumnRenamed("id", "k"), "k"), "k")
     assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 150 and df.count() == 5000
+
+
+def test_consensus_of_places(spark):
+    rng = random.Random(2)
+    rows = [(0, f, k, float(rng.randrange(50)), float(rng.randrange(11))) for f in range(4) for k in range(60)]
+    df = spark.createDataFrame(rows, "video_id long, frame long, k long, dx double, dy double")
+    want = []
+    mid = lambda v: (sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2
+    for f in range(4):
+        own = [r for r in rows if r[1] == f]
+        near = {r[2]: [b for b in own if abs(r[3] / 6 - b[3] / 6) <= 1 and abs(r[4] / 2.5 - b[4] / 2.5) <= 1] for r in own}
+        seed = near[max(near, key=lambda k: (len(near[k]), -k))]
+        mx, my = mid([b[3] for b in seed]), mid([b[4] for b in seed])
+        m = [b for b in own if abs(b[3] - mx) <= 6 and abs(b[4] - my) <= 2.5]
+        if len(m) >= 8:
+            want.append((f, len(m), round(sum(b[3] for b in m) / len(m), 6), round(sum(b[4] for b in m) / len(m), 6)))
+    got = readings.consensus_shift(df)
+    assert sorted((r.frame, r.members, round(r.dx, 6), round(r.dy, 6)) for r in got.collect()) == want
+    assert not hasattr(readings, "near_pairs")  # nine copies of every template
