@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from skyloom.functions.joins import dealt
-from skyloom.operators import links, readings
+from skyloom.operators import links, readings, winds
 
 
 def plan(df):
@@ -44,3 +44,19 @@ def test_consensus_of_places(spark):
     got = readings.consensus_shift(df)
     assert sorted((r.frame, r.members, round(r.dx, 6), round(r.dy, 6)) for r in got.collect()) == want
     assert not hasattr(readings, "near_pairs")  # nine copies of every template
+
+
+def test_equal_heights_ask_the_model_once(spark):
+    rng = random.Random(3)
+    own = [(0, 3600 * (i % 3), float(rng.randrange(9)), rng.random(), rng.random()) for i in range(200)]
+    air = [(0, 3600 * (i % 3), float(i), rng.random(), rng.random()) for i in range(9) if i % 3 != 1]
+    air += [(0, 3600 * h, z, 1.0, 2.0) for h in range(3) for z in (0.5, 7.5)]
+    cols = "station long, t_s long, z_m double, u double, v double"
+    out = winds.model_wind_error(spark.createDataFrame(own, cols), spark.createDataFrame(air, cols), [4])
+    want = {}
+    for _, t, z, _, _ in own:
+        for lag in (0, 1):
+            zs = [a[2] for a in air if a[1] == t - 3600 * lag]
+            if any(a <= z for a in zs) and any(a >= z for a in zs):
+                want[lag, int(z >= 4)] = want.get((lag, int(z >= 4)), 0) + 1
+    assert {(r.lag_h, r.band): r.levels for r in out.collect()} == want
