@@ -112,16 +112,18 @@ def lag_steps(windows: DataFrame, good: float = 0.8, keys=("video_id", "copy"))
     )
 
 
-def lead_lag(readings: DataFrame, path: DataFrame, lags: Sequence[int], keys=("video_id",), chunk: int = CHUNK) -> DataFrame:
+def lead_lag(readings: DataFrame, path: DataFrame, lags: Sequence[int], keys=("video_id",), chunk: int = CHUNK, scene: Sequence[str] | None = None) -> DataFrame:
     """J25. Contrast of irregular increments of a reading with the scene's move over the same interval, each lag earlier:
-    sum(d dX) / sqrt(sum d^2 sum dX^2); the lag of the largest size."""
-    keys = list(keys)
+    sum(d dX) / sqrt(sum d^2 sum dX^2); the lag of the largest size.  ``scene`` names the columns of both
+    that tell whose path a reading follows, where many share one."""
+    keys, scene = list(keys), list(scene or keys)
+    own = [c for c in scene if c not in keys]
     r = previous(readings, keys, "frame", {"_p": F.struct("frame", "theta")}, chunk=chunk).where(F.col("_p").isNotNull())
-    r = r.select(*keys, F.col("_p.frame").alias("f0"), F.col("frame").alias("f1"), (F.col("theta") - F.col("_p.theta")).alias("d"))
+    r = r.select(*keys, *own, F.col("_p.frame").alias("f0"), F.col("frame").alias("f1"), (F.col("theta") - F.col("_p.theta")).alias("d"))
     r = r.withColumn("lag", F.explode(F.array(*[F.lit(int(v)) for v in lags])))
-    p = path.select(*keys, "frame", "x")
-    j = r.withColumn("frame", F.col("f1") - F.col("lag")).join(p.withColumnRenamed("x", "x1"), [*keys, "frame"])
-    j = j.withColumn("frame", F.col("f0") - F.col("lag")).join(p.withColumnRenamed("x", "x0"), [*keys, "frame"])
+    p = share(path.select(*scene, "frame", "x"))
+    j = r.withColumn("frame", F.col("f1") - F.col("lag")).join(p.withColumnRenamed("x", "x1"), [*scene, "frame"])
+    j = j.withColumn("frame", F.col("f0") - F.col("lag")).join(p.withColumnRenamed("x", "x0"), [*scene, "frame"])
     dx = F.col("x1") - F.col("x0")
     g = j.groupBy(*keys, "lag").agg(
         F.count(F.lit(1)).alias("n"), div(F.sum(F.col("d") * dx), F.sqrt(F.sum(F.col("d") * F.col("d")) * F.sum(dx * dx))).alias("c")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyloom.operators import series_joins as sj
 from skyloom.operators import tracks as tr
 from skyloom.operators import windows as w
-from skyloom.plans.corpus import frame_stats, FRAMES_SQL, own_scene, own_scene_sql, STATS_SQL, TRACK_SQL
+from skyloom.plans.corpus import frame_stats, FRAMES_SQL, own_scene, own_scene_sql, scene_of, STATS_SQL, TRACK_SQL
 from skyloom.plans.q_windows import IV_SQL, order_intervals, rnd
 from skyloom.plans.registry import query
 
@@ -429,8 +429,8 @@ SELECT object_id AS video_id, lag, round(c,6) AS c, n FROM (SELECT *, row_number
 )
 def _(t):
     r = t.track.select(F.col("object_id").alias("video_id"), "frame", F.col("y").alias("theta"))
-    p = own_scene(t.frames, r).select("video_id", "frame", F.col("level").alias("x"))
-    return rnd(sj.lead_lag(r, p, range(-6, 7)), "c")
+    p = t.frames.select(F.col("video_id").alias("scene"), "frame", F.col("level").alias("x"))
+    return rnd(sj.lead_lag(r.join(scene_of(t.frames, r), "video_id"), p, range(-6, 7), scene=["scene"]), "c")
 
 
 @query(

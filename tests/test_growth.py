@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from skyloom.functions.joins import dealt
-from skyloom.operators import links, readings, winds
+from skyloom.operators import links, readings, series_joins, winds
 
 
 def plan(df):
@@ -60,3 +60,16 @@ def test_equal_heights_ask_the_model_once(spark):
             if any(a <= z for a in zs) and any(a >= z for a in zs):
                 want[lag, int(z >= 4)] = want.get((lag, int(z >= 4)), 0) + 1
     assert {(r.lag_h, r.band): r.levels for r in out.collect()} == want
+
+
+def test_readings_name_the_path_they_follow(spark):
+    rng = random.Random(4)
+    path = [(s, f, rng.random()) for s in "ab" for f in range(60)]
+    read = [(v, "ab"[v % 2], f, rng.random()) for v in range(5) for f in range(8, 50, 1 + v)]
+    p = spark.createDataFrame(path, "scene string, frame long, x double")
+    r = spark.createDataFrame(read, "video_id long, scene string, frame long, theta double")
+    each = r.select("video_id", "scene").distinct().join(p, "scene").drop("scene")
+    want = series_joins.lead_lag(r.drop("scene"), each, range(-3, 4))
+    got = series_joins.lead_lag(r, p, range(-3, 4), scene=["scene"])
+    rows = lambda d: sorted((x.video_id, x.lag, round(x.c, 9), x.n) for x in d.collect())
+    assert rows(got) == rows(want) and len(rows(got)) == 5
