@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from skyloom.functions.safe import corr, div
 from skyloom.functions.chunked import CHUNK, islands, previous, rolling, row_index, scan
+from skyloom.functions.joins import dealt
 from skyloom.functions.lineage import cut, share
 from skyloom.functions.probability import chi2_sf, f_sf
 from skyloom.functions.quantiles import exact_quantiles
@@ -283,8 +284,11 @@ def depth_along(curve: DataFrame, beats: DataFrame, keys: Sequence[str], piece:
 
 
 def position_rhythm(track: DataFrame, held: DataFrame, keys: Sequence[str], freqs: Sequence[float]) -> DataFrame:
-    """A74. The periodogram of a track's places on each axis, held frames left out."""
+    """A74. The periodogram of a track's places on each axis, held frames left out.
+
+    Tracks are dealt by their keys and stretches of 4,096 frames, so a task's sums are those of its own tracks, not of all."""
     p = track.join(held.select("video_id", "frame"), ["video_id", "frame"], "left_anti")
+    p = dealt(p.withColumn("_c", F.floor(F.col("frame") / 4096)), *keys, "_c").drop("_c")
     return periodogram(p.unpivot([*keys, "frame", "t_s"], ["x", "y"], "axis", "dev"), [*keys, "axis"], freqs)
 
 

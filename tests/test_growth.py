@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from skyloom.functions.joins import dealt
-from skyloom.operators import links, readings, series_joins, winds
+from skyloom.operators import links, models, readings, series_joins, winds
 
 
 def plan(df):
@@ -73,3 +73,11 @@ def test_readings_name_the_path_they_follow(spark):
     got = series_joins.lead_lag(r, p, range(-3, 4), scene=["scene"])
     rows = lambda d: sorted((x.video_id, x.lag, round(x.c, 9), x.n) for x in d.collect())
     assert rows(got) == rows(want) and len(rows(got)) == 5
+
+
+def test_rhythms_are_summed_track_by_track(spark):
+    rows = [(v, v, f, f / 30, float(f % 5), float(f % 3)) for v in range(3) for f in range(40)]
+    df = spark.createDataFrame(rows, "video_id long, object_id long, frame long, t_s double, x double, y double")
+    out = models.position_rhythm(df, df.where("frame % 9 = 0").select("video_id", "frame"), ["video_id", "object_id"], [6.0, 10.0])
+    assert "RepartitionByExpression" in plan(out)
+    assert {(r.video_id, r.axis, r.hz, r.n) for r in out.collect()} == {(v, a, h, 35) for v in range(3) for a in "xy" for h in (6.0, 10.0)}
