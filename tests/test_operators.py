@@ -252,6 +252,16 @@ def test_parallax_roots_solve_the_equation(spark):
             assert abs(math.hypot(*(g[i] + (k - 1) * a[i] for i in (0, 1))) - k * r.v_obj) < 1e-6
 
 
+def test_parallax_roots_at_whole_degrees(spark):
+    va, hd, gb = 87.0, 297.0, 117.0
+    df = spark.range(400).select((50 + F.col("id") / 7).alias("v_ground"), F.lit(va).alias("v_own"), F.lit(hd).alias("own_heading"), F.lit(gb).alias("ground_bearing"))
+    (ax, ay), (gx, gy) = ((math.sin(math.radians(a)), math.cos(math.radians(a))) for a in (hd, gb))
+    for r in ge.parallax_ladder(df, [0.0]).collect():  # a double root: its sign hangs on the last bit
+        dx, dy = r.v_ground * gx - va * ax, r.v_ground * gy - va * ay
+        b, c = 2 * (va * ax * dx + va * ay * dy), dx * dx + dy * dy
+        assert len(r.k) == (2 if b * b - 4 * (va * va) * c >= 0 else 0)
+
+
 def test_jumps_are_named(spark):
     rng = random.Random(21)
     pts = []
