@@ -368,6 +368,17 @@ def test_line_families_are_found(spark):
     assert line_families(d.where("video_id = 2")).count() == 0
 
 
+def test_line_families_members_at_the_tolerance(spark):
+    from skyloom.operators.readings import FAMILY_KINDS, _multiples, line_families
+
+    kinds = [(i, *row[:5]) for i, row in enumerate(FAMILY_KINDS) if row[5] == 0]
+    want = duckdb.execute(f"SELECT i, h, CAST(h * lo AS DOUBLE) FROM (VALUES {','.join(map(str, kinds))}) k(i, p, n, lo, hi, k), range(1, 65) r(h) ORDER BY ALL").fetchall()
+    assert [x for *_, x in want] == [x for k in kinds for x in _multiples(k[3], k[5])]
+    # 125.3 lies over 0.3 off the sixth multiple of 20.833333333333332, so the family is one of two and none
+    d = spark.createDataFrame([(1, i, hz, 1.0) for i, hz in enumerate((20.85, 41.65, 125.3))], "video_id long, line_id long, hz double, strength double")
+    assert "MP3 24000" not in {r.family for r in line_families(d).collect()}
+
+
 @pytest.mark.parametrize("chunk", [8, 50, 100_000])
 def test_pointer_updates_over_chunks(spark, chunk):
     from skyloom.operators.pointers import pointer_updates
