@@ -81,3 +81,17 @@ def test_rhythms_are_summed_track_by_track(spark):
     out = models.position_rhythm(df, df.where("frame % 9 = 0").select("video_id", "frame"), ["video_id", "object_id"], [6.0, 10.0])
     assert "RepartitionByExpression" in plan(out)
     assert {(r.video_id, r.axis, r.hz, r.n) for r in out.collect()} == {(v, a, h, 35) for v in range(3) for a in "xy" for h in (6.0, 10.0)}
+
+
+def test_families_of_short_and_long_videos(spark):
+    rng = random.Random(5)
+    rows = []
+    for v in range(12):
+        tones = [f * k * rng.uniform(0.999, 1.001) for f in rng.sample((20.8, 46.875, 50.0, 60.0, 97.0, 210.0, 400.0), 4) for k in range(1, 9)]
+        rows += [(v, i, hz, float(rng.randrange(1, 9))) for i, hz in enumerate(tones + [rng.uniform(5, 900) for _ in range(10 * v)])]
+    df = spark.createDataFrame(rows, "video_id long, line_id long, hz double, strength double").repartition(7)
+    told = lambda d: sorted((r.video_id, r.line_id, r.family, round(r.f0, 6), r.k) for r in d.collect())
+    short = told(readings.line_families(df))
+    assert len(short) > 100 and short == told(readings.line_families(df, few=80)) == told(readings.line_families(df, few=0))
+    # votes, dozens a line, meet no shuffle: lines alone are dealt
+    assert "Generate" not in plan(readings.line_families(df)) and "MapInPandas" in plan(readings.line_families(df))
