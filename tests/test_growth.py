@@ -1,5 +1,6 @@
 """Steps whose shuffles, time or memory grew faster than their tables: results beside brute force, and the form of their plans."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -95,3 +96,32 @@ def test_families_of_short_and_long_videos(spark):
     assert len(short) > 100 and short == told(readings.line_families(df, few=80)) == told(readings.line_families(df, few=0))
     # votes, dozens a line, meet no shuffle: lines alone are dealt
     assert "Generate" not in plan(readings.line_families(df)) and "MapInPandas" in plan(readings.line_families(df))
+
+
+def test_bodies_are_planted_in_every_wind(spark):
+    rng = random.Random(6)
+    paths = [(c, 0, [100.0, 900.0, 5000.0][c % 3], 0.0, 0.0, 0.0, [0.2, 1.0, 4.0, None][c % 4]) for c in range(24)]
+    air = [(f"s{i}", "model", 0, z, rng.uniform(-9, 9), rng.uniform(-9, 9), 0.0) for i in range(4) for z in (50.0, 1000.0)]
+    p = spark.createDataFrame(paths, "case_id long, t_s long, height_m double, ground_m double, ve double, vn double, velocity_err double")
+    w = spark.createDataFrame(air, "source string, kind string, t_s long, z_m double, u double, v double, ground_m double")
+    by_case = winds.wind_at_height(p, w).withColumn("err_m_s", F.lit(None).cast("double")).cache()
+    want = {}
+    for r in by_case.where("counts").collect():  # each wind in turn is the air of all cases
+        for s in (0.0, 8.0, 30.0):
+            for a in (0.0, 90.0):
+                want.setdefault((s, a), []).append((r.case_id, r.u + s * math.sin(math.radians(a)), r.v + s * math.cos(math.radians(a))))
+    err = {c[0]: c[6] for c in paths}
+    count = {}
+    for (s, a), planted in want.items():
+        q = [(i, c, ve, vn, err[c]) for i, (c, ve, vn) in enumerate(planted)]
+        each = spark.createDataFrame(q, "case_id long, c long, ve double, vn double, velocity_err double")
+        for r in winds.drift_wind_test(each, by_case.withColumnRenamed("case_id", "c"), ["c"]).collect():
+            for k in ("all", r.outcome, r.why):
+                count[s, k] = count.get((s, k), 0) + 1
+    for place, ws in ((("case_id",), by_case), (winds.PLACE, winds.winds_at(p, w).withColumn("err_m_s", F.lit(None).cast("double")))):
+        got = winds.wind_test_sensitivity(p, ws, [0, 8, 30], [0, 90], place).collect()
+        assert sorted(r.airspeed for r in got) == [0, 8, 30]
+        for r in got:
+            assert r.plants == count[r.airspeed, "all"] == 4 * r.n
+            assert [round(r.plants * x) for x in (r.passes, r.fails, r.cannot_say)] == [count.get((r.airspeed, k), 0) for k in ("pass", "fail", "cannot say")]
+            assert [round(r.plants * r[y.replace(" ", "_")]) for y in winds.WHYS] == [count.get((r.airspeed, y), 0) for y in winds.WHYS]
