@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from skyloom.functions.safe import div
 from skyloom.functions import draws as dr
 from skyloom.functions.chunked import scan
+from skyloom.functions.joins import dealt
 from skyloom.functions.lineage import share
 from skyloom.functions.probability import chi2_sf, clopper_pearson_upper, gpd_sf, kolmogorov_sf, wilson
 from skyloom.functions.quantiles import exact_quantiles
@@ -433,15 +435,85 @@ def uniformity(ps: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
     return g.withColumn("ks_p", kolmogorov_sf(F.col("ks"), F.col("n")))
 
 
-def model_confidence(losses: DataFrame, keys: Sequence[str], block: int, draws: int = 500, alpha: float = 0.1, seed: int = 0) -> DataFrame:
+FEW_ORIGINS = 20_000  # fixed value: a group of no more origins is taken whole by one task
+
+
+def model_confidence(losses: DataFrame, keys: Sequence[str], block: int, draws: int = 500, alpha: float = 0.1, seed: int = 0, few: int = FEW_ORIGINS) -> DataFrame:
     """A48. The models whose losses can't be told from the best: keys, model, mean ``loss``, its ``p`` and whether it is ``kept``.
 
     ``losses``: model, idx (1..T, the same origins for every model) and loss.  Each draw takes floor(T / block) moving blocks of the
-    origins, hashed; a block's sum is the difference of two running sums, so a draw costs its blocks, not its origins, and is summed
-    before the elimination: then a group is one row a draw and model.  There the model furthest above the mean of those left goes while
-    more than one is, with the largest share of draws so far that reach its distance as p; the last has 1.
+    origins, hashed; a block's sum is the difference of two running sums, so a draw costs its blocks, not its origins.  Then the model
+    furthest above the mean of those left goes while more than one is, with the largest share of draws so far that reach its distance as
+    p; the last has 1.
+
+    Blocks are ``draws`` / ``block`` a loss, so those of groups of up to ``few`` origins, counted first, are never written: their losses go to
+    tasks that draw and eliminate group by group.  Longer groups, and those without the same origins for every model, are drawn by joins.
     """
     keys = list(keys)
+    losses = share(losses.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).select(*keys, "model", "idx", "loss") if keys else losses)
+    n, last = F.count("loss"), F.max("idx")
+    whole = (n == last) & (F.count(F.lit(1)) == n) & (F.min("idx") == 1) & (F.count_distinct("idx") == n)
+    each = losses.groupBy(*keys, "model").agg(last.alias("_n"), whole.alias("_ok"))
+    odd = share(each.groupBy(*keys).agg(F.min("_n").alias("_l"), F.max("_n").alias("_n"), F.min("_ok").alias("_ok")).where(~F.col("_ok") | (F.col("_l") != F.col("_n")) | (F.col("_n") > few)).select(*keys))
+    fields = ", ".join(f"`{k}` {losses.schema[k].dataType.simpleString()}" for k in [*keys, "model"]) + ", loss double, p double, kept boolean"
+    some = not odd.isEmpty()
+    if not keys or some:
+        long = _drawn_means(losses.join(odd, keys, "left_semi") if keys else losses, keys, block, draws, seed).groupBy(*keys).applyInPandas(_eliminated(keys, alpha), fields)
+        if not keys:
+            return long
+    short = dealt(losses.join(odd, keys, "left_anti") if some else losses, *keys).sortWithinPartitions(*keys, "model", "idx")
+    short = short.withColumn("_text", F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    found = short.mapInPandas(_confidence_of_groups(keys, block, draws, alpha), fields)
+    return found.unionByName(long) if some else found
+
+
+def _confidence_of_groups(keys: list[str], block: int, draws: int, alpha: float):
+    """``model_confidence`` of batches of losses that are sorted by keys, model and idx."""
+
+    def drawn(text: str, loss: np.ndarray) -> np.ndarray:
+        """The means of each draw (rows) of each model (columns)."""
+        n = loss.shape[1]
+        told = b"".join(md5(f"{text}|{d}|{j}".encode()).digest()[:8] for d in range(1, draws + 1) for j in range(n // block))
+        u = (np.frombuffer(told, ">u8") >> np.uint64(12)).astype(float) / 2.0**52
+        s = np.floor(u * (n - block + 1)).astype(int).reshape(draws, -1)
+        run = np.concatenate([np.zeros((len(loss), 1)), np.cumsum(loss, axis=1)], axis=1)
+        return np.stack([(r[s + block] - r[s]).sum(axis=1) for r in run], axis=1) / (n // block * block)
+
+    def groups(d: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        idx, value, out = d["idx"].to_numpy(), d["loss"].to_numpy(float), []
+        for a, z in zip(starts, [*starts[1:], len(d)]):
+            n = int(idx[z - 1])
+            if n < block:
+                continue
+            loss = value[a:z].reshape(-1, n)
+            mean = np.cumsum(loss, axis=1)[:, -1] / n  # summed in order of the origins, as a running sum is
+            out.append((a + n * np.arange(len(loss)), mean, _shares(mean, drawn(d["_text"].iat[a], loss))))
+        at, mean, p = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0), np.zeros(0))
+        return d[[*keys, "model"]].iloc[at].reset_index(drop=True).assign(loss=mean, p=p, kept=p >= alpha)
+
+    def run(batches):
+        held = []  # the last group may go on in the next batch
+        for d in batches:
+            if not len(d):
+                continue
+            text = d["_text"].to_numpy()
+            new = np.flatnonzero(np.r_[not held or held[-1]["_text"].iat[-1] != text[0], text[1:] != text[:-1]])
+            if held and not len(new):
+                held.append(d)
+                continue
+            whole = pd.concat([*held, d.iloc[: new[-1]]], ignore_index=True)
+            held = [d.iloc[new[-1] :]]
+            if len(whole):
+                text = whole["_text"].to_numpy()
+                yield groups(whole, np.flatnonzero(np.r_[True, text[1:] != text[:-1]]))
+        if held:
+            yield groups(pd.concat(held, ignore_index=True), np.zeros(1, int))
+
+    return run
+
+
+def _drawn_means(losses: DataFrame, keys: list[str], block: int, draws: int, seed: int) -> DataFrame:
+    """The mean of each draw and model (draw 0: of all), a draw summed before it leaves its task."""
     run = scan(losses, [*keys, "model"], "idx", {"_sum": ("sum", F.col("loss"))}, chunk=65536).select(*keys, "model", "idx", "_sum")
     run = share(run.unionByName(losses.select(*keys, "model").distinct().select(*keys, "model", F.lit(0).cast(run.schema["idx"].dataType).alias("idx"), F.lit(0.0).alias("_sum"))))
     n = run.groupBy(*keys, "model").agg(F.max("idx").alias("_n"), F.max_by("_sum", "idx").alias("_all"))
@@ -457,23 +529,28 @@ def model_confidence(losses: DataFrame, keys: Sequence[str], block: int, draws:
     drawn = b.select(*keys, "model", "_n", (F.col("_hi") - F.col("_lo")).alias("_v"), F.explode("_draws").alias("draw")).groupBy(*keys, "model", "draw", "_n").agg(F.sum("_v").alias("_v"))
     drawn = drawn.select(*keys, "model", "draw", (F.col("_v") / (F.floor(F.col("_n") / block) * block)).alias("mean"))
     means = n.select(*keys, "model", F.lit(0).alias("draw"), (F.col("_all") / F.col("_n")).alias("mean"))
-    fields = ", ".join(f"`{k}` {losses.schema[k].dataType.simpleString()}" for k in [*keys, "model"])
-    return drawn.unionByName(means).groupBy(*keys).applyInPandas(_eliminated(keys, alpha), f"{fields}, loss double, p double, kept boolean")
+    return drawn.unionByName(means)
 
 
 def _eliminated(keys: list[str], alpha: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         wide = group.pivot(index="draw", columns="model", values="mean").sort_index().sort_index(axis=1)
-        mean, drawn, names = wide.loc[0].to_numpy(), wide.drop(index=0).to_numpy(), list(wide.columns)
-        left, p, top = list(range(len(names))), np.ones(len(names)), 0.0
-        while len(left) > 1:
-            own = mean[left] - mean[left].mean()
-            off = drawn[:, left] - drawn[:, left].mean(axis=1, keepdims=True) - own
-            sd = np.sqrt(np.maximum((off * off).mean(axis=0), 1e-300))
-            worst = int(np.argmax(own / sd))
-            top = max(top, float(((off / sd).max(axis=1) >= (own / sd)[worst]).mean()))
-            p[left.pop(worst)] = top
+        mean = wide.loc[0].to_numpy()
+        p = _shares(mean, wide.drop(index=0).to_numpy())
         first = {k: group[k].iloc[0] for k in keys}
-        return pd.DataFrame({**first, "model": names, "loss": mean, "p": p, "kept": p >= alpha})
+        return pd.DataFrame({**first, "model": list(wide.columns), "loss": mean, "p": p, "kept": p >= alpha})
 
     return run
+
+
+def _shares(mean: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """The share each model goes with, from the models' means and those of the draws."""
+    left, p, top = list(range(len(mean))), np.ones(len(mean)), 0.0
+    while len(left) > 1:
+        own = mean[left] - mean[left].mean()
+        off = drawn[:, left] - drawn[:, left].mean(axis=1, keepdims=True) - own
+        sd = np.sqrt(np.maximum((off * off).mean(axis=0), 1e-300))
+        worst = int(np.argmax(own / sd))
+        top = max(top, float(((off / sd).max(axis=1) >= (own / sd)[worst]).mean()))
+        p[left.pop(worst)] = top
+    return p

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyloom.functions.chunked import row_index
+from skyloom.functions.chunked import rolling, row_index
 from skyloom.functions.draws import uniform_sql
 from skyloom.operators import pointers as pt
 from skyloom.operators import rank as rk
@@ -82,10 +82,10 @@ SELECT video_id, object_id, model, round(a0.mean,6) AS loss, round(p,6) AS p, p
 )
 def _(t):
     d = row_index(t.track, KEY, "frame", out="i")
-    ahead = lambda k: d.select(*KEY, (F.col("i") + k).alias("i"), F.col("x").alias(f"x{k}"))
-    d = d.where("i > 3").join(ahead(1), [*KEY, "i"]).join(ahead(2), [*KEY, "i"]).join(ahead(3), [*KEY, "i"])
-    said = {"last": F.col("x1"), "line": 2 * F.col("x1") - F.col("x2"), "mean": (F.col("x1") + F.col("x2") + F.col("x3")) / 3}
-    d = d.select(*KEY, (F.col("i") - 3).alias("idx"), F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.pow(F.col("x") - v, 2).alias("loss")) for m, v in said.items()])).alias("m"))
+    d = rolling(d, KEY, "i", 3, 0, {"_w": F.collect_list(F.struct("x"))}).where("i > 3")  # the point and the three before it
+    d = d.withColumns({f"x{k}": F.get("_w", 3 - k)["x"] for k in (1, 2, 3)})
+    off = {"last": F.col("x") - F.col("x1"), "line": F.col("x") - 2 * F.col("x1") + F.col("x2"), "mean": F.col("x") - (F.col("x1") + F.col("x2") + F.col("x3")) / 3}
+    d = d.select(*KEY, (F.col("i") - 3).alias("idx"), F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.pow(v, 2).alias("loss")) for m, v in off.items()])).alias("m"))
     return rnd(st.model_confidence(d.select(*KEY, "idx", "m.*"), KEY, BLOCK, DRAWS), "loss", "p", n=6)
 
 

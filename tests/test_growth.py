@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from skyloom.functions.joins import dealt
-from skyloom.operators import links, models, readings, series_joins, winds
+from skyloom.operators import links, models, readings, series_joins, stats, winds
 
 
 def plan(df):
@@ -125,3 +125,16 @@ def test_bodies_are_planted_in_every_wind(spark):
             assert r.plants == count[r.airspeed, "all"] == 4 * r.n
             assert [round(r.plants * x) for x in (r.passes, r.fails, r.cannot_say)] == [count.get((r.airspeed, k), 0) for k in ("pass", "fail", "cannot say")]
             assert [round(r.plants * r[y.replace(" ", "_")]) for y in winds.WHYS] == [count.get((r.airspeed, y), 0) for y in winds.WHYS]
+
+
+def test_models_of_short_and_long_groups(spark):
+    rng = random.Random(7)
+    rows = [(k, f"o{k % 3}", m, i + 1, rng.expovariate(1) + 0.3 * (m == "b") + (2.0 if m == "c" else 0.0)) for k in range(9) for m in "abc" for i in range(3 + 9 * k)]
+    rows += [(20, "o", m, i, rng.expovariate(1)) for m in "ab" for i in range(1, 30) if (m, i) != ("b", 7)]  # not the same origins
+    df = spark.createDataFrame(rows, "k long, o string, model string, idx long, loss double").repartition(5)
+    told = lambda d: sorted((r.k, r.o, r.model, round(r.loss, 9), round(r.p, 9), r.kept) for r in d.collect())
+    short = told(stats.model_confidence(df, ["k", "o"], 4, 60))
+    assert {r[0] for r in short} == {*range(1, 9), 20}
+    assert short == told(stats.model_confidence(df, ["k", "o"], 4, 60, few=40)) == told(stats.model_confidence(df, ["k", "o"], 4, 60, few=0))
+    whole = plan(stats.model_confidence(df.where("k < 20"), ["k", "o"], 4, 60))
+    assert "MapInPandas" in whole and "Join" not in whole  # no block is written
