@@ -469,6 +469,7 @@ def model_confidence(losses: DataFrame, keys: Sequence[str], block: int, draws:
 
 def _confidence_of_groups(keys: list[str], block: int, draws: int, alpha: float):
     """``model_confidence`` of batches of losses that are sorted by keys, model and idx."""
+    shares = _shares()
 
     def drawn(text: str, loss: np.ndarray) -> np.ndarray:
         """The means of each draw (rows) of each model (columns)."""
@@ -487,7 +488,7 @@ def _confidence_of_groups(keys: list[str], block: int, draws: int, alpha: float)
                 continue
             loss = value[a:z].reshape(-1, n)
             mean = np.cumsum(loss, axis=1)[:, -1] / n  # summed in order of the origins, as a running sum is
-            out.append((a + n * np.arange(len(loss)), mean, _shares(mean, drawn(d["_text"].iat[a], loss))))
+            out.append((a + n * np.arange(len(loss)), mean, shares(mean, drawn(d["_text"].iat[a], loss))))
         at, mean, p = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0), np.zeros(0))
         return d[[*keys, "model"]].iloc[at].reset_index(drop=True).assign(loss=mean, p=p, kept=p >= alpha)
 
@@ -533,24 +534,30 @@ def _drawn_means(losses: DataFrame, keys: list[str], block: int, draws: int, see
 
 
 def _eliminated(keys: list[str], alpha: float):
+    shares = _shares()
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         wide = group.pivot(index="draw", columns="model", values="mean").sort_index().sort_index(axis=1)
         mean = wide.loc[0].to_numpy()
-        p = _shares(mean, wide.drop(index=0).to_numpy())
+        p = shares(mean, wide.drop(index=0).to_numpy())
         first = {k: group[k].iloc[0] for k in keys}
         return pd.DataFrame({**first, "model": list(wide.columns), "loss": mean, "p": p, "kept": p >= alpha})
 
     return run
 
 
-def _shares(mean: np.ndarray, drawn: np.ndarray) -> np.ndarray:
-    """The share each model goes with, from the models' means and those of the draws."""
-    left, p, top = list(range(len(mean))), np.ones(len(mean)), 0.0
-    while len(left) > 1:
-        own = mean[left] - mean[left].mean()
-        off = drawn[:, left] - drawn[:, left].mean(axis=1, keepdims=True) - own
-        sd = np.sqrt(np.maximum((off * off).mean(axis=0), 1e-300))
-        worst = int(np.argmax(own / sd))
-        top = max(top, float(((off / sd).max(axis=1) >= (own / sd)[worst]).mean()))
-        p[left.pop(worst)] = top
-    return p
+def _shares():
+    """The share each model goes with, from the models' means and those of the draws: a function that needs nothing of this package."""
+
+    def run(mean: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+        left, p, top = list(range(len(mean))), np.ones(len(mean)), 0.0
+        while len(left) > 1:
+            own = mean[left] - mean[left].mean()
+            off = drawn[:, left] - drawn[:, left].mean(axis=1, keepdims=True) - own
+            sd = np.sqrt(np.maximum((off * off).mean(axis=0), 1e-300))
+            worst = int(np.argmax(own / sd))
+            top = max(top, float(((off / sd).max(axis=1) >= (own / sd)[worst]).mean()))
+            p[left.pop(worst)] = top
+        return p
+
+    return run
